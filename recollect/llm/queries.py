@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, simhash
+from recollect.llm import decontaminate, fingerprint, mixing, secrets, simhash, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,54 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records of a content-addressed archive, read back."""
+    back = warc.archived(table(spark, sf_dir, "pages"))
+    return back.select(F.col("key").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents: counts of the base kinds, their digest, and all spans."""
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), *[count(kind) for kind in secrets.BASE], "base_sha256", text.alias("spans"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of documents and of their edited texts."""
+    found = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", F.when(F.col("same_edited"), F.col("fingerprint")).otherwise(F.col("edited_digest")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("same_edited")).alias("near_edited"), fingerprint.likeness(F.col("same_next")).alias("near_next"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of documents, with the rows that nothing was learned from."""
+    scored = toxicity.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 13-word windows that also start in a document with a smaller doc_id."""
+    return substrings.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
+    "op4_secrets": op4_secrets,
+    "op5_mixing": op5_mixing,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_toxicity": op8_toxicity,
+    "op9_substrings": op9_substrings,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL}
