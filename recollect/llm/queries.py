@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, fingerprint, mixing, secrets, simhash, substrings, toxicity, warc
+from recollect.llm import decontaminate, fingerprint, mixing, secrets, simhash, substrings, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Documents as token ids in a Re-Pair compressed file, read back: place, length and checksum."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.tokenised(table(spark, sf_dir, "documents"), tokenizer).withColumnRenamed("id", "doc_id")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents: counts of the base kinds, their digest, and all spans."""
     found = secrets.secrets(table(spark, sf_dir, "documents"))
@@ -73,6 +82,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_tokens": op3_tokens,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op7_fingerprint": op7_fingerprint,
