@@ -27,11 +27,11 @@ def dealt(df: DataFrame, id_col: str, text_col: str, rows_each: int = 20_000, ah
     bounds = ranges(df, id_col, rows_each)
     n = len(bounds) + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= key))
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
     rows = df.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("range", place if bounds else F.lit(0))
+    rows = rows.withColumn("range", place)
     if ahead:
-        firsts = df.select(key.alias("key")).withColumn("range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("key"))) if bounds else F.lit(0)).groupBy("range").agg(F.min("key")).collect()
+        firsts = df.select(key.alias("key")).withColumn("range", place).groupBy("range").agg(F.min("key")).collect()
         first = dict(sorted((r[0], r[1]) for r in firsts))
         before = dict(zip(first, [list(first)[-1], *list(first)[:-1]], strict=True))
         own = F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead"))

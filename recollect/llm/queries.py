@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, fingerprint, mixing, secrets, simhash, substrings, tokens, toxicity, warc
+from recollect.llm import decontaminate, fingerprint, licenses, mixing, secrets, simhash, substrings, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that documents' paragraphs name, confirmed by templates."""
+    return licenses.licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of documents and of their edited texts."""
     found = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tokens": op3_tokens,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
     "op7_fingerprint": op7_fingerprint,
     "op8_toxicity": op8_toxicity,
     "op9_substrings": op9_substrings,
