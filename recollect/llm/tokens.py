@@ -18,8 +18,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import zlib
 from array import array
 from itertools import repeat
@@ -33,18 +33,30 @@ from pyspark.sql import functions as F
 from recollect.llm.common import scratch_path, shuffles_dropped, small_side
 from recollect.llm.ordered import dealt
 
-SHARD_IDS, ROUNDS, RULES, LEAST_PAIRS, MARK = 1 << 20, 6, 2048, 8, 1024
-BINS = 1 << 20
-MEMO_PIECES, BROADCAST_SHARDS = 500_000, 1_000_000
+SHARD_IDS, ROUNDS, RULES, LEAST_PAIRS, MARK = 1 << 20, 4, 2048, 8, 1024
+BIN_BITS = 19
+MEMO_PIECES, SEEN, BROADCAST_SHARDS = 500_000, 1 << 22, 1_000_000
+
+
+#: Signs that stand for , . and newline where a text is cut, so that a word and the stop after it are two pieces.
+_MARKS = {",": "\x01", ".": "\x02", "\n": "\x03"}
+_SIGNS = {v: k for k, v in _MARKS.items()}
+#: Beginnings of pieces that have no space before them; the NUL stands for the text's own beginning.
+_LEADS = ("\0", *_SIGNS)
+#: Signs after a word that are one token class, whatever follows.
+_CLOSING = "!?;:)]}%&$#*"
+#: What a piece is like at its borders: ends in a sign or a space, begins with a stop, begins with a newline, never cut here.
+_ENDS_SIGN, _ENDS_SPACE, _BEGINS_STOP, _BEGINS_LINE, _NEVER = 1, 2, 4, 8, 16
 
 
 class Encoder:
-    """A byte-level BPE tokenizer with a memo of space-separated pieces.
+    """A byte-level BPE tokenizer with a memo of pieces.
 
-    A space before a character that is no space always begins a token of such tokenizers, so a text's ids are those of
-    its pieces, each with the space before it. Texts where that does not hold (runs of spaces, strings of added tokens)
-    are encoded whole. A piece of letters, with stops after it or not, is one word for the tokenizer's model, which is
-    then called directly. A tokenizer that fails a comparison on a sample is used on whole texts only."""
+    Such tokenizers cut a text at spaces before other characters, between letters and signs, and at newlines. Texts are
+    cut there first: at single spaces, and before each comma, stop and newline. The ids of the pieces in a row are the
+    text's, unless signs or spaces would meet across a cut; texts where they do are encoded whole. A piece of letters is
+    one word for the tokenizer's model, which is called directly. Tokenizers of other kinds, or that fail a comparison on
+    a sample, are used on whole texts only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,71 +64,122 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" \s", *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Byte-level tokenizers write each byte as a letter; the pre-tokenizer shows which.
         show = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.letters = {i: show(chr(i))[0][0] for i in range(128)} | {ord(b): show(c)[0][0][k] for c in map(chr, [*range(128, 0x800, 1), 0x800, *range(0x1000, 0xD000, 0x1000), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x40000)]) for k, b in enumerate(c.encode().decode("latin-1"))}
-        sample = "A b. c's 12 x\n y\t?! z Straße, naïve... où"
-        self.stops: dict[str, list[int]] = {}
+        samples = [chr(i) for i in range(128)] + [chr(i) for i in (*range(128, 0x800), 0x800, *range(0x1000, 0xD000, 0x1000), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x40000))]
+        self.letters = {ord(b): show(c)[0][0][k] for c in samples for k, b in enumerate(c.encode().decode("latin-1"))}
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.leads = {"\0": []} | {mark: self._ids(sign) for mark, sign in _SIGNS.items()}
+        self.signs: dict[str, list[int]] = {}
+        sample = "A b. c's 12,5 x\ny\t?! z Straße, naïve... où.\n\nEnd"
         self.clear()
-        self.by_piece = self.tokenizer.normalizer is None
-        self.by_piece = self.by_piece and self.encode(sample).tolist() == self._ids(sample)
+        self.by_piece = self.tokenizer.normalizer is None and all(self.encode(t).tolist() == self._ids(t) for t in (sample, sample.replace("...", ".").replace("\n\n", "\n"), "a b, c.\nd"))
         self.clear()
 
+    by_piece = True
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.start, self.length = array("I"), array("q"), array("q")
-
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word)]
-
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of a piece without the space before it; one that begins a text has a NUL before it."""
-        core = piece.rstrip(".,")
-        if not core.isalpha():
-            return [i for word, _ in self.split(piece[1:] if piece[:1] == "\0" else " " + piece) for i in self._word(word)]
-        k = self.number.get(core)
-        spaced = " " + core
-        ids = self.flat[self.start[k] : self.start[k] + self.length[k]].tolist() if k is not None else self._word(spaced.translate(self.letters) if core.isascii() else spaced.encode().decode("latin-1").translate(self.letters))
-        if len(core) < len(piece):
-            stops = piece[len(core) :]
-            if stops not in self.stops:
-                self.stops[stops] = self._ids(stops)
-            ids += self.stops[stops]
-        return ids
-
-    def _learn(self, pieces: list[str]) -> None:
+        self.flat, self.start, self.length, self.border = array("I"), array("i"), array("i"), bytearray()
+        self.seen = bytearray(SEEN)
+
+    def _border(self, piece: str, text: str) -> int:
+        last = text[-1:]
+        out = (_ENDS_SPACE if last.isspace() else 0) | (_ENDS_SIGN if last and not last.isalnum() and not last.isspace() else 0)
+        out |= _BEGINS_STOP if piece[:1] in "\x01\x02" else _BEGINS_LINE if piece[:1] == "\x03" else 0
+        return out | (_NEVER if not text or text[0].isspace() and piece[0] not in "\x03\0" else 0)
+
+    def _learn(self, pieces: list[str], number: dict[str, int]) -> None:
+        letters, tokenize, space = self.letters, self.model.tokenize, self.letters[32]
+        start, length, flat, border = self.start, self.length, self.flat, self.border
         for piece in pieces:
-            ids = self._piece(piece)
-            self.number[piece] = len(self.start)
-            self.start.append(len(self.flat))
-            self.length.append(len(ids))
-            self.flat.extend(ids)
+            if piece.isalpha():
+                ids = [t.id for t in tokenize(space + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)))]
+                border.append(0)
+            else:
+                first, rest = piece[:1], piece[1:]
+                core = piece.rstrip(_CLOSING)
+                if first in _LEADS and rest.isalpha():
+                    ids = self.leads[first] + [t.id for t in tokenize(rest if rest.isascii() else rest.encode().decode("latin-1").translate(letters))]
+                    border.append(self._border(piece, rest))
+                elif core.isalpha():
+                    signs = piece[len(core) :]
+                    if signs not in self.signs:
+                        self.signs[signs] = self._ids(signs)
+                    ids = [t.id for t in tokenize(space + (core if core.isascii() else core.encode().decode("latin-1").translate(letters)))] + self.signs[signs]
+                    border.append(_ENDS_SIGN)
+                else:
+                    text = _SIGNS[first] + rest if first in _SIGNS else rest if first == "\0" else piece
+                    ids = [t.id for word, _ in self.split(text if first in _LEADS else " " + text) for t in tokenize(word)]
+                    border.append(self._border(piece or " ", text))
+            number[piece] = len(start)
+            start.append(len(flat))
+            length.append(len(ids))
+            flat.extend(ids)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces. The memo takes a piece when it is met again; before that it is learned for this text only."""
+        at = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        lacking = np.flatnonzero(at < 0).tolist()
+        if lacking:
+            seen, again, once = self.seen, [], []
+            for piece in dict.fromkeys([pieces[i] for i in lacking]):
+                k = hash(piece) % SEEN
+                (again if seen[k] else once).append(piece)
+                seen[k] = 1
+            self._learn(again, self.number)
+            self.kept = (len(self.start), len(self.flat))
+            own: dict[str, int] = {}
+            self._learn(once, own)
+            at[lacking] = [own[p] if p in own else self.number[p] for p in [pieces[i] for i in lacking]]
+        return at
+
+    def _forget(self) -> None:
+        if self.kept[0] < len(self.start):
+            del self.start[self.kept[0] :], self.length[self.kept[0] :], self.border[self.kept[0] :], self.flat[self.kept[1] :]
+
+    kept = (0, 0)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not self.by_piece or "\0" in text or self.whole.search(text):
+        if not self.by_piece or any(m in text for m in ("\0", *_SIGNS, *self.added)):
             return np.array(self._ids(text), np.uint32)
+        for sign, mark in _MARKS.items():
+            text = text.replace(sign, " " + mark)
         pieces = text.split(" ")
-        pieces[0] = "\0" + pieces[0]
-        at = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
-        if (at < 0).any():
-            if len(self.number) > MEMO_PIECES:
-                self.clear()
-                new = dict.fromkeys(pieces)
-            else:
-                new = dict.fromkeys(pieces[i] for i in np.flatnonzero(at < 0).tolist())
-            self._learn(list(new))
-            at = np.fromiter(map(self.number.get, pieces), np.int64, len(pieces))
-        n = np.frombuffer(self.length, np.int64)[at]
-        ends = np.cumsum(n)
-        return np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[at] - (ends - n), n) + np.arange(ends[-1])]
+        if pieces[0]:
+            pieces[0] = "\0" + pieces[0]
+        else:
+            del pieces[0]
+            if text[1:2] not in _SIGNS:
+                return self._whole(text)
+        if len(self.number) > MEMO_PIECES:
+            self.clear()
+        at = self._numbers(pieces)
+        ids = self._joined(at)
+        self._forget()
+        return self._whole(text) if ids is None else ids
+
+    def _joined(self, at: np.ndarray) -> np.ndarray | None:
+        """The ids of pieces in a row; None where signs or spaces meet."""
+        border = np.frombuffer(self.border, np.uint8)[at]
+        if border.any():
+            # A sign meets a stop, or a space a newline: the bits of what begins, shifted, are those of what ends.
+            if (border[:-1] & (border[1:] >> 2) & 3).any() or (border & _NEVER).any():
+                return None
+        n = np.frombuffer(self.length, np.int32)[at]
+        ends = np.cumsum(n, dtype=np.int32)
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int32)[at] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)]
+
+    def _whole(self, marked: str) -> np.ndarray:
+        for sign, mark in _MARKS.items():
+            marked = marked.replace(" " + mark, sign)
+        return np.array(self._ids(marked), np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -155,39 +218,44 @@ class Grammar:
 
 
 def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST_PAIRS) -> Grammar:
-    """A grammar of ids, all smaller than first."""
-    seq, made, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
+    """A grammar of ids, all smaller than first.
+
+    Pairs are counted in hashed bins, and a bin stands for one of its pairs, mostly its only one; only that pair is replaced."""
+    narrow = first + rounds * rules <= 1 << 16
+    half, odd, bits = (np.uint32(16), np.uint32(2654435761), np.uint32(32 - BIN_BITS)) if narrow else (np.uint64(32), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BIN_BITS))
+    kind = np.uint32 if narrow else np.uint64
+    seq, made, lengths = ids.astype(kind), [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bin_of = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        holder = np.zeros(BINS, np.uint64)
+        key = (seq[:-1] << half) | seq[1:]
+        bin_of = ((key * odd) >> bits).astype(np.int32)
+        holder = np.zeros(1 << BIN_BITS, kind)
         holder[bin_of] = key
-        mine = holder[bin_of] == key
-        count = np.bincount(bin_of[mine], minlength=BINS)
+        count = np.bincount(bin_of, minlength=1 << BIN_BITS)
         best = np.flatnonzero(count >= least)
         if len(best) > rules:
             best = best[np.argsort(-count[best], kind="stable")[:rules]]
         if not len(best):
             break
-        rule_of = np.full(BINS, -1, np.int32)
+        rule_of = np.full(1 << BIN_BITS, -1, np.int16 if rules < 1 << 15 else np.int32)
         rule_of[best] = np.arange(len(best))
         chosen = rule_of[bin_of]
-        at = np.flatnonzero(mine & (chosen >= 0))
-        new_run = np.concatenate(([True], np.diff(at) != 1))
+        at = np.flatnonzero(chosen >= 0)
+        at = at[holder[bin_of[at]] == key[at]]
+        new_run = np.concatenate(([True], at[1:] - at[:-1] != 1))
         run_start = at[new_run][np.cumsum(new_run) - 1]
         at = at[(at - run_start) % 2 == 0]
         base = first + len(lengths)
-        pairs = np.stack([holder[best] >> np.uint64(32), holder[best] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        pairs = np.stack([holder[best] >> half, holder[best] & kind((1 << int(half)) - 1)], axis=1).astype(np.uint32)
         inner = pairs.astype(np.int64) - first
         lengths = np.concatenate((lengths, np.where(inner < 0, 1, lengths[np.maximum(inner, 0)] if len(lengths) else 1).sum(axis=1)))
         made.append(pairs)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = base + chosen[at]
+        seq[at] = base + chosen[at].astype(np.int64)
         seq = seq[keep]
-    return Grammar(first, np.concatenate(made), lengths, seq)
+    return Grammar(first, np.concatenate(made), lengths, seq.astype(np.uint32))
 
 
 FIELDS = "range int, shard int, n_ids long, ids array<long>, lens array<long>, first long, rules binary, lengths binary, symbols binary, wide boolean, marks binary"
@@ -232,19 +300,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Tokenises docs and writes the file at path. tokenizer: the place of a tokenizers JSON that every executor has."""
 
     def run(batches):
+        gc.disable()  # lists of tokens come and go by the million, and none is in a cycle
         code = encoder(tokenizer)
         first = max(code.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        place, shard, keys, lens, parts = None, 0, [], [], []
+        place, shard, keys, lens, parts, n = None, 0, [], [], [], 0
         for batch in batches:
             for at, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if at != place or sum(lens) >= shard_ids:
+                if at != place or n >= shard_ids:
                     if keys:
                         yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
-                    shard, place, keys, lens, parts = (shard + 1 if at == place else 0), at, [], [], []
+                    shard, place, keys, lens, parts, n = (shard + 1 if at == place else 0), at, [], [], [], 0
                 ids = np.append(code.encode(text.as_py() or ""), np.uint32(end_id))
                 keys.append(key)
                 lens.append(len(ids))
                 parts.append(ids)
+                n += len(ids)
         if keys:
             yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
 
