@@ -33,7 +33,8 @@ def dealt(df: DataFrame, id_col: str, text_col: str, rows_each: int = 20_000, ah
     if ahead:
         firsts = df.select(key.alias("key")).withColumn("range", place).groupBy("range").agg(F.min("key")).collect()
         first = dict(sorted((r[0], r[1]) for r in firsts))
-        before = dict(zip(first, [list(first)[-1], *list(first)[:-1]], strict=True))
+        order = list(first)
+        before = dict(zip(order, order[-1:] + order[:-1], strict=True))
         own = F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead"))
         at = lambda values: F.element_at(F.array(*[F.lit(values.get(i)) for i in range(n)]), F.col("range") + 1)
         copy = F.struct(at(before).cast("int").alias("range"), F.lit(1).alias("ahead"))
