@@ -16,7 +16,6 @@ from recollect.functions import text as X
 from recollect.operators import ledger
 
 NS = "namespace"
-CANDIDATE = [NS, "history", "kind", "item_seq", "text", "cost", "turn_id", "status", "slot_key", "slot_value"]
 
 
 def entry_cost() -> Column:
@@ -41,16 +40,18 @@ def deduplicated(facts: DataFrame) -> DataFrame:
 def candidates(facts: DataFrame, summaries: DataFrame, deduplicate: bool = True) -> DataFrame:
     """Facts and summaries as candidates, twice: history = false with active facts, history = true with all."""
     own = deduplicated if deduplicate else (lambda f: f)
+    tokens = X.retrieval_tokens(F.col("text")).alias("tokens")
     entries = own(ledger.active_entries(facts)).withColumn("history", F.lit(False)).unionByName(own(facts).withColumn("history", F.lit(True)))
-    a = entries.select(NS, "history", F.lit("entry").alias("kind"), F.col("seq").alias("item_seq"), "text", entry_cost().alias("cost"), F.col("source_turn_id").alias("turn_id"), "status", "slot_key", "slot_value")
+    a = entries.select(NS, "history", F.lit("entry").alias("kind"), F.col("seq").alias("item_seq"), "text", entry_cost().alias("cost"), F.col("source_turn_id").alias("turn_id"), "status", "slot_key", "slot_value", tokens)
     none = F.lit(None).cast("string")
-    b = summaries.withColumn("history", F.explode(F.array(F.lit(False), F.lit(True)))).select(NS, "history", F.lit("summary").alias("kind"), F.col("seq").alias("item_seq"), "text", summary_cost().alias("cost"), summary_turn().alias("turn_id"), none.alias("status"), none.alias("slot_key"), none.alias("slot_value"))
-    return a.unionByName(b)
+    # Tokens are made before a summary is doubled, so that its text is read once.
+    once = summaries.select(NS, F.lit("summary").alias("kind"), F.col("seq").alias("item_seq"), "text", summary_cost().alias("cost"), summary_turn().alias("turn_id"), none.alias("status"), none.alias("slot_key"), none.alias("slot_value"), tokens)
+    return a.unionByName(once.withColumn("history", F.explode(F.array(F.lit(False), F.lit(True)))))
 
 
 def document_frequency(cands: DataFrame) -> DataFrame:
     """(namespace, history, token, df): candidates that have a token."""
-    return cands.select(NS, "history", F.explode(X.retrieval_tokens(F.col("text"))).alias("token")).groupBy(NS, "history", "token").agg(F.count("*").alias("df"))
+    return cands.select(NS, "history", F.explode("tokens").alias("token")).groupBy(NS, "history", "token").agg(F.count("*").alias("df"))
 
 
 def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching_only: bool = False) -> DataFrame:
@@ -59,16 +60,17 @@ def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching
     history: auto (by the question), always or never. matching_only leaves out candidates that share no token."""
     wants = {"auto": X.wants_history(F.col("query")), "always": F.lit(True), "never": F.lit(False)}[history]
     asked = queries.withColumn("history", wants)
+    kept = cands.drop("tokens")
     sizes = cands.groupBy(NS, "history").agg(F.count("*").alias("n"), F.max("turn_id").alias("last_turn"))
     tokens = asked.select("query_id", NS, "history", F.explode(X.retrieval_tokens(F.col("query"))).alias("token"))
     weighted = tokens.join(document_frequency(cands), [NS, "history", "token"]).join(sizes, [NS, "history"]).withColumn("weight", F.log(1.0 + (F.col("n") + 1) / (F.col("df") + 1)))
-    having = cands.select(NS, "history", "kind", "item_seq", F.explode(X.retrieval_tokens(F.col("text"))).alias("token"))
+    having = cands.select(NS, "history", "kind", "item_seq", F.explode("tokens").alias("token"))
     lexical = weighted.join(having, [NS, "history", "token"]).groupBy("query_id", NS, "history", "kind", "item_seq").agg(F.sum("weight").alias("lexical"), F.count("*").alias("n_shared"))
     keys = ["query_id", NS, "history", "kind", "item_seq"]
     if matching_only:
-        rows = lexical.join(cands, [NS, "history", "kind", "item_seq"]).join(asked.select("query_id", "query", "budget_tokens"), "query_id")
+        rows = lexical.join(kept, [NS, "history", "kind", "item_seq"]).join(asked.select("query_id", "query", "budget_tokens"), "query_id")
     else:
-        rows = asked.join(cands, [NS, "history"]).join(lexical, keys, "left")
+        rows = asked.join(kept, [NS, "history"]).join(lexical, keys, "left")
     recency = F.coalesce(F.col("turn_id") / F.nullif("last_turn", F.lit(0)), F.lit(0.0)) * C.RECENCY_WEIGHT
     return rows.join(sizes, [NS, "history"]).withColumn("score", F.round(F.coalesce("lexical", F.lit(0.0)) + recency, 9)).withColumn("n_shared", F.coalesce("n_shared", F.lit(0))).drop("lexical", "n", "last_turn")
 
