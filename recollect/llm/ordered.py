@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOWEST = -(1 << 63)
+#: More rows make larger ranges, not more of them; a range is sorted with spilling and read as a stream.
+MOST_RANGES = 1 << 14
 
 
 def ranges(df: DataFrame, id_col: str, rows_each: int) -> list[int]:
     """Lower bounds of id ranges of about rows_each rows; only ids are read, only the bounds come to the driver."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
     n = df.count()
-    parts = max(1, -(-n // rows_each))
+    parts = max(1, min(MOST_RANGES, -(-n // rows_each)))
     if n == 0 or parts == 1:
         return []
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
     return sorted(set(cuts))
 
 
+def place_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above key: first among every step-th bound, then inside that step."""
+    longs = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    block = F.size(F.filter(longs([b[0] for b in blocks]), lambda b: b <= key))
+    inside = F.size(F.filter(F.element_at(F.array(*[longs(b) for b in blocks]), F.greatest(block, F.lit(1))), lambda b: b <= key))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
+
+
 def dealt(df: DataFrame, id_col: str, text_col: str, rows_each: int = 20_000, ahead: bool = False) -> DataFrame:
     """(range int, ahead int, id long, text string), partitioned by range, sorted by ahead, id (null first) and text.
 
@@ -27,7 +41,7 @@ def dealt(df: DataFrame, id_col: str, text_col: str, rows_each: int = 20_000, ah
     bounds = ranges(df, id_col, rows_each)
     n = len(bounds) + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    place = place_of(F.col("key"), bounds)
     rows = df.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("range", place)
     if ahead:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, fingerprint, licenses, mixing, secrets, simhash, substrings, tokens, toxicity, warc
+from recollect.llm import decontaminate, fingerprint, licenses, mixing, ordered, secrets, simhash, substrings, tokens, toxicity, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, score double, hash string, `range` int, size bigint, key string, n bigint"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -385,6 +385,13 @@ def test_fingerprints(docs, data):
         assert sorted((str(r.id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_digest, r.same_edited, r.same_next) for r in got) == sorted(want)
 
 
+def test_places_among_bounds(spark):
+    for n in (0, 1, 2, 3, 10, 50):
+        bounds = sorted(random.Random(n).sample(range(-100, 100), n))
+        rows = spark.range(-110, 110).withColumn("place", ordered.place_of(F.col("id"), bounds)).collect()
+        assert all(r.place == sum(b <= r.id for b in bounds) for r in rows)
+
+
 def test_canonical_form():
     assert fingerprint.canonical("ÉCOLE  ﬁn x") == fingerprint.canonical("école fin x") == fingerprint.canonical(" École\tfin\nx ")
     assert fingerprint.canonical("Straße") == fingerprint.canonical("STRASSE") and fingerprint.canonical(None) == b""
