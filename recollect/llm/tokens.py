@@ -1,6 +1,6 @@
 """Token-id files compressed by Re-Pair grammars.
 
-Documents are dealt by ranges of their ids and tokenised in order. About a million ids make a shard; a shard never
+Documents are dealt by ranges of their ids and tokenised in order. About half a million ids make a shard; a shard never
 cuts a document. In a shard the most frequent pairs of neighbouring symbols become nonterminals, in rounds: each round
 counts all pairs, replaces up to ``RULES`` frequent ones at once (of overlapping occurrences every second, from the
 left) and the next round counts again. A shard's row in the file keeps the rules, the expansion length of every
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from recollect.llm.common import scratch_path, shuffles_dropped, small_side
 from recollect.llm.ordered import dealt
 
-SHARD_IDS, ROUNDS, RULES, LEAST_PAIRS, MARK = 1 << 20, 4, 2048, 8, 1024
-BIN_BITS = 19
-MEMO_PIECES, SEEN, BROADCAST_SHARDS = 500_000, 1 << 22, 1_000_000
+SHARD_IDS, ROUNDS, RULES, LEAST_PAIRS, MARK = 1 << 19, 4, 2048, 8, 1024
+BIN_BITS = 18
+MEMO_PIECES, SEEN, BROADCAST_SHARDS = 300_000, 1 << 22, 1_000_000
 
 
 #: Signs that stand for , . and newline where a text is cut, so that a word and the stop after it are two pieces.
@@ -122,14 +122,14 @@ class Encoder:
             flat.extend(ids)
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of pieces. The memo takes a piece when it is met again; before that it is learned for this text only."""
+        """Numbers of pieces. The memo takes a piece when it is met again and there is room; others are learned for this text only."""
         at = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
         lacking = np.flatnonzero(at < 0).tolist()
         if lacking:
-            seen, again, once = self.seen, [], []
+            seen, again, once, room = self.seen, [], [], MEMO_PIECES - len(self.number)
             for piece in dict.fromkeys([pieces[i] for i in lacking]):
                 k = hash(piece) % SEEN
-                (again if seen[k] else once).append(piece)
+                (again if seen[k] and room > len(again) else once).append(piece)
                 seen[k] = 1
             self._learn(again, self.number)
             self.kept = (len(self.start), len(self.flat))
@@ -158,8 +158,6 @@ class Encoder:
             del pieces[0]
             if text[1:2] not in _SIGNS:
                 return self._whole(text)
-        if len(self.number) > MEMO_PIECES:
-            self.clear()
         at = self._numbers(pieces)
         ids = self._joined(at)
         self._forget()
@@ -229,7 +227,7 @@ def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES
         if len(seq) < 2 * least:
             break
         key = (seq[:-1] << half) | seq[1:]
-        bin_of = ((key * odd) >> bits).astype(np.int32)
+        bin_of = ((key * odd) >> bits).astype(np.intp)
         holder = np.zeros(1 << BIN_BITS, kind)
         holder[bin_of] = key
         count = np.bincount(bin_of, minlength=1 << BIN_BITS)
@@ -300,7 +298,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Tokenises docs and writes the file at path. tokenizer: the place of a tokenizers JSON that every executor has."""
 
     def run(batches):
-        gc.disable()  # lists of tokens come and go by the million, and none is in a cycle
+        gc.set_threshold(100_000)  # short-lived lists of tokens come by the million
         code = encoder(tokenizer)
         first = max(code.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         place, shard, keys, lens, parts, n = None, 0, [], [], [], 0
@@ -319,7 +317,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
 
     with shuffles_dropped(docs.sparkSession):
-        dealt(docs, id_col, text_col, rows_each).mapInArrow(run, FIELDS).write.option("compression", "zstd").parquet(path)
+        dealt(docs, id_col, text_col, rows_each).mapInArrow(run, FIELDS).write.option("compression", "snappy").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -338,7 +336,8 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 shard = Shard(row)
                 ids = shard.all()
                 out, start = [], 0
