@@ -22,7 +22,7 @@ import gc
 import os
 import zlib
 from array import array
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from recollect.llm.ordered import dealt
 
 SHARD_IDS, ROUNDS, RULES, LEAST_PAIRS, MARK = 1 << 19, 4, 2048, 8, 1024
 BIN_BITS = 18
-MEMO_PIECES, SEEN, BROADCAST_SHARDS = 300_000, 1 << 22, 1_000_000
+MEMO_PIECES, SEEN, TOGETHER, BROADCAST_SHARDS = 300_000, 1 << 22, 32, 1_000_000
 
 
 #: Signs that stand for , . and newline where a text is cut, so that a word and the stop after it are two pieces.
@@ -64,7 +64,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = ["\0", *_SIGNS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         # Byte-level tokenizers write each byte as a letter; the pre-tokenizer shows which.
         show = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         samples = [chr(i) for i in range(128)] + [chr(i) for i in (*range(128, 0x800), 0x800, *range(0x1000, 0xD000, 0x1000), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x40000))]
@@ -127,15 +127,19 @@ class Encoder:
         lacking = np.flatnonzero(at < 0).tolist()
         if lacking:
             seen, again, once, room = self.seen, [], [], MEMO_PIECES - len(self.number)
-            for piece in dict.fromkeys([pieces[i] for i in lacking]):
+            missing = [pieces[i] for i in lacking]
+            for piece in dict.fromkeys(missing):
                 k = hash(piece) % SEEN
-                (again if seen[k] and room > len(again) else once).append(piece)
-                seen[k] = 1
+                if seen[k] and room > len(again):
+                    again.append(piece)
+                else:
+                    seen[k] = 1
+                    once.append(piece)
             self._learn(again, self.number)
             self.kept = (len(self.start), len(self.flat))
-            own: dict[str, int] = {}
+            own = {piece: self.number[piece] for piece in again}
             self._learn(once, own)
-            at[lacking] = [own[p] if p in own else self.number[p] for p in [pieces[i] for i in lacking]]
+            at[lacking] = list(map(own.__getitem__, missing))
         return at
 
     def _forget(self) -> None:
@@ -145,39 +149,54 @@ class Encoder:
     kept = (0, 0)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not self.by_piece or any(m in text for m in ("\0", *_SIGNS, *self.added)):
-            return np.array(self._ids(text), np.uint32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; the pieces of all of them are looked up at once."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        lists, owner = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            pieces = self._pieces(text)
+            if pieces is None:
+                out[i] = np.array(self._ids(text), np.uint32)
+            else:
+                lists.append(pieces)
+                owner.append(i)
+        if not lists:
+            return out
+        at = self._numbers(lists[0] if len(lists) == 1 else list(chain.from_iterable(lists)))
+        last = np.cumsum([len(pieces) for pieces in lists]) - 1
+        border = np.frombuffer(self.border, np.uint8)[at]
+        # A sign meets a stop, or a space a newline: the bits of what begins, shifted, are those of what ends.
+        bad = np.concatenate((border[:-1] & (border[1:] >> 2) & 3, [0])) | (border & _NEVER)
+        bad[last] = border[last] & _NEVER
+        n = np.frombuffer(self.length, np.int32)[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int32)[at] - (ends - n), n) + np.arange(ends[-1])]
+        for i, own in zip(owner, np.split(ids, ends[last[:-1]]), strict=True):
+            out[i] = own
+        if bad.any():
+            for k in np.unique(np.searchsorted(last, np.flatnonzero(bad))).tolist():
+                out[owner[k]] = np.array(self._ids(texts[owner[k]]), np.uint32)
+        self._forget()
+        return out
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """text cut into pieces; None where it must be encoded whole."""
+        if not self.by_piece or any(m in text for m in self.odd):
+            return None
         for sign, mark in _MARKS.items():
             text = text.replace(sign, " " + mark)
         pieces = text.split(" ")
         if pieces[0]:
             pieces[0] = "\0" + pieces[0]
-        else:
+        elif text[1:2] in _SIGNS:
             del pieces[0]
-            if text[1:2] not in _SIGNS:
-                return self._whole(text)
-        at = self._numbers(pieces)
-        ids = self._joined(at)
-        self._forget()
-        return self._whole(text) if ids is None else ids
-
-    def _joined(self, at: np.ndarray) -> np.ndarray | None:
-        """The ids of pieces in a row; None where signs or spaces meet."""
-        border = np.frombuffer(self.border, np.uint8)[at]
-        if border.any():
-            # A sign meets a stop, or a space a newline: the bits of what begins, shifted, are those of what ends.
-            if (border[:-1] & (border[1:] >> 2) & 3).any() or (border & _NEVER).any():
-                return None
-        n = np.frombuffer(self.length, np.int32)[at]
-        ends = np.cumsum(n, dtype=np.int32)
-        return np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int32)[at] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)]
-
-    def _whole(self, marked: str) -> np.ndarray:
-        for sign, mark in _MARKS.items():
-            marked = marked.replace(" " + mark, sign)
-        return np.array(self._ids(marked), np.uint32)
+        else:
+            return None
+        return pieces
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -303,16 +322,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         first = max(code.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         place, shard, keys, lens, parts, n = None, 0, [], [], [], 0
         for batch in batches:
-            for at, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if at != place or n >= shard_ids:
-                    if keys:
-                        yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
-                    shard, place, keys, lens, parts, n = (shard + 1 if at == place else 0), at, [], [], [], 0
-                ids = np.append(code.encode(text.as_py() or ""), np.uint32(end_id))
-                keys.append(key)
-                lens.append(len(ids))
-                parts.append(ids)
-                n += len(ids)
+            for start in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(start, TOGETHER)
+                coded = code.encode_all([t or "" for t in some.column(3).to_pylist()])
+                for at, key, own in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), coded, strict=True):
+                    if at != place or n >= shard_ids:
+                        if keys:
+                            yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
+                        shard, place, keys, lens, parts, n = (shard + 1 if at == place else 0), at, [], [], [], 0
+                    ids = np.append(own, np.uint32(end_id))
+                    keys.append(key)
+                    lens.append(len(ids))
+                    parts.append(ids)
+                    n += len(ids)
         if keys:
             yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
 
