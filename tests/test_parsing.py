@@ -5,7 +5,7 @@ import pytest
 from recollect.functions import parsing as P
 from recollect.operators import families
 
-TURNS = [(1, "Deploy the service to the NPU"), (5, "polaris-node-09 is the target"), (3, "The checklist reflects this"), (7, "The alert threshold is 0.83")]
+TURNS = [(1, "Put the parser on the new host"), (5, "otter-17 is the target"), (3, "The list says so"), (7, "The alert threshold is 0.83")]
 
 
 def test_fenced():
@@ -24,7 +24,7 @@ def test_siblings():
 
 
 def test_loop_is_salvaged_to_one():
-    one = '{"kind": "number", "text": "The anomaly alert threshold is 0.83", "source_turn_id": 7}'
+    one = '{"kind": "number", "text": "The pressure threshold is 0.83", "source_turn_id": 7}'
     facts, flags, _ = P.extract("[" + ", ".join([one] * 6) + "]", TURNS)
     assert len(facts) == 1 and flags["loop_detected"] and flags["loop_salvaged"] and flags["success"]
 
