@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-The class is the history: P(word | class) = max(c(class, word) - D, 0) / c(class) + backoff(class) * P(word), with
-one P(word) for both classes, made of continuation counts (in how many of 64 hashed left contexts a word stands, over
-all labelled rows, plus one for the unseen). A rare word therefore says little, whatever class it was seen in. The
+The class is the history: P(word | class) = max(c(class, word) - D(c), 0) / c(class) + backoff(class) * P(word), with
+one P(word) for both classes, made of continuation counts (after how many different words a word stands, over all
+labelled rows, plus one for the unseen). A rare word therefore says little, whatever class it was seen in. The
 log-likelihood difference of the two classes, normalised by length, is taken over the whole text and at the text's
 most telling words (the best, second, third, fifth and ninth); a logistic calibration turns these into a score.
 
@@ -34,7 +34,7 @@ from recollect.llm.common import small_side, written
 FOLDS = 3
 RANKS, STANDS_OUT = (1, 2, 3, 5, 9), 3.5
 VOCABULARY, CALIBRATION_ROWS, BROADCAST_LABELS = 1 << 17, 20_000, 1_000_000
-LONGEST_WORD, FLUSH_WORDS = 40, 200_000
+LONGEST_WORD, FLUSH_WORDS = 40, 1_000_000
 _FOLD = bytes((i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32) for i in range(256))
 COUNTS = [f"{kind}{fold}" for kind in ("toxic", "plain") for fold in range(FOLDS)]
 
@@ -49,49 +49,51 @@ def fold_of(doc_id: int | None) -> int:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic0.., plain0.., contexts): words of rows (id, text, toxic) by class and fold, and the left contexts as 64 bits."""
-    schema = pa.schema([("word", pa.binary()), *((c, pa.int64()) for c in COUNTS), ("contexts", pa.int64())])
+    """(word, toxic0.., plain0.., contexts): words of rows (id, text, toxic) by class and fold, and the number of different
+    left words; a text's start is one, too. Distinct pairs of words are summed first, then the pairs of each word."""
+    schema = pa.schema([("left_word", pa.binary()), ("word", pa.binary()), *((c, pa.int64()) for c in COUNTS)])
 
-    def table(seen):
-        n = np.array([x[0] for x in seen.values()], np.int64).reshape(len(seen), -1)
-        bits = np.array([x[1] for x in seen.values()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array(n[:, i]) for i in range(len(COUNTS))), pa.array(bits)], schema=schema)
+    def table(words, lefts, rights, places):
+        key, at = np.unique(np.concatenate(lefts) * len(words) + np.concatenate(rights), return_inverse=True)
+        n = np.bincount(at * len(COUNTS) + np.concatenate(places), minlength=len(key) * len(COUNTS)).reshape(-1, len(COUNTS))
+        named = pa.array(words, pa.binary())
+        return pa.RecordBatch.from_arrays([named.take(pa.array(key // len(words))), named.take(pa.array(key % len(words))), *(pa.array(n[:, i]) for i in range(len(COUNTS)))], schema=schema)
 
     def run(batches):
-        seen: dict[bytes, list] = {}
+        number, lefts, rights, places, size = {b"": 0}, [], [], [], 0
         for batch in batches:
             for key, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-                at, left = (0 if toxic else FOLDS) + fold_of(key), 1
-                for word in words_of(text.as_py()):
-                    own = seen.get(word)
-                    if own is None:
-                        own = seen[word] = [[0] * len(COUNTS), 0]
-                    own[0][at] += 1
-                    own[1] |= left
-                    left = 1 << (hash_of(word))
-                if len(seen) >= FLUSH_WORDS:
-                    yield table(seen)
-                    seen = {}
-        if seen:
-            yield table(seen)
-
-    def hash_of(word: bytes, known: dict[bytes, int] = {}) -> int:  # noqa: B006
-        n = known.get(word)
-        if n is None:
-            if len(known) > FLUSH_WORDS:
-                known.clear()
-            n = known[word] = xxhash.xxh32_intdigest(word) & 63
-        return n
-
-    made = rows.mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS) + ", contexts long")
-    return made.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS], F.bit_or("contexts").alias("contexts"))
+                own = np.fromiter((number.setdefault(w, len(number)) for w in words_of(text.as_py())), np.int64)
+                lefts.append(np.concatenate(([0], own[:-1]))[: len(own)])
+                rights.append(own)
+                places.append(np.full(len(own), (0 if toxic else FOLDS) + fold_of(key)))
+                size += len(own)
+                if size >= FLUSH_WORDS:
+                    yield table(list(number), lefts, rights, places)
+                    number, lefts, rights, places, size = {b"": 0}, [], [], [], 0
+        if size:
+            yield table(list(number), lefts, rights, places)
+
+    made = rows.mapInArrow(run, "left_word binary, word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    pairs = made.groupBy("left_word", "word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count("*").alias("contexts"))
+
+
+def discounts(often: np.ndarray) -> np.ndarray:
+    """What is taken off a count of 0, 1, 2 and 3 or more, by how many words come once, twice, three and four times
+    (modified Kneser-Ney): each at least as much as the one before and less than the count."""
+    out = [0.0, min(0.95, max(0.5, often[0] / max(often[0] + 2.0 * often[1], 1.0)))]
+    for k in (2, 3):
+        fit = k - (k + 1) * out[1] * often[k] / often[k - 1] if often[k - 1] else 0.0
+        out.append(min(k - 0.05, max(out[-1], fit)))
+    return np.array(out)
 
 
 class Model:
     """Log-likelihood differences by word, whole and without each fold."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, continuation: np.ndarray, totals: np.ndarray, types: np.ndarray, singles: np.ndarray, doubles: np.ndarray, all_continuation: float):
-        """n: words x (class, fold). totals, types, singles, doubles: by class, and over all words, not only the model's."""
+    def __init__(self, words: list[bytes], n: np.ndarray, continuation: np.ndarray, totals: np.ndarray, types: np.ndarray, often: np.ndarray, all_continuation: float):
+        """n: words x (class, fold). totals, types, often (words seen once to four times): by class, and over all words, not only the model's."""
         self.words = {w: i for i, w in enumerate(words)}
         shared = (continuation + 1.0) / (all_continuation + max(types.sum(), 1) + 1.0)
         self.values = []
@@ -101,9 +103,10 @@ class Model:
             for k in range(2):
                 c = n[:, k, keep].sum(axis=1).astype(float)
                 total = max(float(totals[k, keep].sum()), 1.0)
-                discount = min(0.95, max(0.5, singles[k] / max(singles[k] + 2.0 * doubles[k], 1.0)))
-                backoff = min(1.0, max(discount * types[k] * len(keep) / FOLDS / total, 1e-6))
-                logs.append(np.log(np.maximum(c - discount, 0) / total + backoff * shared))
+                discount = discounts(often[k])
+                seen = np.array([0, often[k][0], often[k][1], types[k] - often[k][0] - often[k][1]])
+                backoff = min(1.0, max(float(discount @ seen) * len(keep) / FOLDS / total, 1e-6))
+                logs.append(np.log(np.maximum(c - discount[np.minimum(c, 3).astype(int)], 0) / total + backoff * shared))
             self.values.append(np.append(logs[0] - logs[1], 0.0).astype(np.float32))
 
     def features(self, text: bytes | None, fold: int | None = None) -> np.ndarray:
@@ -147,17 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = written(counts(rows), "counts")
     kinds = {k: sum((F.col(f"{k}{f}") for f in range(1, FOLDS)), F.col(f"{k}0")) for k in ("toxic", "plain")}
     facts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
-    facts += [F.count(F.when(test(n), 1)).alias(f"{k}_{name}") for k, n in kinds.items() for name, test in (("types", lambda n: n > 0), ("singles", lambda n: n == 1), ("doubles", lambda n: n == 2))]
-    fact = table.agg(*facts, F.coalesce(F.sum(F.bit_count("contexts")), F.lit(0)).alias("continuation")).first()
+    facts += [F.count(F.when(test(n), 1)).alias(f"{k}_{name}") for k, n in kinds.items() for name, test in (("types", lambda n: n > 0), *((f"often{i}", lambda n, i=i: n == i) for i in range(1, 5)))]
+    fact = table.agg(*facts, F.coalesce(F.sum("contexts"), F.lit(0)).alias("continuation")).first()
     totals = np.array([fact[c] for c in COUNTS]).reshape(2, FOLDS)
     share = known.agg(F.coalesce(F.avg(F.col("toxic").cast("double")), F.lit(0.0))).first()[0]
     if not totals[0].sum() or not totals[1].sum():
         return None, np.zeros(0), float(share)
     chosen = table.filter(kinds["toxic"] > 0).orderBy(kinds["toxic"].desc(), "word").limit(vocabulary).union(table.orderBy((kinds["toxic"] + kinds["plain"]).desc(), "word").limit(vocabulary)).dropDuplicates(["word"])
-    got = chosen.withColumn("contexts", F.bit_count("contexts")).toArrow()
+    got = chosen.toArrow()
     n = np.stack([got.column(c).to_numpy() for c in COUNTS], axis=1).reshape(-1, 2, FOLDS)
     by = lambda name: np.array([fact[f"{k}_{name}"] for k in kinds], float)
-    model = Model([bytes(w) for w in got.column("word").to_pylist()], n, got.column("contexts").to_numpy().astype(float), totals, by("types"), by("singles"), by("doubles"), float(fact["continuation"]))
+    model = Model([bytes(w) for w in got.column("word").to_pylist()], n, got.column("contexts").to_numpy().astype(float), totals, by("types"), np.stack([by(f"often{i}") for i in range(1, 5)], axis=1), float(fact["continuation"]))
     sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(calibration_rows)
     shared = spark.sparkContext.broadcast(model)
 

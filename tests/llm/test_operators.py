@@ -441,6 +441,14 @@ def test_toxicity_without_both_classes(spark, empty):
     assert toxicity.scores(empty, spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")).count() == 0
 
 
+def test_continuation_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FLUSH_WORDS", 50)
+    rows = [(i, f"left{i % 150} word left{i % 150} word", i % 2 == 0) for i in range(300)] + [(300, "word", True), (301, None, True), (302, "", False)]
+    got = {bytes(r.word): r for r in toxicity.counts(spark.createDataFrame(rows, "id bigint, text string, toxic boolean").repartition(3)).collect()}
+    assert got[b"word"].contexts == 151 and got[b"left7"].contexts == 2
+    assert sum(got[b"word"][c] for c in toxicity.COUNTS) == 601 and len(got) == 151
+
+
 # --- 9 Substrings ---
 
 
