@@ -6,9 +6,10 @@ labelled rows, plus one for the unseen). A rare word therefore says little, what
 log-likelihood difference of the two classes, normalised by length, is taken over the whole text and at the text's
 most telling words (the best, second, third, fifth and ninth); a logistic calibration turns these into a score.
 
-Counts cover every labelled training row and are summed by Spark. The model that goes to the executors holds the
-``vocabulary`` words most frequent in toxic rows and as many of the most frequent in all rows (a fixed bound); other
-words count as seen in neither class, with no difference. The calibration alone is fitted on a bounded sample: at most
+Counts cover every labelled training row and are summed by Spark. The ``vocabulary`` words most frequent in toxic rows
+and as many of the most frequent in all rows go to the executors; the differences of all other words are a table that
+the words of the texts are joined to, so ``vocabulary`` shifts work and changes no score. Words of no labelled row
+have no difference. The calibration alone is fitted on a bounded sample: at most
 ``calibration_rows`` training rows, those with the smallest hashes. Its features come from models without the row's
 own fold, as counts are kept by fold.
 
@@ -26,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import small_side, written
@@ -89,35 +90,87 @@ def discounts(often: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def differences(n: np.ndarray, continuation: np.ndarray, totals: np.ndarray, types: np.ndarray, often: np.ndarray, all_continuation: float) -> np.ndarray:
+    """Log-likelihood differences of words, whole and without each fold, by row. n: words x (class, fold).
+    totals, types, often (words seen once to four times): by class, over all words."""
+    shared = (continuation + 1.0) / (all_continuation + max(types.sum(), 1) + 1.0)
+    values = []
+    for left_out in [None, *range(FOLDS)]:
+        keep = [f for f in range(FOLDS) if f != left_out]
+        logs = []
+        for k in range(2):
+            c = n[:, k, keep].sum(axis=1).astype(float)
+            total = max(float(totals[k, keep].sum()), 1.0)
+            discount = discounts(often[k])
+            seen = np.array([0, often[k][0], often[k][1], types[k] - often[k][0] - often[k][1]])
+            backoff = min(1.0, max(float(discount @ seen) * len(keep) / FOLDS / total, 1e-6))
+            logs.append(np.log(np.maximum(c - discount[np.minimum(c, 3).astype(int)], 0) / total + backoff * shared))
+        values.append((logs[0] - logs[1]).astype(np.float32))
+    return np.array(values)
+
+
+def valued(batch: pa.RecordBatch | pa.Table, facts: tuple) -> np.ndarray:
+    """differences() of rows of counts()."""
+    n = np.stack([batch.column(c).to_numpy() for c in COUNTS], axis=1).reshape(-1, 2, FOLDS)
+    return differences(n, batch.column("contexts").to_numpy().astype(float), *facts)
+
+
 class Model:
-    """Log-likelihood differences by word, whole and without each fold."""
+    """The differences of the words that are most asked for, by word, and a table (word, value) of all others."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, continuation: np.ndarray, totals: np.ndarray, types: np.ndarray, often: np.ndarray, all_continuation: float):
-        """n: words x (class, fold). totals, types, often (words seen once to four times): by class, and over all words, not only the model's."""
+    def __init__(self, words: list[bytes], values: np.ndarray, rare: DataFrame | None = None):
         self.words = {w: i for i, w in enumerate(words)}
-        shared = (continuation + 1.0) / (all_continuation + max(types.sum(), 1) + 1.0)
-        self.values = []
-        for left_out in [None, *range(FOLDS)]:
-            keep = [f for f in range(FOLDS) if f != left_out]
-            logs = []
-            for k in range(2):
-                c = n[:, k, keep].sum(axis=1).astype(float)
-                total = max(float(totals[k, keep].sum()), 1.0)
-                discount = discounts(often[k])
-                seen = np.array([0, often[k][0], often[k][1], types[k] - often[k][0] - often[k][1]])
-                backoff = min(1.0, max(float(discount @ seen) * len(keep) / FOLDS / total, 1e-6))
-                logs.append(np.log(np.maximum(c - discount[np.minimum(c, 3).astype(int)], 0) / total + backoff * shared))
-            self.values.append(np.append(logs[0] - logs[1], 0.0).astype(np.float32))
-
-    def features(self, text: bytes | None, fold: int | None = None) -> np.ndarray:
-        """The best words' differences by rank, the mean of all (length-normalised likelihoods), how many stand out, and 1."""
-        values = self.values[0 if fold is None else fold + 1]
+        self.values = np.concatenate([values, np.zeros((len(values), 1), np.float32)], axis=1)
+        self.rare = rare
+
+    def __getstate__(self):
+        return {"words": self.words, "values": self.values, "rare": None}
+
+    def parts(self, text: bytes | None, fold: int) -> tuple[int, float, int, list[float], list[bytes]]:
+        """Words, and of those known here the sum, how many stand out and the best; the words that are not known here."""
         own, none = words_of(text), len(self.words)
-        v = values[np.fromiter(map(self.words.get, own, repeat(none)), np.int64, len(own))].astype(float) if own else np.zeros(1)
+        at = np.fromiter(map(self.words.get, own, repeat(none)), np.int64, len(own))
+        v = self.values[fold + 1][at[at < none]].astype(float)
         few = min(len(v), RANKS[-1])
-        best = np.sort(np.partition(v, len(v) - few)[len(v) - few :])[::-1]
-        out = (v > STANDS_OUT).sum()
-        return np.array([*(best[min(r, few) - 1] for r in RANKS), v.mean(), np.log1p(out), out / len(v), 1.0])
+        best = np.partition(v, len(v) - few)[len(v) - few :] if few else v
+        return len(own), float(v.sum()), int((v > STANDS_OUT).sum()), best.tolist(), [own[i] for i in np.flatnonzero(at == none).tolist()]
+
+
+def combined(n: int, total: float, out: int, best: list[float], asked: int, found: list[float] | None) -> np.ndarray:
+    """The best words' differences by rank, the mean of all (length-normalised likelihoods), how many stand out, and 1."""
+    more = np.array(found or [], float)
+    few = min(max(n, 1), RANKS[-1])
+    v = np.concatenate([best, more, np.zeros(min(asked - len(more), few) if n else 1)])
+    top = np.sort(v)[::-1][:few]
+    out += int((more > STANDS_OUT).sum())
+    return np.array([*(top[min(r, few) - 1] for r in RANKS), (total + float(more.sum())) / max(n, 1), np.log1p(out), out / max(n, 1), 1.0])
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def features(texts: DataFrame, model: Model, shared) -> DataFrame:
+    """(key, fold, x): of each different text and fold of texts (key, text, fold), with the words' differences without
+    that fold (-1: whole). Words that the executors do not hold are joined to the table of the others."""
+    schema = pa.schema([("key", pa.binary()), ("fold", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("out", pa.int64()), ("best", pa.list_(pa.float64())), ("rest", pa.list_(pa.binary()))])
+
+    def run(batches):
+        for batch in batches:
+            made = [shared.value.parts(t.as_py(), f) for t, f in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), batch.column(2).cast(pa.int32()), *(pa.array([x[i] for x in made], schema.field(i + 2).type) for i in range(5))], schema=schema)
+
+    def put(batches):
+        for batch in batches:
+            x = [combined(r["n"], r["total"], r["out"], r["best"], r["asked"], r["found"]).tolist() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["key", "fold", "x"])
+
+    made = texts.select("key", F.col("text").cast("string"), F.col("fold").cast("int")).mapInArrow(run, "key binary, fold int, n long, total double, out long, best array<double>, rest array<binary>")
+    known = written(made.dropDuplicates(["key", "fold"]), "known-words")
+    asked = known.select("key", "fold", F.explode("rest").alias("word")).join(model.rare, "word")
+    found = asked.groupBy("key", "fold").agg(F.sort_array(F.collect_list(F.element_at("value", F.col("fold") + 2).cast("double"))).alias("found"))
+    return known.withColumn("asked", F.size("rest")).drop("rest").join(found, ["key", "fold"], "left").mapInArrow(put, "key binary, fold int, x array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -158,38 +211,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None, np.zeros(0), float(share)
     chosen = table.filter(kinds["toxic"] > 0).orderBy(kinds["toxic"].desc(), "word").limit(vocabulary).union(table.orderBy((kinds["toxic"] + kinds["plain"]).desc(), "word").limit(vocabulary)).dropDuplicates(["word"])
     got = chosen.toArrow()
-    n = np.stack([got.column(c).to_numpy() for c in COUNTS], axis=1).reshape(-1, 2, FOLDS)
     by = lambda name: np.array([fact[f"{k}_{name}"] for k in kinds], float)
-    model = Model([bytes(w) for w in got.column("word").to_pylist()], n, got.column("contexts").to_numpy().astype(float), totals, by("types"), np.stack([by(f"often{i}") for i in range(1, 5)], axis=1), float(fact["continuation"]))
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(calibration_rows)
+    known_facts = (totals, by("types"), np.stack([by(f"often{i}") for i in range(1, 5)], axis=1), float(fact["continuation"]))
+    model = Model([bytes(w) for w in got.column("word").to_pylist()], valued(got, known_facts))
     shared = spark.sparkContext.broadcast(model)
 
-    def featured(batches):
+    def others(batches):
         for batch in batches:
-            x = [shared.value.features(t.as_py(), fold_of(k)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tolist() for v in x], pa.list_(pa.float64())), batch.column(2)], ["x", "toxic"])
+            rest = batch.filter(pa.array([w not in shared.value.words for w in batch.column("word").to_pylist()], pa.bool_()))
+            values = valued(rest, known_facts).T
+            yield pa.RecordBatch.from_arrays([rest.column("word"), pa.array(values.tolist(), pa.list_(pa.float32()))], ["word", "value"])
 
-    fit_on = texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("id", "text", "toxic").mapInArrow(featured, "x array<double>, toxic boolean").toArrow()
-    x, y = np.array(fit_on.column("x").to_pylist(), float), fit_on.column("toxic").to_numpy().astype(float)
+    model.rare = written(table.mapInArrow(others, "word binary, value array<float>"), "other-words")
+    sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(calibration_rows)
+    fold = F.shiftright(F.crc32(F.col("id").cast("string")), 2) % FOLDS
+    fit_on = written(texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(text_key(F.col("text")).alias("key"), "text", fold.cast("int").alias("fold"), "toxic"), "calibration")
+    fitted = fit_on.select("key", "fold", "toxic").join(features(fit_on, model, shared), ["key", "fold"]).select("x", "toxic").toArrow()
+    x, y = np.array(fitted.column("x").to_pylist(), float), fitted.column("toxic").to_numpy().astype(float)
     return model, logistic(expanded(x), y), float(share)
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """docs with a column score (in place of one of that name): all rows, all columns."""
     model, weights, share = train(docs, labels, id_col, text_col, label_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights, share))
     own = docs.drop("score")
-    schema = own.withColumn("score", F.lit(0.0)).schema
+    if model is None:
+        return own.withColumn("score", F.lit(share))
 
     def run(batches):
-        model, weights, share = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            if model is None:
-                found = np.full(batch.num_rows, share)
-            else:
-                x = np.array([model.features(t.as_py()) for t in batch.column(at).cast(pa.binary())]).reshape(batch.num_rows, -1)
-                found = 1 / (1 + np.exp(-np.clip(expanded(x) @ weights, -30, 30))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
-
-    return own.mapInArrow(run, schema)
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            found = 1 / (1 + np.exp(-np.clip(expanded(x) @ weights, -30, 30))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["toxicity_key", "score"])
+
+    texts = own.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), F.lit(-1).alias("fold"))
+    scored = features(texts, model, docs.sparkSession.sparkContext.broadcast(model)).select("key", "x").mapInArrow(run, "toxicity_key binary, score double")
+    return own.withColumn("toxicity_key", text_key(F.col(text_col))).join(written(scored, "scores"), "toxicity_key").select(*own.columns, "score")

@@ -449,6 +449,15 @@ def test_continuation_counts_are_exact(spark, monkeypatch):
     assert sum(got[b"word"][c] for c in toxicity.COUNTS) == 601 and len(got) == 151
 
 
+def test_toxicity_drops_no_word(spark):
+    rnd = random.Random(7)
+    rows = [(i, sentence(rnd, 40) + (" zorx blefth" if i % 5 == 0 else ""), i % 5 == 0) for i in range(200)] + [(900, None, False), (901, rnd.choice(["", "zorx"]), False)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(r[0], int(r[2])) for r in rows if r[0] < 900], "doc_id bigint, toxic int")
+    few, all_words = ({r.doc_id: r.score for r in toxicity.scores(docs, labels, **options).collect()} for options in ({"vocabulary": 3}, {}))
+    assert few.keys() == all_words.keys() and all(abs(few[k] - all_words[k]) < 1e-6 for k in few)
+    assert min(all_words[k] for k in range(0, 200, 5)) > 0.3
+
+
 # --- 9 Substrings ---
 
 
