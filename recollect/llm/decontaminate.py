@@ -5,8 +5,9 @@ the sorted positions of that term; positions run on through the segment's docume
 between two, so no phrase crosses a border. The index is a table, made without a shuffle and independent of
 the test set. A query block (the test items' windows, bounded in words) visits all segments: a window whose
 terms are not all present is skipped, others start from the rarest term's list, shift it by the term's
-offset and intersect it with the next rarest until none is left. Proximity looks at an item's rarest terms
-and asks for all of them within ``slop`` words.
+offset and intersect it with the next rarest until none is left. An item is near a document if some stretch of
+the document, ``slop`` words longer than the item at most, holds every term of the item. The rarest term's list
+gives the candidates, the others are verified, so segments do not change what is found.
 
 Defined results: a null text has no words; an item without words matches nothing; an item shorter than a
 window is one window; items with equal ids are one item; a null item id is written as an empty string;
@@ -68,16 +69,16 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class QueryBlock:
     """The windows of a block of items: term numbers by window, padded with -1, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int, rarest: int = 4):
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window, self.number, rows, owners = window, {}, {}, []
         self.items: list[str] = sorted({name for name, _ in items})
         at = {name: i for i, name in enumerate(self.items)}
-        self.bags: list[tuple[int, list[int]]] = []
+        self.bags: list[tuple[int, list[int], int]] = []
         for name, text in items:
             own = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
             if not own:
                 continue
-            self.bags.append((at[name], sorted(set(own))))
+            self.bags.append((at[name], sorted(set(own)), len(own)))
             for i in range(max(1, len(own) - window + 1)):
                 k = rows.setdefault(tuple(own[i : i + window]), len(rows))
                 if k == len(owners):
@@ -87,7 +88,6 @@ class QueryBlock:
         self.rows = np.full((len(rows), window), -1, np.int64)
         for k, row in enumerate(rows):
             self.rows[k, : len(row)] = row
-        self.rarest = rarest
 
 
 class Segment:
@@ -132,23 +132,47 @@ def phrase_matches(seg: Segment, block: QueryBlock) -> list[tuple[int, np.ndarra
     return found
 
 
-def proximity_matches(seg: Segment, block: QueryBlock, slop: int) -> list[tuple[int, np.ndarray]]:
-    """(item, positions of its rarest term) where the item's rarest terms, up to block.rarest of them, lie within slop words."""
+def _covered(places: list[np.ndarray], width: int) -> bool:
+    """Whether a stretch of width words holds a place of each list."""
+    at = np.concatenate(places)
+    order = np.argsort(at, kind="stable")
+    at, term = at[order].tolist(), np.repeat(np.arange(len(places)), [len(p) for p in places])[order].tolist()
+    last, first, missing = [0] * len(places), 0, len(places)
+    for x, t in zip(at, term, strict=True):
+        missing -= last[t] == 0
+        last[t] += 1
+        while x - at[first] >= width:
+            last[term[first]] -= 1
+            missing += last[term[first]] == 0
+            first += 1
+        if not missing:
+            return True
+    return False
+
+
+def proximity_matches(seg: Segment, block: QueryBlock, slop: int, base: np.ndarray) -> list[tuple[int, list[int]]]:
+    """(item, documents of the segment) where all terms of the item lie in a stretch of its length and slop words."""
     found = []
-    for item, bag in block.bags:
-        df = seg.df[bag]
-        if (df == 0).any() and (df > 0).sum() < min(block.rarest, len(bag)):
+    for item, bag, length in block.bags:
+        df, width = seg.df[bag], length + slop
+        if (df == 0).any():
             continue
-        near = [bag[i] for i in np.argsort(np.where(df == 0, np.iinfo(np.int64).max, df), kind="stable")[: block.rarest].tolist()]
+        near = [bag[i] for i in np.argsort(df, kind="stable").tolist()]
         at = seg.postings(near[0])
         for q in near[1:]:
             if not len(at):
                 break
             other = seg.postings(q)
-            after = np.searchsorted(other, at - slop)
-            at = at[(after < len(other)) & (other[np.minimum(after, len(other) - 1)] <= at + slop)]
-        if len(at):
-            found.append((item, at))
+            after = np.searchsorted(other, at - width + 1)
+            at = at[(after < len(other)) & (other[np.minimum(after, len(other) - 1)] < at + width)]
+        docs = []
+        for doc in np.unique(np.searchsorted(base, at, "right") - 1).tolist():
+            ends = (base[doc], base[doc + 1] if doc + 1 < len(base) else np.iinfo(np.int64).max)
+            own = [p[slice(*np.searchsorted(p, ends))] for p in map(seg.postings, near)]
+            if all(map(len, own)) and _covered(own, width):
+                docs.append(doc)
+        if docs:
+            found.append((item, docs))
     return found
 
 
@@ -173,8 +197,8 @@ def query_index(index: DataFrame, items: list[tuple[str, bytes]], window: int =
             for doc in np.unique(np.searchsorted(base, starts, "right") - 1).tolist():
                 items_of.setdefault(doc, set()).update(block.owners[k])
         if slop:
-            for item, at in proximity_matches(seg, block, slop):
-                for doc in np.unique(np.searchsorted(base, at, "right") - 1).tolist():
+            for item, docs in proximity_matches(seg, block, slop, base):
+                for doc in docs:
                     near_of.setdefault(doc, set()).add(item)
         hits: dict[int, list[list[int]]] = {}
         if spans:

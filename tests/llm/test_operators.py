@@ -555,6 +555,16 @@ def test_proximity_finds_what_phrases_miss(spark):
     assert got == {1: ([], ["1"]), 2: ([], [])}
 
 
+def test_proximity_is_of_all_terms_and_of_no_segment(spark):
+    item = "amber birch cedar dune ember fjord"
+    texts = [item[::-1], "fjord so ember so dune so cedar so birch so amber", "amber birch cedar dune so so", "fjord ember dune cedar birch", "amber so", "amber amber birch birch", "ember fjord dune cedar birch " + "so " * 9 + "amber"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50 + i, f"cedar dune ember fjord {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for words in (1, 12, 1 << 19):
+        got = decontaminate.query_index(decontaminate.build_index(docs, segment_words=words), [("1", item.encode())], slop=6).collect()
+        assert {r.id for r in got if r.near} == {1}
+
+
 def test_matches_without_rows(spark, empty, docs):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.matches(empty, bench).count() == 0
