@@ -1,15 +1,15 @@
 """Token-id files compressed by Re-Pair grammars.
 
-Documents are dealt by ranges of their ids and tokenised in order. About half a million ids make a shard; a shard never
-cuts a document. In a shard the most frequent pairs of neighbouring symbols become nonterminals, in rounds: each round
-counts all pairs, replaces up to ``RULES`` frequent ones at once (of overlapping occurrences every second, from the
-left) and the next round counts again. A shard's row in the file keeps the rules, the expansion length of every
-nonterminal, the remaining symbols and, for every 1024th symbol, the number of ids before it; so one document is
-decoded from the symbols that cover it, without the rest of the shard.
-
-File layout, format 1: a Parquet folder with a row per shard: range, shard (order within it), n_ids, ids (document
+Documents are dealt by ranges of their ids and tokenised in order. About a million ids make a shard; a shard never
+cuts a document. In a shard the most frequent pairs of neighbouring symbols become nonterminals until no pair comes
+``LEAST_PAIRS`` times. A shard's row in the file keeps the rules, the expansion length of every nonterminal, the
+remaining symbols and, for every 1024th symbol, the number of ids before it; so one document is decoded from the
+symbols that cover it, without the rest of the shard (``lookup``).
+
+File layout, format 2: a Parquet folder with a row per shard: range, shard (order within it), n_ids, ids (document
 ids), lens (ids of each document, end included), first (number of terminals), rules (pairs of u32), lengths (u32),
-symbols (u16, or u32 if wide), marks (u64). Little-endian. Global offsets follow from n_ids.
+width and n_symbols, symbols (width bits each, highest first), marks (u64). Little-endian but for the symbols. Global
+offsets follow from n_ids.
 
 Defined results: a null text counts as empty; a null id comes first; rows with equal ids stand in the order of their
 texts; an empty document is the end id alone; a text of any length is one document; an empty table makes an empty file;
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from recollect.llm.common import scratch_path, shuffles_dropped, small_side
 from recollect.llm.ordered import dealt
 
-SHARD_IDS, ROUNDS, RULES, LEAST_PAIRS, MARK = 1 << 19, 4, 2048, 8, 1024
-BIN_BITS = 18
+SHARD_IDS, LEAST_PAIRS, MARK = 1 << 20, 8, 1024
 MEMO_PIECES, SEEN, TOGETHER, BROADCAST_SHARDS = 300_000, 1 << 22, 32, 1_000_000
 
 
@@ -234,58 +233,87 @@ class Grammar:
         return symbols
 
 
-def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST_PAIRS) -> Grammar:
-    """A grammar of ids, all smaller than first.
-
-    Pairs are counted in hashed bins, and a bin stands for one of its pairs, mostly its only one; only that pair is replaced."""
-    narrow = first + rounds * rules <= 1 << 16
-    half, odd, bits = (np.uint32(16), np.uint32(2654435761), np.uint32(32 - BIN_BITS)) if narrow else (np.uint64(32), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BIN_BITS))
-    kind = np.uint32 if narrow else np.uint64
-    seq, made, lengths = ids.astype(kind), [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        key = (seq[:-1] << half) | seq[1:]
-        bin_of = ((key * odd) >> bits).astype(np.intp)
-        holder = np.zeros(1 << BIN_BITS, kind)
-        holder[bin_of] = key
-        count = np.bincount(bin_of, minlength=1 << BIN_BITS)
-        best = np.flatnonzero(count >= least)
-        if len(best) > rules:
-            best = best[np.argsort(-count[best], kind="stable")[:rules]]
-        if not len(best):
+def _sorted_pairs(seq: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of symbols that begin at the places at, sorted, as one number each, and their places."""
+    room = np.uint64(max(1, len(seq).bit_length()))
+    key = (seq[at] << np.uint64(bits)) | seq[at + 1]
+    if 2 * bits + int(room) <= 64:
+        packed = np.sort((key << room) | at.astype(np.uint64))
+        return packed >> room, (packed & np.uint64((1 << int(room)) - 1)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], at[order]
+
+
+def repair(ids: np.ndarray, first: int, least: int = LEAST_PAIRS) -> Grammar:
+    """A grammar of ids, all smaller than first, in which no pair of symbols comes least times any more.
+
+    Each round counts all pairs exactly (in a run of one symbol every second place counts) and ranks those that come
+    least times or more by count, ties by the symbols. A place is replaced if its pair ranks above those of both
+    neighbouring places, so the top pair is replaced wherever it stands, like in one step of Re-Pair, and with it all
+    pairs that it does not touch. A pair that keeps fewer than least places waits for a later round. From the second
+    round on only pairs that came least times before, or hold a new symbol, are counted: no other can have gained."""
+    seq, made, lengths = ids.astype(np.uint64), [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
+    live = np.ones(max(0, len(seq) - 1), bool)
+    while len(seq) >= 2 * least:
+        at, base = np.flatnonzero(live), first + len(lengths)
+        same = at[seq[at] == seq[at + 1]]
+        new_run = np.concatenate(([True], np.diff(same) != 1))
+        overlap = same[(same - same[new_run][np.cumsum(new_run) - 1]) % 2 == 1] if len(same) else same
+        if len(overlap):
+            live[overlap] = False
+            at = np.flatnonzero(live)
+        bits = base.bit_length()
+        key, place = _sorted_pairs(seq, at, bits)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(key)))
+        often = count >= least
+        if not often.any():
             break
-        rule_of = np.full(1 << BIN_BITS, -1, np.int16 if rules < 1 << 15 else np.int32)
-        rule_of[best] = np.arange(len(best))
-        chosen = rule_of[bin_of]
-        at = np.flatnonzero(chosen >= 0)
-        at = at[holder[bin_of[at]] == key[at]]
-        new_run = np.concatenate(([True], at[1:] - at[:-1] != 1))
-        run_start = at[new_run][np.cumsum(new_run) - 1]
-        at = at[(at - run_start) % 2 == 0]
-        base = first + len(lengths)
-        pairs = np.stack([holder[best] >> half, holder[best] & kind((1 << int(half)) - 1)], axis=1).astype(np.uint32)
-        inner = pairs.astype(np.int64) - first
+        pairs, place, n = key[start[often]], place[np.repeat(often, count)], count[often]
+        rank = np.empty(len(n), np.int32)
+        rank[np.lexsort((pairs, -n))] = np.arange(len(n), 0, -1)
+        which, ranks = np.repeat(np.arange(len(n)), n), np.zeros(len(seq) + 1, np.int32)
+        mine = rank[which]
+        ranks[place + 1] = mine
+        wins = (mine > ranks[place]) & (mine > ranks[place + 2])
+        used = np.bincount(which[wins], minlength=len(n)) >= least
+        chosen = wins & used[which]
+        put = place[chosen]
+        candidate, fresh, keep = np.zeros(len(seq), bool), np.zeros(len(seq), bool), np.ones(len(seq), bool)
+        candidate[place], candidate[overlap], fresh[put], keep[put + 1] = True, True, True, False
+        seq[put] = (base + np.cumsum(used) - 1)[which[chosen]].astype(np.uint64)
+        seq, candidate, fresh = seq[keep], candidate[keep], fresh[keep]
+        live = (candidate | fresh)[:-1] | fresh[1:]
+        rules = np.stack([pairs[used] >> np.uint64(bits), pairs[used] & np.uint64((1 << bits) - 1)], axis=1).astype(np.uint32)
+        inner = rules.astype(np.int64) - first
         lengths = np.concatenate((lengths, np.where(inner < 0, 1, lengths[np.maximum(inner, 0)] if len(lengths) else 1).sum(axis=1)))
-        made.append(pairs)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq[at] = base + chosen[at].astype(np.int64)
-        seq = seq[keep]
+        made.append(rules)
     return Grammar(first, np.concatenate(made), lengths, seq.astype(np.uint32))
 
 
-FIELDS = "range int, shard int, n_ids long, ids array<long>, lens array<long>, first long, rules binary, lengths binary, symbols binary, wide boolean, marks binary"
-_SCHEMA = pa.schema([("range", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("first", pa.int64()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("wide", pa.bool_()), ("marks", pa.binary())])
+def packed_bits(symbols: np.ndarray, width: int) -> bytes:
+    """symbols as numbers of width bits, one after the other, highest bit first."""
+    bits = np.unpackbits(symbols.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(bits[:, 32 - width :]).tobytes()
+
+
+def unpacked_bits(data: bytes | memoryview, width: int, n: int) -> np.ndarray:
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
+FIELDS = "range int, shard int, n_ids long, ids array<long>, lens array<long>, first long, rules binary, lengths binary, width int, n_symbols long, symbols binary, marks binary"
+_SCHEMA = pa.schema([("range", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("first", pa.int64()), ("rules", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("n_symbols", pa.int64()), ("symbols", pa.binary()), ("marks", pa.binary())])
 
 
 def pack(place: int, shard: int, keys: list, lens: list[int], ids: np.ndarray, first: int) -> dict:
     made = repair(ids, first)
-    wide = len(made.symbols) > 0 and int(made.symbols.max()) >= 1 << 16
+    width = max(1, int(made.symbols.max()).bit_length()) if len(made.symbols) else 1
     before = np.concatenate(([0], np.cumsum(made.weights(made.symbols))))[:-1:MARK] if len(made.symbols) else np.zeros(0)
     return {
         "range": place, "shard": shard, "n_ids": len(ids), "ids": keys, "lens": lens, "first": first, "rules": made.rules.astype("<u4").tobytes(), "lengths": made.lengths.astype("<u4").tobytes(),
-        "symbols": made.symbols.astype("<u4" if wide else "<u2").tobytes(), "wide": wide, "marks": before.astype("<u8").tobytes(),
+        "width": width, "n_symbols": len(made.symbols), "symbols": packed_bits(made.symbols, width), "marks": before.astype("<u8").tobytes(),
     }
 
 
@@ -293,19 +321,25 @@ class Shard:
     """Reads a row of the file."""
 
     def __init__(self, row: dict):
-        symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2").astype(np.uint32)
-        self.grammar = Grammar(row["first"], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4").astype(np.int64), symbols)
+        self.data, self.width, self.n_symbols = memoryview(row["symbols"]), row["width"], row["n_symbols"]
+        self.grammar = Grammar(row["first"], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.zeros(0, np.uint32))
         self.ids, self.marks = row["ids"], np.frombuffer(row["marks"], "<u8").astype(np.int64)
         self.ends = np.cumsum(np.array(row["lens"], np.int64))
 
+    def symbols(self, a: int, z: int) -> np.ndarray:
+        """From mark a up to mark z."""
+        n = min(z * MARK, self.n_symbols) - a * MARK
+        start = a * MARK * self.width // 8
+        return unpacked_bits(self.data[start : start - (-n * self.width // 8)], self.width, n)
+
     def all(self) -> np.ndarray:
-        return self.grammar.expand(self.grammar.symbols)
+        return self.grammar.expand(self.symbols(0, len(self.marks)))
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document, from the symbols around them only."""
         start, end = int(self.ends[k - 1]) if k else 0, int(self.ends[k])
         a, z = int(np.searchsorted(self.marks, start, "right")) - 1, int(np.searchsorted(self.marks, end, "left"))
-        part = self.grammar.symbols[a * MARK : z * MARK]
+        part = self.symbols(a, z)
         before = int(self.marks[a])
         ends = before + np.cumsum(self.grammar.weights(part))
         i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, end, "left")) + 1
@@ -372,6 +406,31 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return read_shards(spark, path).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long" + (", tokens array<long>" if with_ids else ""))
 
 
+def lookup(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, tokens): the documents whose ids wanted has, once per row of the file, each decoded from its own marks only.
+
+    Ids of shards are met by a join; a shard without a wanted document is not read further."""
+    shards = spark.read.parquet(path)
+    at = shards.select("range", "shard", F.posexplode("ids").alias("place", "id")).join(wanted.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
+    asked = at.groupBy("range", "shard").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard(row)
+                yield pa.RecordBatch.from_pylist([{"id": shard.ids[k], "tokens": shard.document(k).tolist()} for k in row["places"]], schema)
+
+    return shards.join(asked, ["range", "shard"]).mapInArrow(run, "id long, tokens array<long>")
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """One row: ids in the file, bytes of its symbols, rules and marks, and bytes of the ids as they are, two each or four."""
+    wide = F.when(F.col("first") > 1 << 16, 4).otherwise(2)
+    kept = F.octet_length("symbols") + F.octet_length("rules") + F.octet_length("lengths") + F.octet_length("marks")
+    return spark.read.parquet(path).agg(F.sum("n_ids").alias("n_ids"), F.sum(kept.cast("long")).alias("bytes"), F.sum(F.col("n_ids") * wide).alias("plain_bytes"))
+
+
 def tokenised(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Writes docs as a token file in the shared folder and reads its documents back."""
     path = scratch_path(docs.sparkSession, "tokens")

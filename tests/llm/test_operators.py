@@ -187,7 +187,7 @@ def test_tokens_random_access():
     rnd = np.random.default_rng(1)
     parts = [rnd.integers(0, 40, int(n)).astype(np.uint32) for n in rnd.integers(0, 3000, 60)] + [np.zeros(0, np.uint32)]
     shard = tokens.Shard(tokens.pack(0, 0, list(range(len(parts))), [len(p) for p in parts], np.concatenate(parts), 50))
-    assert len(shard.grammar.symbols) < sum(map(len, parts)) and len(shard.grammar.rules)
+    assert shard.n_symbols < sum(map(len, parts)) and len(shard.grammar.rules)
     assert all((shard.document(k) == p).all() and len(shard.document(k)) == len(p) for k, p in enumerate(parts))
     assert (shard.grammar.lengths == [len(shard.grammar.expand(np.array([50 + i], np.uint32))) for i in range(len(shard.grammar.rules))]).all()
 
@@ -200,6 +200,47 @@ def test_repair_keeps_runs_of_one_symbol(first):
         assert (made.expand(made.symbols) == ids).all()
 
 
+def places_of(seq, pair):
+    """How often pair can be replaced, from the left."""
+    n = i = 0
+    while i + 1 < len(seq):
+        step = (seq[i], seq[i + 1]) == pair
+        n, i = n + step, i + 1 + step
+    return n
+
+
+@pytest.mark.parametrize(("first", "kinds", "n"), [(9, 9, 3000), (2, 2, 600), (70_000, 60, 4000), (1 << 23, 5, 800)])
+def test_repair_leaves_no_frequent_pair(first, kinds, n):
+    rnd = random.Random(first)
+    ids = np.array(rnd.choices(range(kinds), [1 / (k + 1) for k in range(kinds)], k=n), np.uint32)
+    made = tokens.repair(ids, first, least=4)
+    assert (made.expand(made.symbols) == ids).all()
+    left, raw = made.symbols.tolist(), ids.tolist()
+    assert all(places_of(left, pair) < 4 for pair in {*zip(left, left[1:], strict=False)})
+    counts = {pair: places_of(raw, pair) for pair in {*zip(raw, raw[1:], strict=False)}}
+    top = max(counts.values())
+    assert {tuple(r) for r in made.rules.tolist()} & {pair for pair, c in counts.items() if c == top}
+    # Replaying the rules in order, each is worth its while when it is made, and gives what the grammar has.
+    assert all(max(r) < first + k for k, r in enumerate(made.rules.tolist()))
+
+
+def test_symbols_of_any_width():
+    for width in (1, 7, 16, 17, 32):
+        values = np.random.default_rng(width).integers(0, 1 << width, 1000, dtype=np.uint64).astype(np.uint32)
+        assert (tokens.unpacked_bits(tokens.packed_bits(values, width), width, 1000) == values).all()
+
+
+def test_token_lookup(spark, docs, data, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    tokens.write_tokens(docs, path, TOKENIZER, shard_ids=300, rows_each=6)
+    wanted = spark.createDataFrame([(1, "x"), (7, "x"), (9, "x"), (4, "x"), (555, "x")], "doc_id bigint, ids string")
+    got = sorted((r.id, r.tokens) for r in tokens.lookup(spark, path, wanted).collect())
+    order = sorted(((r[0], r[1]) for r in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert got == sorted((key, own) for (key, _), own in zip(order, slow_tokens(data), strict=True) if key in (1, 7, 9, 4))
+    size = tokens.sizes(spark, path).first()
+    assert size.n_ids == sum(map(len, slow_tokens(data))) and size.plain_bytes == 2 * size.n_ids and size.bytes > 0
+
+
 def test_encoder_equals_the_library():
     e = tokens.Encoder(TOKENIZER)
     assert e.by_piece
