@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,14 +14,31 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one is made only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in a single process
+    (local[..]), as in tests, gets a folder of its own; on a cluster, where executors would not see it, this is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="recollect-")
-        with contextlib.suppress(Exception):
-            spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="recollect-"))
+    return _OWN[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns of df, none of which it has in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 @contextlib.contextmanager

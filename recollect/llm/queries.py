@@ -74,9 +74,9 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of documents, with the rows that nothing was learned from."""
-    scored = toxicity.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    scored = toxicity.row_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,27 +2,29 @@
 
 The class is the history: P(word | class) = max(c(class, word) - D(c), 0) / c(class) + backoff(class) * P(word), with
 one P(word) for both classes, made of continuation counts (after how many different words a word stands, over all
-labelled rows, plus one for the unseen). A rare word therefore says little, whatever class it was seen in. The
-log-likelihood difference of the two classes, normalised by length, is taken over the whole text and at the text's
-most telling words (the best, second, third, fifth and ninth); a logistic calibration turns these into a score.
-
-Counts cover every labelled training row and are summed by Spark. The ``vocabulary`` words most frequent in toxic rows
-and as many of the most frequent in all rows go to the executors; the differences of all other words are a table that
-the words of the texts are joined to, so ``vocabulary`` shifts work and changes no score. Words of no labelled row
-have no difference. The calibration alone is fitted on a bounded sample: at most
+labelled rows, plus one for the unseen). A rare word therefore says little, whatever class it was seen in. A text is
+compared by length-normalised log-likelihood differences of the two classes: over the whole text, and over its most
+telling 10, 5, 2, 1 and half percent of words (``SHARES``; a word at least). A piecewise linear logistic calibration
+turns these six numbers into the score.
+
+Counts cover every labelled training row and are summed by Spark, by 64-bit hashes of the words; the left words of a
+word are counted exactly. The executors get the words that come most often (``vocabulary`` at most) as arrays. All
+other words of the texts go, packed by chunks of texts, to slices of the model by hash ranges and their differences
+come back, so ``vocabulary`` shifts work and changes no score, and neither a slice nor a chunk grows with the corpus.
+Words of no labelled row have the difference 0. The calibration alone is fitted on a bounded sample: at most
 ``calibration_rows`` training rows, those with the smallest hashes. Its features come from models without the row's
 own fold, as counts are kept by fold.
 
 Defined results: a null text counts as empty and gets the score of a text without evidence; labels that are null, or
 of rows that documents lacks, are not learned from; a document with several labels is toxic if one says so; equal
-texts get equal scores; without labels of both classes every score is the share of toxic labels, or 0; a null id is
-scored and is held out of nothing; label, language, source and id are never inputs of a score.
+texts get equal scores; without labels of both classes nothing can be told apart and every score is 0; a null id is
+scored and is held out of nothing; label, language, source and id are never inputs of a score; other columns of the
+rows stay as they are, whatever their names, and the score comes under the name that is asked for.
 """
 
 from __future__ import annotations
 
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import small_side, written
+from recollect.llm.common import fresh, small_side, written
 
 FOLDS = 3
-RANKS, STANDS_OUT = (1, 2, 3, 5, 9), 3.5
-VOCABULARY, CALIBRATION_ROWS, BROADCAST_LABELS = 1 << 17, 20_000, 1_000_000
-LONGEST_WORD, FLUSH_WORDS = 40, 1_000_000
+SHARES, HINGES = (0.005, 0.01, 0.02, 0.05, 0.1), (2.0, 3.0, 4.0)
+VOCABULARY, CALIBRATION_ROWS, BROADCAST_LABELS = 1 << 18, 20_000, 1_000_000
+FLUSH_WORDS, CHUNK_ASKED, SLICE_WORDS = 1_000_000, 1 << 18, 1 << 20
 _FOLD = bytes((i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32) for i in range(256))
 COUNTS = [f"{kind}{fold}" for kind in ("toxic", "plain") for fold in range(FOLDS)]
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return [w if len(w) <= LONGEST_WORD else b"#" + xxhash.xxh3_64_hexdigest(w).encode() for w in (text or b"").translate(_FOLD).split()]
+def hashes_of(text: bytes | None) -> np.ndarray:
+    """The words' hashes, in order."""
+    words = (text or b"").translate(_FOLD).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -50,34 +54,44 @@ def fold_of(doc_id: int | None) -> int:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic0.., plain0.., contexts): words of rows (id, text, toxic) by class and fold, and the number of different
-    left words; a text's start is one, too. Distinct pairs of words are summed first, then the pairs of each word."""
-    schema = pa.schema([("left_word", pa.binary()), ("word", pa.binary()), *((c, pa.int64()) for c in COUNTS)])
-
-    def table(words, lefts, rights, places):
-        key, at = np.unique(np.concatenate(lefts) * len(words) + np.concatenate(rights), return_inverse=True)
-        n = np.bincount(at * len(COUNTS) + np.concatenate(places), minlength=len(key) * len(COUNTS)).reshape(-1, len(COUNTS))
-        named = pa.array(words, pa.binary())
-        return pa.RecordBatch.from_arrays([named.take(pa.array(key // len(words))), named.take(pa.array(key % len(words))), *(pa.array(n[:, i]) for i in range(len(COUNTS)))], schema=schema)
-
-    def run(batches):
-        number, lefts, rights, places, size = {b"": 0}, [], [], [], 0
-        for batch in batches:
-            for key, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-                own = np.fromiter((number.setdefault(w, len(number)) for w in words_of(text.as_py())), np.int64)
-                lefts.append(np.concatenate(([0], own[:-1]))[: len(own)])
-                rights.append(own)
-                places.append(np.full(len(own), (0 if toxic else FOLDS) + fold_of(key)))
-                size += len(own)
-                if size >= FLUSH_WORDS:
-                    yield table(list(number), lefts, rights, places)
-                    number, lefts, rights, places, size = {b"": 0}, [], [], [], 0
-        if size:
-            yield table(list(number), lefts, rights, places)
-
-    made = rows.mapInArrow(run, "left_word binary, word binary, " + ", ".join(f"{c} long" for c in COUNTS))
-    pairs = made.groupBy("left_word", "word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count("*").alias("contexts"))
+    """(word, toxic0.., plain0.., contexts): hashes of the words of rows (id, text, toxic), how often they come by class
+    and fold, and after how many different words; a text's start is one, too. Python only sums what a million words
+    have in common; distinct pairs and all sums over the table are Spark's."""
+    cells = len(COUNTS)
+
+    def in_chunks(make):
+        def run(batches):
+            held, size = [], 0
+            for batch in batches:
+                for key, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                    own = hashes_of(text.as_py())
+                    held.append((own, (0 if toxic else FOLDS) + fold_of(key)))
+                    size += len(own)
+                    if size >= FLUSH_WORDS:
+                        yield make([h for h in held if len(h[0])])
+                        held, size = [], 0
+            if size:
+                yield make([h for h in held if len(h[0])])
+
+        return run
+
+    def totals(held):
+        words, at = np.unique(np.concatenate([own for own, _ in held]), return_inverse=True)
+        cell = np.repeat([c for _, c in held], [len(own) for own, _ in held])
+        n = np.bincount(at * cells + cell, minlength=len(words) * cells).reshape(-1, cells)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(n[:, i]) for i in range(cells))], ["word", *COUNTS])
+
+    def pairs(held):
+        words, at = np.unique(np.concatenate([own for own, _ in held]), return_inverse=True)
+        left = np.concatenate(([0], at[:-1] + 1))
+        left[np.cumsum([0, *(len(own) for own, _ in held[:-1])])] = 0
+        key = np.unique(left * len(words) + at)
+        return pa.RecordBatch.from_arrays([pa.array(words[key % len(words)].view(np.int64)), pa.array(np.concatenate(([np.uint64(0)], words))[key // len(words)].view(np.int64))], ["word", "left_word"])
+
+    often = rows.mapInArrow(in_chunks(totals), "word long, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn("contexts", F.lit(0).cast("long"))
+    after = rows.mapInArrow(in_chunks(pairs), "word long, left_word long").distinct().groupBy("word").agg(F.count("*").alias("contexts"))
+    both = often.unionByName(after, allowMissingColumns=True)
+    return both.groupBy("word").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTS, "contexts")])
 
 
 def discounts(often: np.ndarray) -> np.ndarray:
@@ -115,35 +129,38 @@ def valued(batch: pa.RecordBatch | pa.Table, facts: tuple) -> np.ndarray:
     return differences(n, batch.column("contexts").to_numpy().astype(float), *facts)
 
 
-class Model:
-    """The differences of the words that are most asked for, by word, and a table (word, value) of all others."""
+class Frequent:
+    """Hashes of the words that the executors hold, sorted, and their differences: whole and without each fold."""
 
-    def __init__(self, words: list[bytes], values: np.ndarray, rare: DataFrame | None = None):
-        self.words = {w: i for i, w in enumerate(words)}
-        self.values = np.concatenate([values, np.zeros((len(values), 1), np.float32)], axis=1)
-        self.rare = rare
+    def __init__(self, words: np.ndarray, values: np.ndarray):
+        order = np.argsort(words, kind="stable")
+        self.words, self.values = words[order], values[:, order]
 
-    def __getstate__(self):
-        return {"words": self.words, "values": self.values, "rare": None}
+    def look(self, own: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        """The differences of the words of own that are held, and the others."""
+        if not len(self.words):
+            return np.zeros(0), own
+        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+        held = self.words[at] == own
+        return self.values[fold + 1][at[held]].astype(float), own[~held]
 
-    def parts(self, text: bytes | None, fold: int) -> tuple[int, float, int, list[float], list[bytes]]:
-        """Words, and of those known here the sum, how many stand out and the best; the words that are not known here."""
-        own, none = words_of(text), len(self.words)
-        at = np.fromiter(map(self.words.get, own, repeat(none)), np.int64, len(own))
-        v = self.values[fold + 1][at[at < none]].astype(float)
-        few = min(len(v), RANKS[-1])
-        best = np.partition(v, len(v) - few)[len(v) - few :] if few else v
-        return len(own), float(v.sum()), int((v > STANDS_OUT).sum()), best.tolist(), [own[i] for i in np.flatnonzero(at == none).tolist()]
 
+def _most(n: int, share: float) -> int:
+    return max(1, int(np.ceil(share * n)))
 
-def combined(n: int, total: float, out: int, best: list[float], asked: int, found: list[float] | None) -> np.ndarray:
-    """The best words' differences by rank, the mean of all (length-normalised likelihoods), how many stand out, and 1."""
-    more = np.array(found or [], float)
-    few = min(max(n, 1), RANKS[-1])
-    v = np.concatenate([best, more, np.zeros(min(asked - len(more), few) if n else 1)])
-    top = np.sort(v)[::-1][:few]
-    out += int((more > STANDS_OUT).sum())
-    return np.array([*(top[min(r, few) - 1] for r in RANKS), (total + float(more.sum())) / max(n, 1), np.log1p(out), out / max(n, 1), 1.0])
+
+def combined(n: int, total: float, best: np.ndarray) -> list[float]:
+    """Length-normalised differences: of the most telling shares of a text of n words, and of all of it. best: its
+    largest differences, enough for the largest share."""
+    if not n:
+        return [0.0] * (len(SHARES) + 1)
+    sums = np.cumsum(np.sort(best)[::-1])
+    return [*(float(sums[_most(n, s) - 1]) / _most(n, s) for s in SHARES), total / n]
+
+
+def expanded(x: np.ndarray) -> np.ndarray:
+    """Features with hinges, for a curve that is not straight, and 1."""
+    return np.concatenate([np.clip(x, -20, 20), *(np.maximum(x - h, 0) for h in HINGES), np.ones((len(x), 1))], axis=1)
 
 
 def text_key(text: Column) -> Column:
@@ -151,26 +168,118 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def features(texts: DataFrame, model: Model, shared) -> DataFrame:
-    """(key, fold, x): of each different text and fold of texts (key, text, fold), with the words' differences without
-    that fold (-1: whole). Words that the executors do not hold are joined to the table of the others."""
-    schema = pa.schema([("key", pa.binary()), ("fold", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("out", pa.int64()), ("best", pa.list_(pa.float64())), ("rest", pa.list_(pa.binary()))])
+_FACTS = np.dtype([("n", "<i8"), ("total", "<f8"), ("best", "<u4"), ("asked", "<u4")])
+_ROWS = "kind int, chunk long, bucket int, fold int, blob binary, more binary, keys array<binary>"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("fold", pa.int32()), ("blob", pa.binary()), ("more", pa.binary()), ("keys", pa.list_(pa.binary()))])
+#: In the order in which a bucket's, then a chunk's rows are met.
+SLICE, ASKED, ANSWER, TEXTS = range(4)
+
+
+def _row(kind: int, chunk: int, bucket: int, fold: int, blob: bytes, more: bytes = b"", keys: list | None = None) -> dict:
+    return {"kind": kind, "chunk": chunk, "bucket": bucket, "fold": fold, "blob": blob, "more": more, "keys": keys}
+
+
+def _by_bucket(words: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes; a bucket is a range of hashes."""
+    cut = np.searchsorted(((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1)).tolist()
+    return [(k, a, z) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+
+
+class Chunk:
+    """Some texts of a fold, with the words whose differences have to be asked for."""
+
+    def __init__(self, number: int, fold: int):
+        self.number, self.fold, self.size, self.keys, self.facts, self.best, self.asked = number, fold, 0, [], [], [], []
+
+    def add(self, key: bytes | None, text: bytes | None, frequent: Frequent) -> None:
+        own = hashes_of(text)
+        known, rest = frequent.look(own, self.fold)
+        m = _most(len(own), SHARES[-1])
+        best = np.partition(known, len(known) - m)[len(known) - m :] if len(known) > m else known
+        self.keys.append(key)
+        self.facts.append((len(own), known.sum(), len(best), len(rest)))
+        self.best.append(best.astype("<f4"))
+        self.asked.append(rest)
+        self.size += len(rest) + 16
+
+    def rows(self, buckets: int) -> list[dict]:
+        words, at = np.unique(np.concatenate(self.asked), return_inverse=True)
+        out = [_row(ASKED, self.number, k, self.fold, words[a:z].astype("<u8").tobytes()) for k, a, z in _by_bucket(words, buckets)]
+        return [*out, _row(TEXTS, self.number, -1, self.fold, np.concatenate(self.best).tobytes() + at.astype("<u4").tobytes(), np.array(self.facts, _FACTS).tobytes(), self.keys)]
+
+
+def _answers(batches):
+    """Rows of buckets in order: of each, its slice of the model, then what chunks ask of it."""
+    bucket, parts, held = None, [], None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                bucket, parts, held = row["bucket"], [], None
+            if row["kind"] == SLICE:
+                parts.append((np.frombuffer(row["blob"], "<u8"), np.frombuffer(row["more"], "<f4").reshape(FOLDS + 1, -1)))
+                continue
+            if held is None:
+                held = Frequent(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)) if parts else Frequent(np.zeros(0, np.uint64), np.zeros((FOLDS + 1, 0), np.float32))
+                parts = []
+            asked = np.frombuffer(row["blob"], "<u8")
+            found = np.zeros(len(asked), np.float32)
+            if len(held.words):
+                at = np.minimum(np.searchsorted(held.words, asked), len(held.words) - 1)
+                found = np.where(held.words[at] == asked, held.values[row["fold"] + 1][at], np.float32(0))
+            out.append(_row(ANSWER, row["chunk"], bucket, row["fold"], found.astype("<f4").tobytes()))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+
+
+def _features(batches):
+    """Rows of chunks in order: of each, its answers by bucket, then its texts."""
+    chunk, parts = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["chunk"] != chunk:
+                chunk, parts = row["chunk"], []
+            if row["kind"] == ANSWER:
+                parts.append(np.frombuffer(row["blob"], "<f4"))
+                continue
+            values = np.concatenate(parts).astype(float) if parts else np.zeros(0)
+            facts = np.frombuffer(row["more"], _FACTS)
+            n_best = int(facts["best"].sum())
+            best = np.split(np.frombuffer(row["blob"], "<f4", n_best).astype(float), np.cumsum(facts["best"])[:-1])
+            asked = np.split(values[np.frombuffer(row["blob"], "<u4", offset=4 * n_best)] if len(values) else np.zeros(0), np.cumsum(facts["asked"])[:-1])
+            x = [combined(int(f["n"]), float(f["total"] + a.sum()), np.concatenate([b, a])) for f, b, a in zip(facts, best, asked, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.binary()), pa.array(x, pa.list_(pa.float64()))], ["key", "x"])
 
-    def run(batches):
-        for batch in batches:
-            made = [shared.value.parts(t.as_py(), f) for t, f in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), batch.column(2).cast(pa.int32()), *(pa.array([x[i] for x in made], schema.field(i + 2).type) for i in range(5))], schema=schema)
 
-    def put(batches):
-        for batch in batches:
-            x = [combined(r["n"], r["total"], r["out"], r["best"], r["asked"], r["found"]).tolist() for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["key", "fold", "x"])
+class Model:
+    """What scoring needs: the frequent words, the slices with all others as rows, and the number of slices."""
+
+    def __init__(self, frequent: Frequent, slices: DataFrame, buckets: int):
+        self.slices, self.buckets = slices, buckets
+        self.frequent = slices.sparkSession.sparkContext.broadcast(frequent)
+
+    def features(self, texts: DataFrame) -> DataFrame:
+        """(key, x): combined() of each row of texts (key binary, fold, text), with the differences without that fold (-1: whole)."""
+        frequent, buckets = self.frequent, self.buckets
 
-    made = texts.select("key", F.col("text").cast("string"), F.col("fold").cast("int")).mapInArrow(run, "key binary, fold int, n long, total double, out long, best array<double>, rest array<binary>")
-    known = written(made.dropDuplicates(["key", "fold"]), "known-words")
-    asked = known.select("key", "fold", F.explode("rest").alias("word")).join(model.rare, "word")
-    found = asked.groupBy("key", "fold").agg(F.sort_array(F.collect_list(F.element_at("value", F.col("fold") + 2).cast("double"))).alias("found"))
-    return known.withColumn("asked", F.size("rest")).drop("rest").join(found, ["key", "fold"], "left").mapInArrow(put, "key binary, fold int, x array<double>")
+        def ask(batches):
+            from pyspark import TaskContext
+
+            task, open_chunks, n = TaskContext.get().partitionId() << 32, {}, 0
+            for batch in batches:
+                for key, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                    if fold not in open_chunks:
+                        open_chunks[fold], n = Chunk(task + n, fold), n + 1
+                    open_chunks[fold].add(key, text.as_py(), frequent.value)
+                    if open_chunks[fold].size >= CHUNK_ASKED:
+                        yield pa.RecordBatch.from_pylist(open_chunks.pop(fold).rows(buckets), _SCHEMA)
+            for chunk in open_chunks.values():
+                yield pa.RecordBatch.from_pylist(chunk.rows(buckets), _SCHEMA)
+
+        asked = written(texts.select(F.col("key").cast("binary"), F.col("fold").cast("int"), F.col("text").cast("string")).mapInArrow(ask, _ROWS), "asked")
+        to_buckets = self.slices.unionByName(asked.filter(F.col("kind") == ASKED)).repartition("bucket").sortWithinPartitions("bucket", "kind")
+        back = to_buckets.mapInArrow(_answers, _ROWS).unionByName(asked.filter(F.col("kind") == TEXTS))
+        return back.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_features, "key binary, x array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -188,15 +297,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
     return w
 
 
-def expanded(x: np.ndarray) -> np.ndarray:
-    """Features with hinges at several heights of the best and third best word, for a curve that is not straight."""
-    hinges = [np.maximum(x[:, :1] - h, 0) for h in (2.0, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0, 7.0)] + [np.maximum(x[:, 2:3] - h, 0) for h in (2.0, 3.0, 4.0, 5.0)]
-    return np.concatenate([np.clip(x[:, :-1], -20, 20), *hinges, x[:, -1:]], axis=1)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary: int = VOCABULARY, calibration_rows: int = CALIBRATION_ROWS) -> tuple[Model | None, np.ndarray, float]:
-    """The model, the calibration's weights and the share of toxic labels. Rows with crc32(id as text) mod 4 = 2 are not used."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary: int = VOCABULARY, calibration_rows: int = CALIBRATION_ROWS, slice_words: int = SLICE_WORDS) -> tuple[Model | None, np.ndarray]:
+    """The model and the calibration's weights; no model without labels of both classes. Rows with crc32(id as text) mod
+    4 = 2 are not used."""
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("toxic")).filter("label_id is not null and toxic is not null and pmod(crc32(cast(label_id as string)), 4) <> 2").groupBy("label_id").agg((F.max("toxic") > 0).alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(small_side(known, BROADCAST_LABELS), F.col("id") == F.col("label_id")).select("id", "text", "toxic")
@@ -204,46 +307,82 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kinds = {k: sum((F.col(f"{k}{f}") for f in range(1, FOLDS)), F.col(f"{k}0")) for k in ("toxic", "plain")}
     facts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
     facts += [F.count(F.when(test(n), 1)).alias(f"{k}_{name}") for k, n in kinds.items() for name, test in (("types", lambda n: n > 0), *((f"often{i}", lambda n, i=i: n == i) for i in range(1, 5)))]
-    fact = table.agg(*facts, F.coalesce(F.sum("contexts"), F.lit(0)).alias("continuation")).first()
+    fact = table.agg(*facts, F.coalesce(F.sum("contexts"), F.lit(0)).alias("continuation"), F.count("*").alias("n_words")).first()
     totals = np.array([fact[c] for c in COUNTS]).reshape(2, FOLDS)
-    share = known.agg(F.coalesce(F.avg(F.col("toxic").cast("double")), F.lit(0.0))).first()[0]
     if not totals[0].sum() or not totals[1].sum():
-        return None, np.zeros(0), float(share)
-    chosen = table.filter(kinds["toxic"] > 0).orderBy(kinds["toxic"].desc(), "word").limit(vocabulary).union(table.orderBy((kinds["toxic"] + kinds["plain"]).desc(), "word").limit(vocabulary)).dropDuplicates(["word"])
-    got = chosen.toArrow()
+        return None, np.zeros(0)
     by = lambda name: np.array([fact[f"{k}_{name}"] for k in kinds], float)
     known_facts = (totals, by("types"), np.stack([by(f"often{i}") for i in range(1, 5)], axis=1), float(fact["continuation"]))
-    model = Model([bytes(w) for w in got.column("word").to_pylist()], valued(got, known_facts))
-    shared = spark.sparkContext.broadcast(model)
+    # Words of the upper steps of an eighth of a binary order of frequency are held, as many steps as fit.
+    step = F.floor(8 * F.log2((kinds["toxic"] + kinds["plain"]).cast("double"))).cast("int")
+    room, least = vocabulary, 1 << 30
+    for k, n in sorted(((r[0], r[1]) for r in table.groupBy(step).count().collect()), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, k
+    got = table.filter(step >= least).toArrow()
+    frequent = Frequent(got.column("word").to_numpy().view(np.uint64), valued(got, known_facts))
+    buckets = -(-int(fact["n_words"]) // slice_words)
+
+    def sliced(batches):
+        words, values, size = [], [], 0
+
+        def rows_of():
+            own, value = np.concatenate(words), np.concatenate(values, axis=1)
+            order = np.argsort(own, kind="stable")
+            own, value = own[order], value[:, order]
+            return pa.RecordBatch.from_pylist([_row(SLICE, -1, k, -1, own[a:z].astype("<u8").tobytes(), value[:, a:z].astype("<f4").tobytes()) for k, a, z in _by_bucket(own, buckets)], _SCHEMA)
 
-    def others(batches):
         for batch in batches:
-            rest = batch.filter(pa.array([w not in shared.value.words for w in batch.column("word").to_pylist()], pa.bool_()))
-            values = valued(rest, known_facts).T
-            yield pa.RecordBatch.from_arrays([rest.column("word"), pa.array(values.tolist(), pa.list_(pa.float32()))], ["word", "value"])
+            words.append(batch.column("word").to_numpy().view(np.uint64))
+            values.append(valued(batch, known_facts))
+            size += batch.num_rows
+            if size >= FLUSH_WORDS:
+                yield rows_of()
+                words, values, size = [], [], 0
+        if size:
+            yield rows_of()
 
-    model.rare = written(table.mapInArrow(others, "word binary, value array<float>"), "other-words")
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(calibration_rows)
+    model = Model(frequent, written(table.filter(step < least).mapInArrow(sliced, _ROWS), "slices"), buckets)
+    sample = known.filter(F.col("label_id").isNotNull()).join(texts.select("id"), F.col("label_id") == F.col("id"), "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(calibration_rows)
     fold = F.shiftright(F.crc32(F.col("id").cast("string")), 2) % FOLDS
     fit_on = written(texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(text_key(F.col("text")).alias("key"), "text", fold.cast("int").alias("fold"), "toxic"), "calibration")
-    fitted = fit_on.select("key", "fold", "toxic").join(features(fit_on, model, shared), ["key", "fold"]).select("x", "toxic").toArrow()
-    x, y = np.array(fitted.column("x").to_pylist(), float), fitted.column("toxic").to_numpy().astype(float)
-    return model, logistic(expanded(x), y), float(share)
+    keyed = F.concat("key", F.col("fold").cast("string").cast("binary"))
+    fitted = fit_on.select(keyed.alias("key"), "toxic").join(model.features(fit_on.select(keyed.alias("key"), "fold", "text")).dropDuplicates(["key"]), "key").select("x", "toxic").toArrow()
+    x, y = np.array(fitted.column("x").to_pylist(), float), fitted.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+    return model, logistic(expanded(x), y)
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
-    """docs with a column score (in place of one of that name): all rows, all columns."""
-    model, weights, share = train(docs, labels, id_col, text_col, label_col, **options)
-    own = docs.drop("score")
-    if model is None:
-        return own.withColumn("score", F.lit(share))
+def _judged(texts: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
+    """(key, score) of texts (key, fold, text)."""
 
     def run(batches):
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
             found = 1 / (1 + np.exp(-np.clip(expanded(x) @ weights, -30, 30))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["toxicity_key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["key", "score"])
+
+    return model.features(texts).mapInArrow(run, "key binary, score double")
+
 
-    texts = own.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), F.lit(-1).alias("fold"))
-    scored = features(texts, model, docs.sparkSession.sparkContext.broadcast(model)).select("key", "x").mapInArrow(run, "toxicity_key binary, score double")
-    return own.withColumn("toxicity_key", text_key(F.col(text_col))).join(written(scored, "scores"), "toxicity_key").select(*own.columns, "score")
+def row_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
+    """(id, score): one row per row of docs; texts are not shuffled."""
+    model, weights = train(docs, labels, id_col, text_col, label_col, **options)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if model is None:
+        return own.select("id", F.lit(0.0).alias("score"))
+    keyed = own.select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(-1).alias("fold"), "text")
+    return _judged(keyed, model, weights).select(F.col("key").cast("string").cast("long").alias("id"), "score")
+
+
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", score_col: str = "score", **options) -> DataFrame:
+    """docs, all rows and columns, with a column of that name (which docs must not have)."""
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col} already; ask for another name")
+    model, weights = train(docs, labels, id_col, text_col, label_col, **options)
+    if model is None:
+        return docs.withColumn(score_col, F.lit(0.0))
+    own_key, other_key = fresh(docs, "toxicity_key", "scored_key")
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.lit(-1).alias("fold"), F.col(text_col).alias("text"))
+    scored = written(_judged(texts, model, weights).groupBy("key").agg(F.first("score").alias(score_col)), "scores").withColumnRenamed("key", other_key)
+    return docs.withColumn(own_key, text_key(F.col(text_col))).join(scored, F.col(own_key) == F.col(other_key)).select(*docs.columns, score_col)
