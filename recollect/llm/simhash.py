@@ -2,11 +2,17 @@
 
 A fingerprint is cut into four 16-bit blocks. Two fingerprints that differ in at most two bits agree in
 at least two blocks, so each is filed under its six pairs of blocks (32 bits each) and only fingerprints
-that share a file are compared. A file with more than ``bucket`` different fingerprints is not compared
+that share a file are compared (``links``; a larger radius is refused). A file with more than ``bucket`` different fingerprints is not compared
 pair by pair: each member announces itself and its one-bit neighbours inside the file's free bits, and two
 members differ in at most two bits exactly if they share an announcement, of which no more than 33 members
 can share one. No link is lost and none is quadratic in a group.
 
+``similar`` finds texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, which reach farther than any
+exact pigeonhole search of 64 bits. Its fingerprints have 512 bits; pairs at that similarity differ in some 15 % of them.
+The bits are dealt to blocks so many, and of such a width, that such a pair shares one with a probability of 0.9 and
+unlike texts seldom do, whatever their number (``blocks_for``); pairs that share a block are verified by their Hamming
+distance.
+
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any
 other; equal rows have equal fingerprints; rows with a null id keep their fingerprint and get the smallest
 other id of their component, or null; an empty table gives no rows; only id and text columns are read.
@@ -23,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.common import dropped, written
+from recollect.llm.decontaminate import words_of
+from recollect.llm.substrings import rolling
 
 BLOCKS, BITS, RADIUS = 4, 16, 2
+WIDE, SLACK, FULL = 512, 1.08, 64
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -66,6 +75,8 @@ def masks() -> list[int]:
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = 64) -> DataFrame:
     """(a, b): links between different fingerprints of nodes (fp, distinct) at no more than radius (up to 2) bits.
     Inside an oversized file the links are a spanning set: chains through shared neighbours, same components."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"four blocks find pairs at up to {RADIUS} bits, not {radius}")
     fp = F.col("fp")
     filed = nodes.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in masks()])).alias("file", "key"))
     sizes = filed.groupBy("file", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -117,3 +128,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = joined.groupBy("root").agg(F.min("least").alias("component"))
     named = joined.join(groups, "root").select("fp", "component", "copies")
     return marked.join(named, "fp").select("id", "fp", "component", "copies")
+
+
+# --- Similar texts: wide fingerprints ----------------------------------------------------------------------------
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
+    """The 512-bit SimHash of a text's shingles of lower-case words of letters and digits, repeats included; zero without words."""
+    words = words_of(text)
+    if not words:
+        return bytes(WIDE // 8)
+    hashes = rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), min(shingle, len(words)))
+    out = np.zeros(WIDE, np.int64)
+    for k in range(WIDE // 64):
+        for i in range(0, len(hashes), 1 << 14):
+            x = hashes[i : i + (1 << 14)] + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            x ^= x >> np.uint64(31)
+            out[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * out > len(hashes)).tobytes()
+
+
+def share_of_bits(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets of one size with that Jaccard similarity differ, on the average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def blocks_for(n: int, similarity: float = 0.8, recall: float = 0.9) -> np.ndarray:
+    """Rows of bit numbers, one row for each block: a few unlike texts of n share a value of a block, and pairs at the
+    similarity share one block at least with probability recall. First the bits in order, then in seeded orders."""
+    width = max(16, int(np.ceil(np.log2(max(n, 2)))) - 2)
+    count = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share_of_bits(similarity)) ** width)))
+    rnd, rows = np.random.default_rng(7), []
+    while len(rows) < count:
+        order = rnd.permutation(WIDE) if rows else np.arange(WIDE)
+        rows += [order[i : i + width] for i in range(0, WIDE - width + 1, width)]
+    return np.array(rows[:count])
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def close_pairs(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (groups are runs) whose prints (rows of 64-bit words) differ in at most most bits.
+
+    Groups of up to FULL rows are compared pair by pair. In larger ones, mostly many copies of one text, a row is
+    compared with leaders, rows that are close to no leader before them, and linked to each close one."""
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(start, len(group)))
+    end = np.repeat(start + size, size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = np.flatnonzero(np.repeat(size <= FULL, size))
+    for d in range(1, FULL):
+        at = at[at + d < end[at]]
+        if not len(at):
+            break
+        met = at[_close(prints[at], prints[at + d]) <= most]
+        left.append(met)
+        right.append(met + d)
+    for k in np.flatnonzero(size > FULL).tolist():
+        own, alone = np.arange(start[k], start[k] + size[k]), np.ones(size[k], bool)
+        while alone.any():
+            leader = own[alone][0]
+            near = _close(prints[own], prints[leader]) <= most
+            left.append(np.full(int(near.sum()) - 1, leader))
+            right.append(own[near & (own != leader)])
+            alone &= ~near
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+    """(row_key, id, copies, first): one row per different (id, text); row_key is row_key(). copies are the rows that have
+    both; first says whether it stands for its group of similar texts, as the one with the smallest id (null last)."""
+    prints = docs.select(row_key(docs, id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def mark(batches):
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py(), shingle) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array([xxhash.xxh3_128_digest(f) for f in found], pa.binary())], ["row_key", "id", "fp", "node"])
+
+    marked = written(prints.mapInArrow(mark, "row_key binary, id long, fp binary, node binary"), "wide-fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("row_key"))).alias("least")
+    nodes = written(marked.groupBy("node").agg(F.first("fp").alias("fp"), least), "nodes")
+    blocks, most = blocks_for(nodes.count(), similarity, recall), int(np.floor(WIDE * share_of_bits(similarity) * SLACK))
+
+    def deal(batches):
+        power = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1).astype(np.uint64)
+            for k, row in enumerate(blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), k, np.int32)), pa.array((bits[:, row] @ power).view(np.int64)), batch.column("node"), batch.column("fp")], ["block", "value", "node", "fp"])
+
+    def meet(batches):
+        def pairs(rows: pa.Table):
+            words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(-1, WIDE // 64)
+            run = np.cumsum(np.concatenate(([0], (np.diff(rows.column("block").to_numpy()) != 0) | (np.diff(rows.column("value").to_numpy()) != 0))))
+            a, b = close_pairs(run, words, most)
+            return pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(a)).combine_chunks(), rows.column("node").take(pa.array(b)).combine_chunks()], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            block, value = held.column("block").to_numpy(), held.column("value").to_numpy()
+            open_from = int(np.flatnonzero((block == block[-1]) & (value == value[-1]))[0]) if len(block) else 0
+            if open_from:
+                yield pairs(held.slice(0, open_from))
+                held = held.slice(open_from)
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    filed = nodes.select("node", "fp").mapInArrow(deal, "block int, value long, node binary, fp binary")
+    roots = components(filed.repartition("block", "value").sortWithinPartitions("block", "value", "node").mapInArrow(meet, "a binary, b binary"))
+    named = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    heads = named.groupBy("root").agg(F.min("least").alias("head"))
+    stands = named.join(heads, "root").select(F.col("node").alias("of"), "head")
+    rows = marked.groupBy("row_key", "id", "node").agg(F.count("*").alias("copies"))
+    return rows.join(stands, F.col("node") == F.col("of")).select("row_key", "id", "copies", (F.col("row_key") == F.col("head.row_key")).alias("first"))
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """16 bytes that stand for a row's id and text; a null text counts as empty."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))).cast("binary")))
