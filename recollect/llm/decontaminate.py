@@ -178,14 +178,14 @@ def proximity_matches(seg: Segment, block: QueryBlock, slop: int, base: np.ndarr
 
 def query_index(index: DataFrame, items: list[tuple[str, bytes]], window: int = 10, slop: int = 0) -> DataFrame:
     """One row per document: segment and place in it, id, n_words, hit words as (starts, ends), matching items, near items."""
-    block = QueryBlock(items, window)
+    shared = index.sparkSession.sparkContext.broadcast(QueryBlock(items, window))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(judge(row)), schema)
+                yield pa.RecordBatch.from_pylist(list(judge(row, shared.value)), schema)
 
-    def judge(row):
+    def judge(row, block):
         seg = Segment(row["terms"], row["df"], row["positions"], block)
         base = np.array(row["base"], np.int64)
         items_of: dict[int, set[int]] = {}
@@ -220,8 +220,8 @@ def query_index(index: DataFrame, items: list[tuple[str, bytes]], window: int =
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: id, n_words, starts and ends of its hit stretches (disjoint, in words), items, near.
 
-    The test set goes to the executors in blocks of about block_words words; with more than one block, the
-    stretches that a document gets from several blocks are united."""
+    The test set goes to the executors in blocks of about block_words words, one at a time: the driver reads a block,
+    broadcasts it and writes what it finds. The stretches that a document gets from several blocks are united."""
     index = build_index(docs, id_col, text_col)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
@@ -229,7 +229,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     parts = []
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k) if blocks > 1 else items
-        parts.append(query_index(index, [(r.name, r.text.encode()) for r in own.toLocalIterator()], window, slop))
+        part = query_index(index, [(r.name, r.text.encode()) for r in own.toLocalIterator()], window, slop)
+        parts.append(part if blocks == 1 else written(part, "block"))
     if blocks == 1:
         return parts[0].drop("row")
     all_parts = parts[0]

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 LOWEST = -(1 << 63)
 #: More rows make larger ranges, not more of them; a range is sorted with spilling and read as a stream.
 MOST_RANGES = 1 << 14
+BYTES_EACH = 1 << 26
 
 
-def ranges(df: DataFrame, id_col: str, rows_each: int) -> list[int]:
-    """Lower bounds of id ranges of about rows_each rows; only ids are read, only the bounds come to the driver."""
+def ranges(df: DataFrame, id_col: str, rows_each: int, text_col: str, bytes_each: int = BYTES_EACH) -> list[int]:
+    """Lower bounds of id ranges of about rows_each rows, and fewer where texts are long, so that a range has about
+    bytes_each of them; only ids and lengths are read, only the bounds come to the driver."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    n = df.count()
-    parts = max(1, min(MOST_RANGES, -(-n // rows_each)))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")), F.lit(0))).first()
+    parts = max(1, min(MOST_RANGES, max(-(-n // rows_each), -(-size // bytes_each))))
     if n == 0 or parts == 1:
         return []
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
@@ -38,7 +40,7 @@ def dealt(df: DataFrame, id_col: str, text_col: str, rows_each: int = 20_000, ah
 
     With ahead, each range also ends with a copy (ahead = 1) of the first rows of the next range that has rows,
     the last range with those of the first one."""
-    bounds = ranges(df, id_col, rows_each)
+    bounds = ranges(df, id_col, rows_each, text_col)
     n = len(bounds) + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
     place = place_of(F.col("key"), bounds)
