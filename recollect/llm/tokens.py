@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.llm.common import scratch_path, shuffles_dropped, small_side
+from recollect.llm.common import scratch_path, shuffles_dropped, small_batches, small_side
 from recollect.llm.ordered import dealt
 
 SHARD_IDS, LEAST_PAIRS, MARK = 1 << 20, 8, 1024
@@ -209,10 +209,10 @@ def encoder(path: str) -> Encoder:
 
 
 class Grammar:
-    """rules[k] = the two symbols of nonterminal first + k; lengths[k] = ids it stands for; levels: first rule of each round."""
+    """rules[k] = the two symbols of nonterminal first + k; lengths[k] = ids it stands for."""
 
     def __init__(self, first: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray):
-        self.first, self.rules, self.lengths, self.symbols = first, rules, lengths, symbols
+        self.first, self.rules, self.lengths, self.symbols, self.spelt = first, rules, lengths, symbols, None
 
     def weights(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol stands for."""
@@ -222,15 +222,22 @@ class Grammar:
         return n
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(symbols) and (deep := symbols >= self.first).any():
-            ends = np.cumsum(1 + deep)
-            out = np.empty(ends[-1], np.uint32)
-            starts = ends - 1 - deep
-            out[starts] = symbols
-            pairs = self.rules[symbols[deep] - self.first]
-            out[starts[deep]], out[starts[deep] + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = out
-        return symbols
+        """The ids that symbols stand for, from those of all nonterminals, which are spelt out once."""
+        if self.spelt is None:
+            flat, start = [np.arange(self.first, dtype=np.uint32)], np.concatenate((np.arange(self.first), self.first + np.cumsum(self.lengths) - self.lengths))
+            own = np.arange(self.first, self.first + len(self.rules), dtype=np.uint32)
+            while (deep := own >= self.first).any():
+                at = np.cumsum(1 + deep) - 1 - deep
+                out = np.empty(len(own) + int(deep.sum()), np.uint32)
+                out[at] = own
+                pairs = self.rules[own[deep] - self.first]
+                out[at[deep]], out[at[deep] + 1] = pairs[:, 0], pairs[:, 1]
+                own = out
+            self.spelt = np.concatenate([*flat, own]), start
+        flat, start = self.spelt
+        n = self.weights(symbols)
+        ends = np.cumsum(n)
+        return flat[np.repeat(start[symbols] - (ends - n), n) + np.arange(int(ends[-1]))] if len(n) else symbols
 
 
 def _sorted_pairs(seq: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,9 +305,13 @@ def packed_bits(symbols: np.ndarray, width: int) -> bytes:
 
 
 def unpacked_bits(data: bytes | memoryview, width: int, n: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
-    return np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
+    own = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(5, np.uint8)))
+    bit = np.arange(n) * width
+    at, value = bit >> 3, np.zeros(n, np.uint64)
+    for k in range((width + 14) // 8):
+        value = (value << np.uint64(8)) | own[at + k]
+    drop = 8 * ((width + 14) // 8) - width - (bit & 7)
+    return ((value >> drop.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 FIELDS = "range int, shard int, n_ids long, ids array<long>, lens array<long>, first long, rules binary, lengths binary, width int, n_symbols long, symbols binary, marks binary"
@@ -372,7 +383,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if keys:
             yield pa.RecordBatch.from_pylist([pack(place, shard, keys, lens, np.concatenate(parts), first)], _SCHEMA)
 
-    with shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession), small_batches(docs.sparkSession):
         dealt(docs, id_col, text_col, rows_each).mapInArrow(run, FIELDS).write.option("compression", "snappy").parquet(path)
 
 
