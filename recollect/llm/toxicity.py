@@ -11,7 +11,7 @@ Counts cover every labelled training row and are summed by Spark, by 64-bit hash
 word are counted exactly. The executors get the words that come most often (``vocabulary`` at most) as arrays. All
 other words of the texts go, packed by chunks of texts, to slices of the model by hash ranges and their differences
 come back, so ``vocabulary`` shifts work and changes no score, and neither a slice nor a chunk grows with the corpus.
-Words of no labelled row have the difference 0. The calibration alone is fitted on a bounded sample: at most
+Words of no labelled row have the difference 0. The calibration alone is fitted on a bounded sample: about
 ``calibration_rows`` training rows, those with the smallest hashes. Its features come from models without the row's
 own fold, as counts are kept by fold.
 
@@ -344,7 +344,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield rows_of()
 
     model = Model(frequent, written(table.filter(step < least).mapInArrow(sliced, _ROWS), "slices"), buckets)
-    sample = known.filter(F.col("label_id").isNotNull()).join(texts.select("id"), F.col("label_id") == F.col("id"), "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(calibration_rows)
+    # Of all training rows the share with the smallest hashes that calibration_rows are; nothing is ordered.
+    share = min(1.0, calibration_rows / max(known.count(), 1))
+    sample = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     fold = F.shiftright(F.crc32(F.col("id").cast("string")), 2) % FOLDS
     fit_on = written(texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(text_key(F.col("text")).alias("key"), "text", fold.cast("int").alias("fold"), "toxic"), "calibration")
     keyed = F.concat("key", F.col("fold").cast("string").cast("binary"))
