@@ -1,15 +1,16 @@
 """Slot families: near-duplicate and same-role keys, and the read-time preference for the newest value.
 
-The pair tests are column predicates on blocked self-joins; the greedy groupings depend on order and run as grouped
-maps over one request or namespace.
+The pair tests are column predicates on blocked self-joins. What depends on order, who joins which group, runs over the
+numbers of one request's or namespace's pairs; all else are joins and windows.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
@@ -85,181 +86,147 @@ def near_duplicate_pairs(keys: DataFrame) -> DataFrame:
     return blocked_pairs(keys, X.slot_tokens(F.col("slot_key"))).filter(near_duplicate_keys(F.col("a"), F.col("b")))
 
 
-# --- The same tests in Python, for order-dependent groupings -----------------------------------------------------
-
-
-def _singular(w: str) -> str:
-    if w in C.IRREGULAR_SINGULARS:
-        return C.IRREGULAR_SINGULARS[w]
-    for ending, least, cut, put in (("ies", 4, 3, "y"), ("es", 4, 2, ""), ("s", 3, 1, "")):
-        if len(w) > least and w.endswith(ending) and not (ending == "es" and w.endswith(("ses", "zes", "ches", "shes"))) and not (ending == "s" and w.endswith("ss")):
-            return w[: len(w) - cut] + put
-    return w
-
-
-def _crude(w: str) -> str:
-    if w not in C.INVARIANT_NOUNS and len(w) > 4 and w.endswith("ies"):
-        return w[:-3] + "y"
-    return w[:-1] if len(w) > 4 and w.endswith("s") and not w.endswith("ss") else w
-
-
-def _words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
-
-
-class Role:
-    """A key's identity words, by part."""
-
-    def __init__(self, key: str):
-        subject, dot, attribute = key.rpartition(".")
-        of = lambda t: {_singular(w) for w in _words(t) if w not in C.IDENTITY_STOPWORDS}
-        self.subject = of(subject if dot else key)
-        self.all = self.subject | (of(attribute) if dot else set())
-
-    def same(self, other: Role) -> bool:
-        shared = self.subject & other.subject
-        if not shared or any((self.all & {*x} and other.all & {*y}) or (self.all & {*y} and other.all & {*x}) for x, y in C.ROLE_OPPOSITES):
-            return False
-        if self.all <= other.all or other.all <= self.all:
-            return True
-        return bool((self.all & other.all) - shared) and not (self.subject - other.all and other.subject - self.all)
-
-
-def role_groups(keys: list[str]) -> list[list[int]]:
-    """Groups of two or more positions by guarded union: two groups merge only if all pairs across them have the same role.
-
-    Candidate pairs come from shared subject words, in the order of positions and sorted words."""
-    roles = [Role(k) for k in keys]
-    root = list(range(len(keys)))
-    members = {i: {i} for i in root}
-    seen, asked = {}, set()
-    for i, role in enumerate(roles):
-        for word in sorted(role.subject):
-            for j in seen.setdefault(word, []):
-                if (j, i) in asked:
-                    continue
-                asked.add((j, i))
-                a, b = root[j], root[i]
-                if a != b and roles[j].same(role) and all(roles[x].same(roles[y]) for x in members[a] for y in members[b]):
-                    for x in members[b]:
-                        root[x] = a
-                    members[a] |= members.pop(b)
-            seen[word].append(i)
-    return [sorted(m) for _, m in sorted(members.items()) if len(m) > 1]
-
-
-class Slot:
-    """A key's slot words, anchors, roles and its value's shape."""
-
-    def __init__(self, key: str | None, value: str | None):
-        self.key = key or ""
-        of = lambda t: {_crude(C.SLOT_ALIASES.get(w, w)) for w in _words(t)}
-        self.tokens, self.anchors = of(self.key), of(self.key.split(".", 1)[0]) - {*C.ANCHOR_GENERICS}
-        self.roles = {C.SLOT_ROLES[w] for w in self.tokens if w in C.SLOT_ROLES}
-        v = value or ""
-        self.shape = "missing" if not v else "numeric" if re.search(r"\d", v) else "collection" if re.search(r"[\[\]{}]", v) else "scalar" if len(v.split()) <= 8 else "prose"
-
-    def near(self, other: Slot) -> bool:
-        if not self.key or not other.key:
-            return False
-        if self.key == other.key:
-            return True
-        a, b = self.tokens, other.tokens
-        for own in [{w for w in a | b if w.isdigit()}, *map(set, C.SLOT_DIMENSIONS)]:
-            if a & own and b & own and a & own != b & own:
-                return False
-        shared = len(a & b)
-        if shared < 2 or 3 * shared < 2 * min(len(a), len(b)):
-            return False
-        if bool(self.roles) != bool(other.roles) or (self.roles and not self.roles & other.roles):
-            return False
-        return bool(self.anchors & other.anchors) and self.shape == other.shape and self.shape in ("numeric", "scalar")
-
-
-def family_groups(slots: list[Slot], order: list[int], query: str) -> list[list[int]]:
-    """Greedy groups in the given order, each member near to all others, of two or more whose common anchor stands in the query."""
-    left, out = list(order), []
-    while left:
-        group = [left[0]]
-        for i in left[1:]:
-            if all(slots[i].near(slots[k]) for k in group):
-                group.append(i)
-        left = [i for i in left if i not in group]
-        out.append(group)
-    asked = {_crude(C.SLOT_ALIASES.get(w, w)) for w in _words(query)}
-    return [g for g in out if len(g) > 1 and set.intersection(*(slots[i].anchors for i in g)) & asked]
+# --- Groups ------------------------------------------------------------------------------------------------------
+
+
+def near_items(items: DataFrame, by: str, tokens: Column, near: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """(by, early, late, word): pairs of items (by, place, slot_key, slot_value) of one by, early < late, that share one of
+    the tokens (word, the first of them) and are near by their keys and values."""
+    one = items.select(by, "place", F.explode(tokens).alias("token"))
+    met = one.select(by, "token", F.col("place").alias("early")).join(one.select(by, "token", F.col("place").alias("late")), [by, "token"]).filter("early < late")
+    side = lambda p: items.select(by, F.col("place").alias(p), F.col("slot_key").alias(f"{p}_key"), F.col("slot_value").alias(f"{p}_value"))
+    named = met.groupBy(by, "early", "late").agg(F.min("token").alias("word")).join(side("early"), [by, "early"]).join(side("late"), [by, "late"])
+    return named.filter(near(F.col("early_key"), F.col("early_value"), F.col("late_key"), F.col("late_value"))).select(by, "early", "late", "word")
+
+
+class Crowd:
+    """Places that are all near to each other, and the places that are near to all of them."""
+
+    def __init__(self, place: int, friends: set[int]):
+        self.places, self.welcome = [place], friends
+
+    def take(self, other: Crowd) -> None:
+        self.places += other.places
+        self.welcome = self.welcome & other.welcome
+
+
+def by_guarded_union(pairs: list[tuple[int, int, str]], friends: dict[int, set[int]]) -> dict[int, int]:
+    """Crowds meet where a pair does, by the later place, then the word, then the earlier place, and join only if all are
+    near to all."""
+    home = {p: Crowd(p, friends[p]) for p in friends}
+    for early, late, _ in sorted(pairs, key=lambda x: (x[1], x[2], x[0])):
+        host, guest = home[early], home[late]
+        if host is not guest and host.welcome.issuperset(guest.places):
+            host.take(guest)
+            home |= dict.fromkeys(guest.places, host)
+    return {p: min(c.places) for p, c in home.items()}
+
+
+def by_first_welcome(pairs: list[tuple[int, int, str]], friends: dict[int, set[int]]) -> dict[int, int]:
+    """Places join, in order, the first crowd that they are welcome in, or begin one."""
+    crowds: list[Crowd] = []
+    for p in sorted(friends):
+        host = next((c for c in crowds if p in c.welcome), None)
+        crowds.append(Crowd(p, friends[p])) if host is None else host.take(Crowd(p, friends[p]))
+    return {p: c.places[0] for c in crowds for p in c.places}
+
+
+def grouped(pairs: DataFrame, by: str, rule: Callable[[list[tuple[int, int, str]], dict[int, set[int]]], dict[int, int]]) -> DataFrame:
+    """(by, place, family): places of pairs in groups of two or more by the rule; family is the group's first place.
+
+    Only the pairs of one request or namespace meet, as numbers; what is near was decided by expressions before."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = list(zip(rows["early"].tolist(), rows["late"].tolist(), rows["word"].tolist(), strict=True))
+        friends: dict[int, set[int]] = {}
+        for early, late, _ in own:
+            for p in (early, late):
+                friends.setdefault(p, {p}).update((early, late))
+        found = rule(own, friends)
+        return pd.DataFrame({by: rows[by].iloc[0], "place": list(found), "family": list(found.values())})
+
+    dealt = pairs.groupBy(by).applyInPandas(run, f"{by} {dict(pairs.dtypes)[by]}, place long, family long")
+    size = F.count("*").over(W.partitionBy(by, "family"))
+    return dealt.withColumn("n", size).filter("n > 1").drop("n")
+
+
+def role_groups(items: DataFrame, by: str) -> DataFrame:
+    """(by, place, family) of items (by, place, slot_key, slot_value): groups of the same role, by guarded union."""
+    return grouped(near_items(items, by, X.identity_tokens(X.subject_part(F.col("slot_key"))), lambda a, _va, b, _vb: same_role(a, b)), by, by_guarded_union)
+
+
+def slot_families(items: DataFrame, by: str, asked: DataFrame) -> DataFrame:
+    """(by, place, family, anchors) of items in order of place: near-duplicate entries whose common subject words (anchors)
+    have one in the by's question; asked is (by, query)."""
+    own = items.withColumn("slot_value", F.coalesce("slot_value", F.lit(""))).filter(~X.blank(F.col("slot_key")))
+    found = grouped(near_items(own, by, F.array_union(X.slot_tokens(F.col("slot_key")), F.array("slot_key")), near_duplicate_entries), by, by_first_welcome)
+    words = found.join(own.select(by, "place", X.subject_anchors(F.col("slot_key")).alias("own")), [by, "place"]).groupBy(by, "family").agg(F.collect_list("own").alias("all"))
+    anchored = words.select(by, "family", F.aggregate("all", F.element_at("all", 1), lambda kept, x: F.array_intersect(kept, x)).alias("anchors"))
+    wanted = anchored.join(asked.select(by, X.slot_tokens(F.col("query")).alias("asked")), by).filter(F.arrays_overlap("anchors", "asked")).drop("asked")
+    return found.join(wanted, [by, "family"])
 
 
 # --- Read-time preference ----------------------------------------------------------------------------------------
 
-LABEL = "LATEST CURRENT OBSERVATION: "
+NEWEST = "Most recent value, in place of earlier ones: "
+_ITEM = ["query_id", "kind", "item_seq"]
+
+
+def _squeezed(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
-def _mentions(text: str, value: str | None) -> bool:
-    v, t = " ".join((value or "").lower().split()), " ".join(text.lower().split())
-    return bool(re.search(rf"\b{re.escape(v)}\b", t)) if v.isdigit() else len(v) >= 3 and v in t
+def _mentions(text: Column, value: Column) -> Column:
+    """A number as a word of its own, other values of three characters or more anywhere."""
+    return F.when(value.rlike("^[0-9]+$"), X.holds_value(text, value)).otherwise((F.length(value) >= 3) & F.contains(text, value))
+
+
+def _families(entries: DataFrame, scored: DataFrame, scope: str) -> DataFrame:
+    """entries with family (and anchors) where they are in one."""
+    order = [F.col("item_seq")] if scope == "role" else [F.col("score").desc(), F.col("turn_id").desc(), F.col("item_seq")]
+    placed = entries.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long"))
+    found = role_groups(placed, "query_id").withColumn("anchors", F.array().cast("array<string>")) if scope == "role" else slot_families(placed, "query_id", scored.select("query_id", "query").distinct())
+    return placed.join(found, ["query_id", "place"])
 
 
 def prefer_newest(scored: DataFrame, scope: str = "role") -> DataFrame:
     """scored candidates with, for each request, the newest active fact of a family in place of all of it.
 
-    The newest (by turn, then text) gets the family's best score and a label. scope role groups by same role; scope
-    cross_key by slot family, and also drops summaries that mention a displaced value and an anchor; it is known to
-    merge what it should not and is off by default."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["kind", "item_seq"], kind="stable").reset_index(drop=True)
-        entries = [i for i in rows.index if rows.at[i, "kind"] == "entry" and rows.at[i, "status"] == "active" and (scope != "role" or rows.at[i, "slot_key"])]
-        slots = [Slot(k, v) for k, v in zip(rows["slot_key"], rows["slot_value"], strict=True)]
-        if scope == "role":
-            groups = [[entries[i] for i in g] for g in role_groups([rows.at[i, "slot_key"] for i in entries])]
-        else:
-            groups = family_groups(slots, sorted(entries, key=lambda i: (-rows.at[i, "score"], -rows.at[i, "turn_id"])), rows.at[0, "query"])
-        gone, old = set(), []
-        for g in groups:
-            newest = max(g, key=lambda i: (rows.at[i, "turn_id"], rows.at[i, "text"]))
-            anchors = set.intersection(*(slots[i].anchors for i in g))
-            now = " ".join((rows.at[newest, "slot_value"] or "").lower().split())
-            old += [(rows.at[i, "slot_value"], anchors) for i in g if i != newest and rows.at[i, "slot_value"] and " ".join(rows.at[i, "slot_value"].lower().split()) != now]
-            gone |= {*g} - {newest}
-            rows.at[newest, "score"] = max(rows.at[i, "score"] for i in g)
-            rows.at[newest, "cost"] += max(0, len(LABEL) // 4)
-            rows.at[newest, "text"] = LABEL + rows.at[newest, "text"]
-        if scope != "role":
-            gone |= {i for i in rows.index if rows.at[i, "kind"] == "summary" and any(_mentions(rows.at[i, "text"], v) and {_crude(C.SLOT_ALIASES.get(w, w)) for w in _words(rows.at[i, "text"])} & a for v, a in old)}
-        return rows.drop(index=list(gone))
-
-    return scored.groupBy("query_id").applyInPandas(run, scored.schema)
+    The newest (by turn, then text) gets the family's best score and a note before its text. scope role groups by same
+    role; scope cross_key by slot family, and also drops summaries that mention a displaced value and a common subject
+    word; it is known to merge what it should not and is off by default."""
+    entries = scored.filter((F.col("kind") == "entry") & (F.col("status") == "active") & ~X.blank(F.col("slot_key")))
+    family = W.partitionBy("query_id", "family")
+    ranked = _families(entries, scored, scope).withColumn("rank", F.row_number().over(family.orderBy(F.col("turn_id").desc(), F.col("text").desc(), "item_seq"))).withColumn("best", F.max("score").over(family))
+    marks = ranked.select(*_ITEM, (F.col("rank") == 1).alias("newest"), "best")
+    out = scored.join(marks, _ITEM, "left").filter(F.coalesce("newest", F.lit(True)))
+    if scope != "role":
+        now = F.max(F.when(F.col("rank") == 1, _squeezed(F.col("slot_value")))).over(family)
+        old = ranked.withColumn("now", now).withColumn("was", _squeezed(F.col("slot_value"))).filter("rank > 1 and was <> '' and was <> now").groupBy("query_id").agg(F.collect_set(F.struct("was", "anchors")).alias("displaced"))
+        words, told = X.slot_tokens(F.col("text")), _squeezed(F.col("text"))
+        tells = F.exists("displaced", lambda d: _mentions(told, d["was"]) & F.arrays_overlap(words, d["anchors"]))
+        out = out.join(old, "query_id", "left").filter((F.col("kind") != "summary") | ~F.coalesce(tells, F.lit(False)))
+    shown = F.col("newest").isNotNull()
+    changed = {"score": F.coalesce("best", "score"), "text": F.when(shown, F.concat(F.lit(NEWEST), "text")).otherwise(F.col("text")), "cost": F.col("cost") + F.when(shown, len(NEWEST) // 4).otherwise(0)}
+    return out.select(*[changed[c].cast(kind).alias(c) if c in changed else F.col(c) for c, kind in scored.dtypes])
 
 
 def sequence_texts(scored: DataFrame) -> DataFrame:
     """scored candidates with, for each family of a request, the latest fact's text told as a sequence: from the first value for a change, from the one before for a previous value."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["kind", "item_seq"], kind="stable").reset_index(drop=True)
-        slots = [Slot(k, v) for k, v in zip(rows["slot_key"], rows["slot_value"], strict=True)]
-        entries = [i for i in rows.index if rows.at[i, "kind"] == "entry"]
-        query = rows.at[0, "query"]
-        previous = not re.search(C.QUESTION_MODES[1][1], query, re.I)
-        for g in family_groups(slots, sorted(entries, key=lambda i: (-rows.at[i, "score"], -rows.at[i, "turn_id"])), query):
-            by_turn = sorted(g, key=lambda i: rows.at[i, "turn_id"])
-            a, b = by_turn[-2 if previous else 0], by_turn[-1]
-            if rows.at[a, "slot_value"] != rows.at[b, "slot_value"]:
-                told = f"{'PREVIOUS' if previous else 'UPDATE'} SEQUENCE: earlier value was {rows.at[a, 'slot_value']} (Turn {rows.at[a, 'turn_id']}); latest value is {rows.at[b, 'slot_value']} (Turn {rows.at[b, 'turn_id']}). "
-                rows.at[b, "text"], rows.at[b, "cost"] = told + rows.at[b, "text"], rows.at[b, "cost"] + len(told) // 4
-        return rows
-
-    return scored.groupBy("query_id").applyInPandas(run, scored.schema)
+    member = _families(scored.filter("kind = 'entry'"), scored, "cross_key")
+    told = member.groupBy("query_id", "family").agg(F.array_sort(F.collect_list(F.struct("turn_id", "item_seq", "slot_value"))).alias("all"), F.first("query").alias("query"))
+    previous = ~F.col("query").rlike(f"(?i){C.QUESTION_MODES[1][1]}")
+    ends = told.select("query_id", F.element_at("all", F.when(previous, F.lit(-2)).otherwise(F.lit(1))).alias("from"), F.element_at("all", -1).alias("to"), previous.alias("previous"))
+    name = F.when(F.col("previous"), "Before and now").otherwise("From first to latest")
+    note = F.concat(name, F.lit(": "), "from.slot_value", F.lit(" at turn "), F.col("from.turn_id").cast("string"), F.lit(", then "), "to.slot_value", F.lit(" at turn "), F.col("to.turn_id").cast("string"), F.lit(". "))
+    notes = ends.filter("from.slot_value <> to.slot_value").select("query_id", F.lit("entry").alias("kind"), F.col("to.item_seq").alias("item_seq"), note.alias("note"))
+    changed = {"text": F.concat(F.coalesce("note", F.lit("")), "text"), "cost": F.col("cost") + F.coalesce(F.floor(F.length("note") / 4), F.lit(0))}
+    return scored.join(notes, _ITEM, "left").select(*[changed[c].cast(kind).alias(c) if c in changed else F.col(c) for c, kind in scored.dtypes])
 
 
 def grouped_by_role(keys: DataFrame) -> DataFrame:
     """(namespace, slot_key, role_group): keys (namespace, seq, slot_key) with the smallest key of their group, groups by guarded union in the order of seq."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("seq", kind="stable").drop_duplicates("slot_key")["slot_key"].tolist()
-        name = {k: k for k in own}
-        for g in role_groups(own):
-            name |= {own[i]: min(own[j] for j in g) for i in g}
-        return pd.DataFrame({NS: group[NS].iloc[0], "slot_key": own, "role_group": [name[k] for k in own]})
-
-    return keys.filter(~X.blank(F.col("slot_key"))).select(NS, "seq", "slot_key").groupBy(NS).applyInPandas(run, "namespace string, slot_key string, role_group string")
+    first = keys.filter(~X.blank(F.col("slot_key"))).groupBy(NS, "slot_key").agg(F.min("seq").alias("seq"))
+    placed = first.withColumn("place", F.row_number().over(W.partitionBy(NS).orderBy("seq", "slot_key")).cast("long")).withColumn("slot_value", F.lit(None).cast("string"))
+    named = placed.join(role_groups(placed, NS), [NS, "place"], "left").withColumn("family", F.coalesce("family", "place"))
+    return named.select(NS, "slot_key", F.min("slot_key").over(W.partitionBy(NS, "family")).alias("role_group"))
