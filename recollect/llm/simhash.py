@@ -99,9 +99,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = 64) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of edges (a, b) with the smallest node of its component.
 
-    Alternating large and small stars; each round is a written table, and a node with many neighbours meets
-    its minimum by a partial aggregate and a join that adaptive execution splits."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    First each node goes to its smallest neighbour, and edges join what their ends went to, so many edges between
+    near copies become few. Then alternating large and small stars; each round is a written table, and a node with many
+    neighbours meets its minimum by a partial aggregate and a join that adaptive execution splits."""
+    ordered = lambda a, b: [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+    given = written(edges.select(*ordered("a", "b")).filter("u <> v").distinct(), "edges")
+    nearest = written(given.unionByName(given.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "nearest")
+    moved = given.join(nearest.withColumnRenamed("m", "a"), "u").join(nearest.select(F.col("u").alias("v"), F.col("m").alias("b")), "v")
+    now = written(moved.select(*ordered("a", "b")).unionByName(nearest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -199,6 +204,23 @@ def close_pairs(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of pairs of n rows, the numbers of as many as hold the same rows together."""
+    up, kept = list(range(n)), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
     """(row_key, id, copies, first): one row per different (id, text); row_key is row_key(). copies are the rows that have
     both; first says whether it stands for its group of similar texts, as the one with the smallest id (null last)."""
@@ -226,6 +248,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(-1, WIDE // 64)
             run = np.cumsum(np.concatenate(([0], (np.diff(rows.column("block").to_numpy()) != 0) | (np.diff(rows.column("value").to_numpy()) != 0))))
             a, b = close_pairs(run, words, most)
+            enough = spanning(a, b, len(words))
+            a, b = a[enough], b[enough]
             return pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(a)).combine_chunks(), rows.column("node").take(pa.array(b)).combine_chunks()], ["a", "b"])
 
         held = None

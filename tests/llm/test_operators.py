@@ -200,7 +200,7 @@ def test_large_groups_of_copies_meet_leaders():
         roots.setdefault(x, set()).add(y)
     assert sorted(len(v) for v in roots.values()) == [299, 299] and len(a) < 2000
     a, b = simhash.close_pairs(np.repeat(np.arange(20), 30), prints, 84)
-    assert len(a) == 20 * 30 * 29 // 2
+    assert len(a) == 20 * 30 * 29 // 2 and len(simhash.spanning(a, b, 600)) == 20 * 29
 
 
 def test_simhash_without_rows(empty):
