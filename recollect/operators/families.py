@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
 from recollect.functions import text as X
+from recollect.sources.scratch import written
 
 NS = "namespace"
 
@@ -184,7 +185,7 @@ def _mentions(text: Column, value: Column) -> Column:
 def _families(entries: DataFrame, scored: DataFrame, scope: str) -> DataFrame:
     """entries with family (and anchors) where they are in one."""
     order = [F.col("item_seq")] if scope == "role" else [F.col("score").desc(), F.col("turn_id").desc(), F.col("item_seq")]
-    placed = entries.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long"))
+    placed = written(entries.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")), "placed")
     found = role_groups(placed, "query_id").withColumn("anchors", F.array().cast("array<string>")) if scope == "role" else slot_families(placed, "query_id", scored.select("query_id", "query").distinct())
     return placed.join(found, ["query_id", "place"])
 
@@ -195,6 +196,7 @@ def prefer_newest(scored: DataFrame, scope: str = "role") -> DataFrame:
     The newest (by turn, then text) gets the family's best score and a note before its text. scope role groups by same
     role; scope cross_key by slot family, and also drops summaries that mention a displaced value and a common subject
     word; it is known to merge what it should not and is off by default."""
+    scored = written(scored, "scored")
     entries = scored.filter((F.col("kind") == "entry") & (F.col("status") == "active") & ~X.blank(F.col("slot_key")))
     family = W.partitionBy("query_id", "family")
     ranked = _families(entries, scored, scope).withColumn("rank", F.row_number().over(family.orderBy(F.col("turn_id").desc(), F.col("text").desc(), "item_seq"))).withColumn("best", F.max("score").over(family))
@@ -213,6 +215,7 @@ def prefer_newest(scored: DataFrame, scope: str = "role") -> DataFrame:
 
 def sequence_texts(scored: DataFrame) -> DataFrame:
     """scored candidates with, for each family of a request, the latest fact's text told as a sequence: from the first value for a change, from the one before for a previous value."""
+    scored = written(scored, "scored")
     member = _families(scored.filter("kind = 'entry'"), scored, "cross_key")
     told = member.groupBy("query_id", "family").agg(F.array_sort(F.collect_list(F.struct("turn_id", "item_seq", "slot_value"))).alias("all"), F.first("query").alias("query"))
     previous = ~F.col("query").rlike(f"(?i){C.QUESTION_MODES[1][1]}")

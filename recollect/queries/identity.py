@@ -16,28 +16,33 @@ from recollect.schemas import facts_of_events, table
 _DOT = lambda a, b: f"list_reduce([x for x in list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::double * {b}[i]::double)], lambda s, x: s + x, 0.0::double)"
 
 
+def _searched(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
+    """Every vector whose number is divisible by 100 with all others."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return identity.searched(e.filter("key % 100 = 0"), e, threshold)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbours by number: each vector with the next nine; the same label is the same slot."""
-    e = table(spark, sf_dir, "embeddings")
-    left = e.select(F.col("vec_id").alias("l"), F.col("embedding").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 9)).alias("r"))
-    right = e.select(F.col("vec_id").alias("r"), F.col("embedding").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, "r").select("l", "r", F.round(identity.cosine(F.col("a"), F.col("b")), 6).alias("sim"), (F.col("la") == F.col("lb")).alias("same_slot"))
+    """_searched() with whether both labels are the same, which counts as the same slot."""
+    label = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    named = _searched(spark, sf_dir).join(label.select(F.col("vec_id").alias("l"), F.col("label").alias("la")), "l").join(label.select(F.col("vec_id").alias("r"), F.col("label").alias("lb")), "r")
+    return named.select("l", "r", "sim", (F.col("la") == F.col("lb")).alias("same_slot"))
 
 
-_PAIRS = f"""p as (select x.vec_id as l, y.vec_id as r, x.embedding as a, y.embedding as b, x.label = y.label as same_slot from embeddings x join embeddings y on y.vec_id between x.vec_id + 1 and x.vec_id + 9),
+_PAIRS = f"""p as (select x.vec_id as l, y.vec_id as r, x.embedding as a, y.embedding as b, x.label = y.label as same_slot from embeddings x join embeddings y on x.vec_id % 100 = 0 and y.vec_id <> x.vec_id),
 pairs as (select l, r, round(case when {_DOT('a', 'a')} = 0 or {_DOT('b', 'b')} = 0 then 0 else {_DOT('a', 'b')} / (sqrt({_DOT('a', 'a')}) * sqrt({_DOT('b', 'b')})) end, 6) as sim, same_slot from p)"""
 
 
 @query(f"with {_PAIRS} select * from pairs")
 def identity_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ID15."""
+    """ID15, over the query set and all vectors."""
     return _pairs(spark, sf_dir)
 
 
 @query(f"with {_PAIRS} select l, r, sim from pairs where sim >= 0.15")
 def identity_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs at the threshold or above."""
-    return _pairs(spark, sf_dir).filter(F.col("sim") >= 0.15).select("l", "r", "sim")
+    """The query set's pairs at the threshold or above."""
+    return _searched(spark, sf_dir, 0.15)
 
 
 @query(f"with {_PAIRS} select case when sim >= 0.2 then 'same' when sim < 0.1 then 'different' else 'judge' end as verdict, count(*) as n, min(sim) as least, max(sim) as greatest from pairs group by all")
@@ -45,7 +50,7 @@ def identity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pairs are clear and which go to the judge."""
     low, high = 0.1, 0.2
     verdict = F.when(F.col("sim") >= high, "same").when(F.col("sim") < low, "different").otherwise("judge")
-    return _pairs(spark, sf_dir).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"), F.min("sim").alias("least"), F.max("sim").alias("greatest"))
+    return _searched(spark, sf_dir).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"), F.min("sim").alias("least"), F.max("sim").alias("greatest"))
 
 
 _SWEEP = f"""{_PAIRS}, c as (select sim as threshold, sum(same_slot::int)::bigint as t, sum((not same_slot)::int)::bigint as f from pairs group by sim), n as (select sum(same_slot::int)::bigint as positives, sum((not same_slot)::int)::bigint as negatives from pairs),
@@ -59,10 +64,10 @@ def identity_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.threshold_sweep(_pairs(spark, sf_dir))
 
 
-@query(f"with {_SWEEP.replace('pairs as (select', 'every as (select', 1).replace(', c as (', ', pairs as (select * from every where same_slot or sim < 0.25), c as (', 1)} select * from sweep where false_merges = 0 order by true_merges desc, threshold limit 1")
+@query(f"with {_SWEEP} select * from (select * from sweep where false_merges = 0 union all select null, 0, 0, 0.0) order by true_merges desc, threshold nulls last limit 1")
 def identity_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best threshold without a false merge."""
-    return identity.best_safe_threshold(identity.threshold_sweep(_pairs(spark, sf_dir).filter("same_slot or sim < 0.25")))
+    """The best threshold without a false merge, judged on all pairs; null if there is none."""
+    return identity.best_safe_threshold(identity.threshold_sweep(_pairs(spark, sf_dir)))
 
 
 @query(f"with {_PAIRS}, t as (select min(sim) filter (where same_slot) as a, max(sim) filter (where not same_slot) as b from pairs) select round(a, 4) as min_same, round(b, 4) as max_neg, round(a - b, 4) as margin, round((select count(*) from pairs where same_slot and sim > b) / (select count(*) from pairs where same_slot), 4) as recall_above, (select count(*) from pairs where same_slot) as n_same from t")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from recollect.queries.views import LEDGER, TURNS
 from recollect.registry import query
 from recollect.schemas import SUMMARY, conforming, facts_of_events, table, turns_of_conversations
 from recollect.sources import dataset, state
+from recollect.sources.scratch import scratch_path
 
 NS = "namespace"
 
@@ -75,13 +74,10 @@ def compaction_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1, SNK1: states written as JSON documents and read back."""
     turns = turns_of_conversations(spark, sf_dir)
-    none = spark.createDataFrame([], SUMMARY)
     facts = facts_of_events(spark, sf_dir).limit(0)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recollect-")
-    path = f"{base.rstrip('/')}/states-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    state.documents_of(turns, none, facts).select(NS, "schema_version", F.to_json("turns").alias("turns_json")).write.mode("overwrite").parquet(path)
-    kind = state.STATE["turns"].dataType.simpleString()
-    back = spark.read.parquet(path).select(NS, "schema_version", F.from_json("turns_json", kind).alias("turns"))
+    path = scratch_path(spark, "states")
+    state.write_documents(state.documents_of(turns, spark.createDataFrame([], SUMMARY), facts), path)
+    back = state.read_written(spark, path)
     return state.turns_of(back).select(NS, "turn_id", "role", "tokens")
 
 
@@ -256,14 +252,15 @@ def repair_general_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with w as (select conv_id::varchar as namespace, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as words from conversations), g as (select namespace, array_to_string(words[i:i + 3], ' ') as gram from (select namespace, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from w where len(words) > 12))
-select namespace, gram, count(*) as times from g where length(gram) > 20 and regexp_matches(gram, 'subject|value|text') group by all having count(*) >= 3 union all select 'probe', 'the subject value text', 3"""
+    """with j as (select conv_id, string_agg(text || ' which states the value text again', ' ' order by turn) as text from conversations group by conv_id),
+w as (select conv_id::varchar as namespace, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as words from j), g as (select namespace, array_to_string(words[i:i + 3], ' ') as gram from (select namespace, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from w where len(words) > 12))
+select namespace, gram, count(*) as times from g where length(gram) > 20 and regexp_matches(gram, 'subject|value|text') group by all having count(*) >= 3"""
 )
 def repair_repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of four words with a key word that come three times or more; a probe row shows the count works."""
-    texts = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias(NS), "text")
-    probe = spark.createDataFrame([("probe", " ".join(["the subject value text", "and then some other words follow", "the subject value text", "which nobody needs to read", "the subject value text again"]))], "namespace string, text string")
-    return repair.repeated_ngrams(texts.unionByName(probe))
+    """Runs of four words with a key word that come three times or more, in whole conversations whose turns end alike."""
+    turn = F.struct("turn", F.concat("text", F.lit(" which states the value text again")).alias("said"))
+    whole = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias(NS)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["said"]), " ").alias("text"))
+    return repair.repeated_ngrams(whole)
 
 
 @query()
@@ -282,8 +279,7 @@ def repair_kept_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, df: DataFrame, run, mode: str = "append") -> DataFrame:
     """df written in files, streamed through run, and what it gave as a table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recollect-")
-    at = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(df)}"
+    at = scratch_path(spark, "stream")
     df.write.mode("overwrite").parquet(f"{at}/in")
     out = run(spark.readStream.schema(df.schema).parquet(f"{at}/in"))
     q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out")

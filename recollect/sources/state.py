@@ -16,9 +16,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(namespace, schema_version, turns, summaries, ledger): one state per file; the namespace is the file's name up to ``_state``. A newer version raises an error when read."""
     raw = spark.read.schema(STATE).option("multiLine", True).option("mode", "FAILFAST").json(path)
     name = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.json.*$", ""), "_state$", "")
+    return raw.withColumn(NS, name).withColumn("schema_version", supported_version())
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The states of a folder that write_documents wrote, as read_documents gives them: same schema, same version check."""
+    raw = spark.read.schema(STATE).option("mode", "FAILFAST").option("basePath", path).json(path)
+    name = F.regexp_extract(F.url_decode(F.input_file_name()), f"/{NS}=([^/]*)/[^/]*$", 1)
+    return raw.withColumn(NS, name).withColumn("schema_version", supported_version())
+
+
+def supported_version():
+    """The schema version, 1 if it lacks; a newer one than this reader's raises an error when read."""
     version = F.coalesce("schema_version", F.lit(1))
-    checked = F.when(version <= SCHEMA_VERSION, version).otherwise(F.raise_error(F.concat(F.lit("newer schema version "), version.cast("string"))).cast("int"))
-    return raw.withColumn(NS, name).withColumn("schema_version", checked)
+    return F.when(version <= SCHEMA_VERSION, version).otherwise(F.raise_error(F.concat(F.lit("newer schema version "), version.cast("string"))).cast("int"))
 
 
 def turns_of(documents: DataFrame) -> DataFrame:
