@@ -45,12 +45,22 @@ def next_turn_ids(messages: DataFrame, turns: DataFrame, summaries: DataFrame) -
     return messages.join(last, NS, "left").join(covered, NS, "left").withColumn("turn_id", base + F.row_number().over(W.partitionBy(NS).orderBy("arrival"))).drop("last_turn", "last_covered")
 
 
-def new_tail(stored: list[tuple[str, str]], incoming: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """What is new in incoming: after its longest beginning that ends the stored turns."""
-    for n in range(min(len(stored), len(incoming)), 0, -1):
-        if stored[-n:] == incoming[:n]:
-            return incoming[n:]
-    return incoming
+def new_messages(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """Of messages (namespace, arrival, role, content), a client's whole view of a session, those that turns do not have:
+    what follows the last place in them up to which they end like the stored turns. With no such place all are new.
+
+    A session's roles and contents meet as two arrays."""
+    said = lambda df, order, name: df.groupBy(NS).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "role", "content"))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias(name))
+    both = said(messages, "arrival", "incoming").join(said(turns, "turn_id", "stored"), NS, "left")
+    n, m = F.size("incoming"), F.size(F.coalesce("stored", F.array().cast("array<struct<role:string,content:string>>")))
+
+    def ends_alike(i: Column) -> Column:
+        length = F.least(i, m)
+        return F.slice("incoming", i - length + 1, length) == F.slice("stored", m - length + 1, length)
+
+    known = F.when(m > 0, F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n), ends_alike)), F.lit(0))).otherwise(0)
+    place = F.row_number().over(W.partitionBy(NS).orderBy("arrival"))
+    return messages.withColumn("place", place).join(both.select(NS, known.alias("known")), NS).filter("place > known").drop("place", "known")
 
 
 def without_done(latest: DataFrame, done: DataFrame) -> DataFrame:

@@ -381,3 +381,59 @@ def accounting_violations(runs: DataFrame) -> DataFrame:
 def results_table(stats: DataFrame, label: str = "condition") -> DataFrame:
     """sample_stats rows as lines of a Markdown table: mean and deviation."""
     return stats.select(label, F.format_string("| %s | %.3f ± %.3f | %d |", F.col(label), "mean", "stddev", F.col("n").cast("int")).alias("line"))
+
+
+# --- Evidence ----------------------------------------------------------------------------------------------------
+
+
+def opening(text: Column, words: int) -> Column:
+    """The first words of a text, in lower case, joined by spaces."""
+    return F.lower(F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, words), " "))
+
+
+def opening_survives(text: Column, context: Column, words: int) -> Column:
+    """A text without words has no opening to survive."""
+    return (opening(text, words) != "") & F.contains(F.lower(context), opening(text, words))
+
+
+def evidence_retained(gold_sessions: Column, kept_sessions: Column, golds: Column, context: Column) -> dict[str, Column]:
+    """Whether evidence is left: after truncation, if a gold session was kept; after compaction, if the first six words of
+    a gold turn stand in the context."""
+    return {"session_retained": F.coalesce(F.arrays_overlap(gold_sessions, kept_sessions), F.lit(False)), "snippet_retained": F.exists(golds, lambda t: opening_survives(t, context, 6))}
+
+
+def gold_survival(golds: Column, answer: Column, context: Column) -> dict[str, Column]:
+    """Checks that do not depend on each other: gold turns, those whose first eight words stand in the context, whether
+    the answer does, and how often its numbers and capitalised words do."""
+    low = F.lower(context)
+    salient = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit("[A-Z][a-zA-Z]+|[0-9]+"), F.lit(0)), lambda w: w.rlike("^[0-9]") | (F.length(w) > 1))))
+    times = lambda w: ((F.length(low) - F.length(F.replace(low, F.lower(w), F.lit("")))) / F.length(w)).cast("long")
+    return {
+        "n_golds": F.size(golds), "n_survived": F.size(F.filter(golds, lambda t: opening_survives(t, context, 8))), "answer_present": F.coalesce((answer != "") & F.contains(low, F.lower(answer)), F.lit(False)),
+        "salient_hits": F.transform(salient, lambda w: F.concat(w, F.lit("="), times(w).cast("string"))),
+    }
+
+
+def held_out_present(answer: Column, text: Column) -> Column:
+    """The whole answer stands in the text, or half of its first six words of three characters or more, one at least."""
+    said, low = F.lower(F.trim(answer)), F.lower(text)
+    tokens = F.slice(F.filter(F.regexp_extract_all(said, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 2), 1, 6)
+    hits = F.size(F.filter(tokens, lambda t: X.holds_value(low, t)))
+    return F.contains(low, said) | ((F.size(tokens) > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size(tokens) / 2))))
+
+
+def role_decision(before: DataFrame, after: DataFrame, needles: DataFrame, sentinels: DataFrame, target: float = 0.5) -> DataFrame:
+    """One row: values that stand under several keys in active facts before and after a rekey by roles, the share that is
+    gone, whether it meets the target, all needles (namespace, needle) active before stay so, all sentinels
+    (expected, found) are as expected, and the decision."""
+    n = lambda facts, name: fragmentation(facts).agg(F.count("*").alias(name))
+    holds = lambda facts, name: evidence(facts).withColumn(name, F.lit(True))
+
+    def evidence(facts):
+        return needles.join(facts.select(NS, "slot_value"), NS).filter(F.contains(F.lower("slot_value"), F.lower("needle"))).select(NS, "needle").distinct()
+
+    kept = needles.join(holds(before, "was"), [NS, "needle"], "left").join(holds(after, "stays"), [NS, "needle"], "left").agg(F.bool_and(F.col("was").isNull() | F.col("stays").isNotNull()).alias("gold_preserved"))
+    right = sentinels.agg(F.bool_and(F.col("expected") == F.col("found")).alias("sentinels_right"))
+    rate = F.when(F.col("fragmented_before") > 0, F.round((F.col("fragmented_before") - F.col("fragmented_after")) / F.col("fragmented_before"), 4)).otherwise(0.0)
+    rows = n(before, "fragmented_before").crossJoin(n(after, "fragmented_after")).crossJoin(kept).crossJoin(right)
+    return rows.withColumn("reduction_rate", rate).withColumn("target_met", F.col("reduction_rate") >= target).withColumn("go", F.col("target_met") & F.col("gold_preserved") & F.col("sentinels_right"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
 from recollect.operators import evaluate
 from recollect.queries.text import QUOTED
 from recollect.registry import query
-from recollect.schemas import table
+from recollect.schemas import table, turns_of_conversations
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,3 +292,48 @@ def evaluate_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(100).alias("memory_tokens"), F.lit(False).alias("context_overflow"), F.lit(False).alias("provenance_lost"), F.lit(None).cast("string").alias("error"), ref.alias("source_references"),
     ).withColumn("judged_correct", (F.col("doc_id") % 2 != 0) | (F.col("arm") == "candidate"))
     return evaluate.confirmation(runs, items, "safe", "candidate", [28000], 28000, CONFIRM_LIMITS, ["en"])
+
+
+_VIEWS = """turns as (select conv_id::varchar as namespace, turn + 1 as turn_id, role, text as content, 's' || (turn // 4) as session_id from conversations),
+kept as (select namespace, list(distinct session_id) as kept, string_agg(content, chr(10) order by turn_id) as context from (select *, max(turn_id) over (partition by namespace) as last from turns) where turn_id > last - 4 group by namespace),
+gold as (select namespace, list(content order by turn_id) as golds, substr(first(content order by turn_id), 1, 24) as answer from turns where session_id = 's0' group by namespace)"""
+_OPENING = lambda t, n: f"lower(array_to_string(list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')[1:{n}], ' '))"
+_SURVIVES = lambda n: f"len(list_filter(golds, lambda t: length({_OPENING('t', n)}) > 0 and contains(lower(context), {_OPENING('t', n)})))"
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with the turns of their first session as gold, its beginning as the answer, and the last four turns as what is kept."""
+    turns = turns_of_conversations(spark, sf_dir)
+    last = turns.withColumn("last", F.max("turn_id").over(W.partitionBy("namespace"))).filter("turn_id > last - 4")
+    said = lambda: F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "content"))), lambda t: t["content"])
+    kept = last.groupBy("namespace").agg(F.collect_set("session_id").alias("kept"), F.array_join(said(), "\n").alias("context"))
+    gold = turns.filter("session_id = 's0'").groupBy("namespace").agg(said().alias("golds")).withColumn("answer", F.substring(F.element_at("golds", 1), 1, 24))
+    return gold.join(kept, "namespace")
+
+
+@query(f"with {_VIEWS} select namespace, list_contains(kept, 's0') as session_retained, {_SURVIVES(6)} > 0 as snippet_retained from gold join kept using (namespace)")
+def evaluate_evidence_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a conversation's first session when its last four turns are kept."""
+    checks = evaluate.evidence_retained(F.array(F.lit("s0")), F.col("kept"), F.col("golds"), F.col("context"))
+    return _evidence(spark, sf_dir).select("namespace", *[c.alias(name) for name, c in checks.items()])
+
+
+@query(
+    f"""with {_VIEWS}, s as (select *, list_sort(list_distinct(list_filter(regexp_extract_all(answer, '[A-Z][a-zA-Z]+|[0-9]+'), lambda w: regexp_matches(w, '^[0-9]') or length(w) > 1))) as salient from gold join kept using (namespace))
+select namespace, len(golds)::int as n_golds, {_SURVIVES(8)}::int as n_survived, answer <> '' and contains(lower(context), lower(answer)) as answer_present,
+  list_transform(salient, lambda w: w || '=' || ((length(context) - length(replace(lower(context), lower(w), ''))) // length(w))) as salient_hits from s"""
+)
+def evaluate_gold_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent checks of what survived."""
+    checks = evaluate.gold_survival(F.col("golds"), F.col("answer"), F.col("context"))
+    return _evidence(spark, sf_dir).select("namespace", *[c.alias(name) for name, c in checks.items()])
+
+
+@query(
+    f"""with {_VIEWS}, a as (select namespace, lower(trim(answer)) as said, lower(context) as low from gold join kept using (namespace)),
+t as (select *, list_filter(regexp_extract_all(said, '[a-z0-9]+'), lambda x: length(x) > 2)[1:6] as tokens from a)
+select namespace, contains(low, said) or (len(tokens) > 0 and len(list_filter(tokens, lambda x: list_contains(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+'), x))) >= greatest(1, len(tokens) // 2)) as present from t"""
+)
+def evaluate_held_out_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an answer is present, loosely."""
+    return _evidence(spark, sf_dir).select("namespace", evaluate.held_out_present(F.col("answer"), F.col("context")).alias("present"))

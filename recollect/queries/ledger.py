@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
 from recollect.functions import text as X
-from recollect.operators import assembly, evaluate, identity, ledger
+from recollect.operators import assembly, evaluate, families, identity, ledger
 from recollect.providers import stub_embed
 from recollect.queries.views import FACTS, LEDGER, TURNS
 from recollect.registry import query
-from recollect.schemas import facts_of_events, turns_of_conversations
+from recollect.schemas import SUMMARY, TURN, facts_of_events, turns_of_conversations
 
 NS = "namespace"
 
@@ -86,9 +86,7 @@ _QUARANTINE = "quarantine as (select distinct l.namespace, l.slot_key, l.slot_va
 @query(f"with {LEDGER}, {_QUARANTINE} select * from quarantine")
 def ledger_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that a newer observation contradicts."""
-    own = _ledger(spark, sf_dir)
-    newest = ledger.newest_per_slot(own).select(NS, "slot_key", F.col("source_turn_id").alias("newest_turn"), F.col("slot_value").alias("newest_value"))
-    return own.join(newest, [NS, "slot_key"]).filter("newest_turn > source_turn_id and newest_value <> slot_value").select(NS, "slot_key", "slot_value").distinct()
+    return assembly.quarantined(_ledger(spark, sf_dir), spark.createDataFrame([], SUMMARY), spark.createDataFrame([], TURN))
 
 
 @query(f"with {LEDGER}, {_QUARANTINE} select namespace, count(*) as n from ledger l where not exists (select 1 from quarantine q where q.namespace = l.namespace and q.slot_key = l.slot_key and q.slot_value = l.slot_value) group by namespace")
@@ -153,9 +151,11 @@ def audit_merge_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DELTA = """
-after_ as (select namespace, count(*) as ledger_total, 1::bigint as ledger_active, 0::bigint as fragmented_values from newest group by namespace),
+canon as (select *, row_number() over (partition by namespace, ck order by source_turn_id desc, seq desc) as r from (select *, split_part(slot_key, '.', 1) as ck from newest)),
+split_ as (select namespace, count(*) as n from (select namespace, lower(slot_value) from canon where r = 1 group by namespace, lower(slot_value) having count(distinct ck) > 1) group by namespace),
+after_ as (select c.namespace, count(*) filter (c.r = 1)::bigint as ledger_active, coalesce(max(s.n), 0)::bigint as fragmented_values from canon c left join split_ s using (namespace) group by c.namespace),
 d as (select a.namespace, a.ledger_active as active_before, b.ledger_active as active_after, a.ledger_active - b.ledger_active as active_reduction, round((a.ledger_active - b.ledger_active) / a.ledger_active, 4) as active_reduction_rate,
-  a.fragmented_values as fragmented_reduction, case when a.fragmented_values = 0 then 0.0 else 1.0 end::double as fragmented_reduction_rate from audit a join after_ b using (namespace))
+  a.fragmented_values - b.fragmented_values as fragmented_reduction, case when a.fragmented_values = 0 then 0.0 else round((a.fragmented_values - b.fragmented_values) / a.fragmented_values, 4) end::double as fragmented_reduction_rate from audit a join after_ b using (namespace))
 """
 
 
@@ -195,15 +195,16 @@ def ledger_keyword_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {LEDGER}, needles as (select distinct namespace, 'event ' || min(event_id) over (partition by namespace) as needle from e union all select distinct namespace, 'nowhere' from e)
-select n.namespace, n.needle, case when exists (select 1 from ledger l where l.namespace = n.namespace and contains(lower(l.text), lower(n.needle))) then 'slot' else 'absent' end as tier from needles n"""
+    f"""with {LEDGER}, needles as (select distinct namespace, 'event ' || min(event_id) over (partition by namespace) as needle from e union all select distinct namespace, 'nowhere' from e union all select distinct namespace, 'Episode of user ' || namespace from e)
+select n.namespace, n.needle, case when exists (select 1 from ledger l where l.namespace = n.namespace and contains(lower(l.text), lower(n.needle))) then 'slot' when n.needle like 'Episode%' and n.namespace::bigint % 2 = 0 then 'summary' else 'absent' end as tier from needles n"""
 )
 def ledger_needle_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which tier a needle is found."""
+    """In which tier a needle is found: in a fact, in a summary only, or nowhere."""
     own = _ledger(spark, sf_dir)
     first = own.groupBy(NS).agg(F.min(F.regexp_extract("text", r"event (\d+)", 1).cast("long")).alias("e")).select(NS, F.concat(F.lit("event "), F.col("e").cast("string")).alias("needle"))
-    needles = first.unionByName(own.select(NS).distinct().withColumn("needle", F.lit("nowhere")))
-    summaries = own.select(NS, F.lit("nothing").alias("text")).limit(0)
+    users = own.select(NS).distinct()
+    needles = first.unionByName(users.withColumn("needle", F.lit("nowhere"))).unionByName(users.withColumn("needle", F.concat(F.lit("Episode of user "), NS)))
+    summaries = users.filter(F.col(NS).cast("long") % 2 == 0).select(NS, F.concat(F.lit("An episode of user "), NS, F.lit(", told again.")).alias("text"))
     return evaluate.needle_tiers(needles, own, summaries)
 
 
@@ -251,3 +252,26 @@ def assembly_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = own.select(NS).distinct().select(NS, F.lit("You remember.").alias("system"), F.lit("Answer.").alias("task"))
     return assembly.assembled(names, own, summaries_of_documents(spark, sf_dir), turns).select(NS, "tokens", "overflow", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+_TWO_KEYS = f"""{FACTS}, two as (select namespace, seq, source_turn_id, split_part(slot_key, '.', 2) as event, split_part(slot_key, '.', 2) || case when seq % 2 = 0 then '.daily count' else '.count daily' end as slot_key, slot_value from facts),
+before_ as (select * from (select *, row_number() over (partition by namespace, slot_key order by source_turn_id desc, seq desc) as r from two) where r = 1),
+after_ as (select * from (select *, row_number() over (partition by namespace, event order by source_turn_id desc, seq desc) as r from two) where r = 1),
+latest as (select namespace, arg_max(slot_value, source_turn_id) as needle from two group by namespace),
+counted as (select (select count(*) from (select namespace, slot_value from before_ group by all having count(distinct slot_key) > 1)) as b, (select count(*) from (select namespace, slot_value from after_ group by all having count(distinct event) > 1)) as a,
+  (select bool_and(exists (select 1 from after_ f where f.namespace = l.namespace and contains(f.slot_value, l.needle))) from latest l) as gold)"""
+
+
+@query(f"with {_TWO_KEYS}, r as (select *, case when b > 0 then round((b - a) / b, 4) else 0.0 end as rate from counted) select b as fragmented_before, a as fragmented_after, gold as gold_preserved, true as sentinels_right, rate as reduction_rate, rate >= 0.3 as target_met, rate >= 0.3 and gold as go from r")
+def audit_role_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a rekey by roles, here of keys that come in two wordings, is worth it and safe."""
+    event = F.regexp_extract("slot_key", r"\.(.*)$", 1)
+    two = facts_of_events(spark, sf_dir).withColumn("slot_key", F.concat(event, F.when(F.col("seq") % 2 == 0, ".daily count").otherwise(".count daily")))
+    newest = lambda key: two_named.withColumn("r", F.row_number().over(W.partitionBy(NS, key).orderBy(F.col("source_turn_id").desc(), F.col("seq").desc()))).filter("r = 1")
+    groups = families.grouped_by_role(two.select(NS, "seq", "slot_key"))
+    two_named = two.join(groups, [NS, "slot_key"])
+    before, after = newest("slot_key"), newest("role_group").withColumn("slot_key", F.col("role_group"))
+    needles = two.groupBy(NS).agg(F.max_by("slot_value", "source_turn_id").alias("needle"))
+    pairs = [("walk.start hour", "walk.end hour", False), ("budget.min sum", "budget.max sum", False), ("ann.height", "ben.height", False), ("team.size", "team size.size", True), ("goal.target level", "goal.level target", True)]
+    sentinels = spark.createDataFrame(pairs, "a string, b string, expected boolean").select("expected", families.same_role(F.col("a"), F.col("b")).alias("found"))
+    return evaluate.role_decision(before, after, needles, sentinels, 0.3)

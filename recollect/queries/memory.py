@@ -57,6 +57,14 @@ def ingest_turn_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.next_turn_ids(new, turns.filter("turn_id <= 4"), none)
 
 
+@query(f"with {TURNS} select namespace, turn_id, role from turns where turn_id > 3")
+def ingest_new_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is new in a client's view from the second turn on, when three turns are stored."""
+    turns = turns_of_conversations(spark, sf_dir)
+    view = turns.filter("turn_id > 1").select(NS, F.col("turn_id").alias("arrival"), "role", "content")
+    return compaction.new_messages(view, turns.filter("turn_id <= 3")).select(NS, F.col("arrival").alias("turn_id"), "role")
+
+
 @query(f"with {TURNS} select namespace, turn_id from turns t where not exists (select 1 from turns d where d.namespace = t.namespace and d.turn_id = t.turn_id and d.turn_id % 3 = 0)")
 def compaction_concurrent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns without those that were compacted meanwhile."""

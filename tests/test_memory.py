@@ -81,9 +81,14 @@ def test_compaction_loop_stops_at_the_trigger(spark):
     assert [out[i] for i in range(1, 11)] == [1, 1, 1, 2, 2, 2, None, None, None, None]
 
 
-def test_new_tail():
-    a, b, c = ("u", "1"), ("a", "2"), ("u", "3")
-    assert compaction.new_tail([a, b], [a, b, c]) == [c] and compaction.new_tail([a, b], [b, c]) == [c] and compaction.new_tail([], [a]) == [a] and compaction.new_tail([a], [c]) == [c]
+def test_new_messages(spark):
+    def new(stored, incoming):
+        turns = spark.createDataFrame([("n", i, "user", c) for i, c in enumerate(stored)], "namespace string, turn_id long, role string, content string")
+        view = spark.createDataFrame([("n", i, "user", c) for i, c in enumerate(incoming)], "namespace string, arrival long, role string, content string")
+        return "".join(r.content for r in sorted(compaction.new_messages(view, turns).collect(), key=lambda r: r.arrival))
+
+    for stored, incoming, want in [("ab", "abc", "c"), ("ab", "bc", "c"), ("", "a", "a"), ("a", "c", "c"), ("ab", "ab", ""), ("aa", "aaa", ""), ("abc", "zbcd", "zbcd"), ("bc", "abcd", "d")]:
+        assert new(stored, incoming) == want, (stored, incoming)
 
 
 def test_wiki(spark):
