@@ -592,6 +592,16 @@ def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
     assert len({r.fingerprint for r in one}) == 3
 
 
+def test_digests_that_collide_are_told_apart_by_bytes(spark, monkeypatch):
+    """With a digest that is the same for all texts, equal fingerprints still mean equal canonical texts."""
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: "d" if canon else "e")
+    rows = [(1, "a"), (2, "b"), (3, "A "), (4, "c"), (5, "b"), (None, "c"), (6, None), (7, "")]
+    got = {(r.id, i): r.fingerprint for i, r in enumerate(fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())}
+    named = {k: v for (k, _), v in got.items()}
+    assert named[1] == named[3] and named[2] == named[5] and named[4] == named[None] and named[6] == named[7]
+    assert len({named[1], named[2], named[4], named[6]}) == 4
+
+
 def test_fingerprints_without_rows(empty):
     assert fingerprint.fingerprints(empty).count() == 0
 

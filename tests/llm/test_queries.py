@@ -107,3 +107,69 @@ def test_stages_take_no_rows(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0
+
+
+CLASHES = ["score", "toxicity", "toxicity_key", "key", "text_hash", "hit", "row_key_of", "gone", "first", "near_key", "mix_hash", "take", "mix_text", "takes", "k0", "row", "size"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, corpus):
+    """The corpus with further columns whose names operators might use, and rows with one id and unlike texts."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    more = spark.createDataFrame([(8, f"another text under the id of the eighth row, number {i} of its kind " + "ab cd " * i, "en", "s1", 1) for i in range(3)], docs.schema)
+    return docs.unionByName(more).select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus, clashing):
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, corpus)
+        assert out.columns == clashing.columns, name
+        assert out.select(*CLASHES).distinct().collect() == [tuple(f"mine {c}" for c in CLASHES)], name
+    assert pipeline.STAGES[-1][1](spark, clashing, corpus).count() == clashing.count()
+
+
+def test_rows_with_one_id_are_judged_by_their_texts(spark, corpus, clashing):
+    out = pipeline.drop_near_duplicates(spark, clashing, corpus)
+    assert out.filter("doc_id = 8").count() == 4
+    assert out.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+
+
+def test_near_duplicates_stage_against_brute_force(spark, corpus):
+    """Of pairs at 0.8 over five words at least nine of ten go, and no row goes that is like no other."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("aeioulmnrst") for _ in range(6))
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(200)]
+        for _ in range(rnd.randint(1, 3)):
+            copy = list(base)
+            for _ in range(rnd.choice((0, 1, 2, 4))):
+                copy[rnd.randrange(200)] = word()
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, corpus).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in (r[1].split() for r in rows)]
+    like = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for b in range(len(rows)) for a in range(b)]
+    pairs = [(a, b) for a, b, j in like if j >= 0.8]
+    assert len(pairs) > 40 and sum(a in kept and b in kept for a, b in pairs) <= len(pairs) / 10
+    assert all(i in kept for i in range(len(rows)) if not any(j > 0.5 and i in (a, b) for a, b, j in like))
+
+
+def test_decontamination_stage_against_brute_force(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    (leak,) = [r.text for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
+    windows = {tuple(leak.split()[i : i + 10]) for i in range(len(leak.split()) - 9)}
+    holds = lambda t: any(tuple((t or "").split()[i : i + 10]) in windows for i in range(len((t or "").split()) - 9))
+    want = sorted(str((r.doc_id, r.text)) for r in docs.collect() if not holds(r.text))
+    assert sorted(str((r.doc_id, r.text)) for r in pipeline.drop_contaminated(spark, docs, corpus).collect()) == want
+
+
+def test_labels_of_one_class_drop_nothing(spark, corpus, tmp_path):
+    spark.createDataFrame([(i, 1) for i in range(300)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_warc_query_takes_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["op1_warc"](spark, str(tmp_path)).count() == 0
