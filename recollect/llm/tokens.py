@@ -4,7 +4,8 @@ Documents are dealt by ranges of their ids and tokenised in order. About a milli
 cuts a document. In a shard the most frequent pairs of neighbouring symbols become nonterminals until no pair comes
 ``LEAST_PAIRS`` times. A shard's row in the file keeps the rules, the expansion length of every nonterminal, the
 remaining symbols and, for every 1024th symbol, the number of ids before it; so one document is decoded from the
-symbols that cover it, without the rest of the shard (``lookup``).
+symbols that cover it, without the rest of the shard (``lookup``). Rows reach the workers in small batches, as each
+holds a shard and a memo besides.
 
 File layout, format 2: a Parquet folder with a row per shard: range, shard (order within it), n_ids, ids (document
 ids), lens (ids of each document, end included), first (number of terminals), rules (pairs of u32), lengths (u32),
