@@ -730,7 +730,7 @@ def slow_substrings(data, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_words": 200, "bucket_words": 50}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_words": 200, "bucket_words": 50}, {"chunk_words": 200, "bucket_words": 50, "direct": 1}])
 @pytest.mark.parametrize("window", [13, 5])
 def test_substrings(docs, data, sizes, window):
     got = substrings.deduplicated(docs, window=window, **sizes).collect()
@@ -739,15 +739,30 @@ def test_substrings(docs, data, sizes, window):
     assert any(w[2] for w in want)
 
 
-def test_substrings_random(spark):
+@pytest.mark.parametrize("direct", [1 << 14, 1])
+def test_substrings_random(spark, direct):
     rnd = random.Random(8)
     data = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60)))) for i in rnd.choices(range(25), k=40)]
     docs = spark.createDataFrame(data, "doc_id bigint, text string")
-    got = substrings.deduplicated(docs, window=5, with_text=True, chunk_words=60, bucket_words=100).collect()
+    got = substrings.deduplicated(docs, window=5, with_text=True, chunk_words=60, bucket_words=100, direct=direct).collect()
     assert sorted((str(r.id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_substrings(data, 5)
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_routes_of_entries():
+    """Every key comes to the bucket that it would have directly, and every chunk to one of the teams."""
+    routes = substrings.Routes.of(10_000, 100, 50, 1)
+    assert routes.coarse * routes.fine >= 10_000 // 50 and routes.fine > 1 and routes.teams > 1
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 500, np.uint64))
+    found = []
+    for coarse, blob in routes.split(keys, [keys.astype("<u8")]):
+        (fine, key), _ = substrings._columns([blob], ("<u4", "<u8"))
+        found += zip((coarse * routes.fine + fine).tolist(), key.tolist(), strict=True)
+    assert found == [((int(k) >> 32) * routes.coarse * routes.fine >> 32, int(k)) for k in keys]
+    assert {routes.team((task << 32) + i) for task in range(9) for i in range(9)} <= set(range(routes.teams))
+    assert substrings.Routes.of(10_000, 100, 50, 1 << 14) == substrings.Routes(201)
+
+
 def test_substrings_without_rows(empty):
     assert substrings.deduplicated(empty).count() == 0
 
