@@ -250,3 +250,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
+#: DuckDB SQL of the op10 query.
+SQL = r"""
+with w as (select row_number() over () as row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+b as (select row_number() over () as text_no, coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+runs as (select item, words, least(10, len(words)) as n, unnest(range(1, greatest(1, len(words) - 9) + 1)) as i from b where len(words) > 0),
+asked as (select distinct item, n, array_to_string(words[i:i + n - 1], ' ') as run from runs),
+lengths as (select distinct n from asked),
+places as (select row_no, words, n, unnest(range(1, len(words) - n + 2)) as i from w, lengths where len(words) >= n),
+found as (select row_no, p.i, p.n, item from places p join asked a on a.n = p.n and a.run = array_to_string(p.words[p.i:p.i + p.n - 1], ' ')),
+hit as (select row_no, count(distinct j) as n_hit from (select row_no, unnest(range(i, i + n)) as j from (select distinct row_no, i, n from found)) group by row_no),
+named as (select row_no, list_sort(list(distinct item)) as items from found group by row_no),
+posted as (select row_no, words[i] as term, i from (select row_no, words, unnest(range(1, len(words) + 1)) as i from w)),
+bags as (select text_no, item, len(words) + 32 as width, unnest(list_distinct(words)) as term, len(list_distinct(words)) as n_terms from b where len(words) > 0),
+both_have as (select text_no, row_no from (select distinct row_no, term from posted) join bags using (term) group by text_no, row_no having count(*) = any_value(n_terms)),
+spans as (select item, row_no, n_terms, count(distinct term) over (partition by text_no, row_no order by i range between width - 1 preceding and current row) as seen from both_have join bags using (text_no) join posted using (row_no, term)),
+near as (select row_no, count(distinct item) as n_near from spans where seen = n_terms group by row_no)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+  n_hit is not null as contaminated, coalesce(n_near, 0)::bigint as n_near_items from w left join hit using (row_no) left join named using (row_no) left join near using (row_no)
+"""

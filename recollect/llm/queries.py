@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op9_substrings": substrings.SQL, "op10_decontaminate": decontaminate.SQL}

@@ -438,3 +438,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = removal(_texts(docs, id_col, text_col), found)
     return texts.select("doc", "text", "places").mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+
+
+#: DuckDB SQL of the op9 query.
+SQL = r"""
+with w as (select row_number() over () as row_no, doc_id, coalesce(doc_id, 9223372036854775807) as key, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+p as (select row_no, key, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13),
+g as (select row_no, key, i, array_to_string(words[i:i + 12], ' ') as run from p),
+least as (select run, min(key) as first from g group by run),
+gone as (select distinct row_no, unnest(range(i, i + 13)) as i from g join least using (run) where key > first),
+lost as (select row_no, list(i) as places, count(*) as n from gone group by row_no)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(array_to_string(case when n is null then words else [words[i] for i in range(1, len(words) + 1) if not list_contains(places, i)] end, ' ')) as kept_sha256
+from w left join lost using (row_no)
+"""
