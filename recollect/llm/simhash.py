@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import dropped, written
+from recollect.llm.common import dropped, handing_back, written
 from recollect.llm.decontaminate import words_of
 from recollect.llm.substrings import rolling
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(x.as_py(), shingle, seed) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(handing_back(run), "id long, fp long")
 
 
 def masks() -> list[int]:
@@ -231,7 +231,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             found = [wide_fingerprint(t.as_py(), shingle) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array([xxhash.xxh3_128_digest(f) for f in found], pa.binary())], ["row_key", "id", "fp", "node"])
 
-    marked = written(prints.mapInArrow(mark, "row_key binary, id long, fp binary, node binary"), "wide-fingerprints")
+    marked = written(prints.mapInArrow(handing_back(mark), "row_key binary, id long, fp binary, node binary"), "wide-fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("row_key"))).alias("least")
     nodes = written(marked.groupBy("node").agg(F.first("fp").alias("fp"), least), "nodes")
     blocks, most = blocks_for(nodes.count(), similarity, recall), int(np.floor(WIDE * share_of_bits(similarity) * SLACK))
@@ -264,8 +264,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    filed = nodes.select("node", "fp").mapInArrow(deal, "block int, value long, node binary, fp binary")
-    roots = components(filed.repartition("block", "value").sortWithinPartitions("block", "value", "node").mapInArrow(meet, "a binary, b binary"))
+    filed = nodes.select("node", "fp").mapInArrow(handing_back(deal), "block int, value long, node binary, fp binary")
+    roots = components(filed.repartition("block", "value").sortWithinPartitions("block", "value", "node").mapInArrow(handing_back(meet), "a binary, b binary"))
     named = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
     stands = named.join(heads, "root").select(F.col("node").alias("of"), "head")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import fresh, small_side, written
+from recollect.llm.common import fresh, handing_back, small_side, written
 
 FOLDS = 3
 SHARES, HINGES = (0.005, 0.01, 0.02, 0.05, 0.1), (2.0, 3.0, 4.0)
@@ -88,8 +88,8 @@ def counts(rows: DataFrame) -> DataFrame:
         key = np.unique(left * len(words) + at)
         return pa.RecordBatch.from_arrays([pa.array(words[key % len(words)].view(np.int64)), pa.array(np.concatenate(([np.uint64(0)], words))[key // len(words)].view(np.int64))], ["word", "left_word"])
 
-    often = rows.mapInArrow(in_chunks(totals), "word long, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn("contexts", F.lit(0).cast("long"))
-    after = rows.mapInArrow(in_chunks(pairs), "word long, left_word long").distinct().groupBy("word").agg(F.count("*").alias("contexts"))
+    often = rows.mapInArrow(handing_back(in_chunks(totals)), "word long, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn("contexts", F.lit(0).cast("long"))
+    after = rows.mapInArrow(handing_back(in_chunks(pairs)), "word long, left_word long").distinct().groupBy("word").agg(F.count("*").alias("contexts"))
     both = often.unionByName(after, allowMissingColumns=True)
     return both.groupBy("word").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTS, "contexts")])
 
@@ -276,10 +276,10 @@ class Model:
             for chunk in open_chunks.values():
                 yield pa.RecordBatch.from_pylist(chunk.rows(buckets), _SCHEMA)
 
-        asked = written(texts.select(F.col("key").cast("binary"), F.col("fold").cast("int"), F.col("text").cast("string")).mapInArrow(ask, _ROWS), "asked")
+        asked = written(texts.select(F.col("key").cast("binary"), F.col("fold").cast("int"), F.col("text").cast("string")).mapInArrow(handing_back(ask), _ROWS), "asked")
         to_buckets = self.slices.unionByName(asked.filter(F.col("kind") == ASKED)).repartition("bucket").sortWithinPartitions("bucket", "kind")
-        back = to_buckets.mapInArrow(_answers, _ROWS).unionByName(asked.filter(F.col("kind") == TEXTS))
-        return back.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_features, "key binary, x array<double>")
+        back = to_buckets.mapInArrow(handing_back(_answers), _ROWS).unionByName(asked.filter(F.col("kind") == TEXTS))
+        return back.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(handing_back(_features), "key binary, x array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -343,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if size:
             yield rows_of()
 
-    model = Model(frequent, written(table.filter(step < least).mapInArrow(sliced, _ROWS), "slices"), buckets)
+    model = Model(frequent, written(table.filter(step < least).mapInArrow(handing_back(sliced), _ROWS), "slices"), buckets)
     # Of all training rows the share with the smallest hashes that calibration_rows are; nothing is ordered.
     share = min(1.0, calibration_rows / max(known.count(), 1))
     sample = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
@@ -364,7 +364,7 @@ def _judged(texts: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
             found = 1 / (1 + np.exp(-np.clip(expanded(x) @ weights, -30, 30))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["key", "score"])
 
-    return model.features(texts).mapInArrow(run, "key binary, score double")
+    return model.features(texts).mapInArrow(handing_back(run), "key binary, score double")
 
 
 def row_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
