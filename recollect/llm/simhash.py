@@ -100,8 +100,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of edges (a, b) with the smallest node of its component.
 
     First each node goes to its smallest neighbour, and edges join what their ends went to, so many edges between
-    near copies become few. Then alternating large and small stars; each round is a written table, and a node with many
-    neighbours meets its minimum by a partial aggregate and a join that adaptive execution splits."""
+    near copies become few. Then alternating large and small stars; each round is a written table. A node with many
+    neighbours gets its minimum by a partial aggregate, written as a table, so that adaptive execution can split the join
+    in which its edges meet that minimum; it splits none that an aggregate stands before."""
     ordered = lambda a, b: [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
     given = written(edges.select(*ordered("a", "b")).filter("u <> v").distinct(), "edges")
     nearest = written(given.unionByName(given.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "nearest")
@@ -114,12 +115,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = written(small, "edges")
-        dropped(now.sparkSession, now)
+        for read in (now, least):
+            dropped(now.sparkSession, read)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -129,8 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     roots = components(links(nodes.select("fp"), radius, bucket))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
-    groups = joined.groupBy("root").agg(F.min("least").alias("component"))
+    joined = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "named")
+    groups = written(joined.groupBy("root").agg(F.min("least").alias("component")), "groups")
     named = joined.join(groups, "root").select("fp", "component", "copies")
     return marked.join(named, "fp").select("id", "fp", "component", "copies")
 
@@ -266,8 +268,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     filed = nodes.select("node", "fp").mapInArrow(handing_back(deal), "block int, value long, node binary, fp binary")
     roots = components(filed.repartition("block", "value").sortWithinPartitions("block", "value", "node").mapInArrow(handing_back(meet), "a binary, b binary"))
-    named = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("head"))
+    # Tables on both sides, as adaptive execution splits a large root's rows only where no aggregate stands before the join.
+    named = written(nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "named")
+    heads = written(named.groupBy("root").agg(F.min("least").alias("head")), "heads")
     stands = named.join(heads, "root").select(F.col("node").alias("of"), "head")
     rows = marked.groupBy("row_key", "id", "node").agg(F.count("*").alias("copies"))
     return rows.join(stands, F.col("node") == F.col("of")).select("row_key", "id", "copies", (F.col("row_key") == F.col("head.row_key")).alias("first"))
