@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, fingerprint, licenses, mixing, secrets, simhash, substrings, tokens, toxicity, warc
+from recollect.llm import decontaminate, fingerprint, licenses, merkle, mixing, secrets, simhash, substrings, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their Merkle leaves, subroots by source, the root and a proof, checked against some tampered texts."""
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -95,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substrings": op9_substrings,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op9_substrings": substrings.SQL, "op10_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op9_substrings": substrings.SQL, "op10_decontaminate": decontaminate.SQL, "op11_merkle": merkle.SQL}
