@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, fingerprint, licenses, merkle, mixing, secrets, simhash, substrings, tokens, toxicity, warc
+from recollect.llm import decontaminate, embeddings, fingerprint, lexical, licenses, merkle, mixing, secrets, simhash, substrings, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that match each benchmark item best."""
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with the number of vectors at a cosine of 0.9 or more, and the smallest id that such links reach."""
+    found = embeddings.links(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -103,5 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
+    "op13_embeddings": op13_embeddings,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op9_substrings": substrings.SQL, "op10_decontaminate": decontaminate.SQL, "op11_merkle": merkle.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op9_substrings": substrings.SQL, "op10_decontaminate": decontaminate.SQL, "op11_merkle": merkle.SQL, "op12_lexical": lexical.SQL, "op13_embeddings": embeddings.SQL}
