@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recollect.functions import constants as C
 from recollect.functions import text as X
 from recollect.operators.fold import Fact
+from recollect.operators.vectors import matched
 
 NS = "namespace"
 
@@ -77,34 +78,9 @@ def searched(queries: DataFrame, rows: DataFrame, threshold: float | None = None
     """(l, r, sim): each query (key, vector) with all rows (key, vector) of other keys whose cosine, to six places, is at
     the threshold or above; without one, with all rows. A zero vector's cosine is 0; null vectors take no part.
 
-    Queries go to the rows in blocks, one at a time, as a matrix of bounded size; rows are read once for each block and
-    not shuffled."""
-    spark, parts = rows.sparkSession, None
-    own = queries.filter("vector is not null").select("key", "vector")
-    blocks = max(1, -(-own.count() // block_rows))
-
-    def unit(vectors: list) -> np.ndarray:
-        m = np.array(vectors, np.float64)
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    for k in range(blocks):
-        got = (own.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k) if blocks > 1 else own).toPandas()
-        shared = spark.sparkContext.broadcast((got["key"].to_numpy(np.int64), unit([list(v) for v in got["vector"]]) if len(got) else np.zeros((0, 1))))
-
-        def run(batches, shared=shared):
-            keys, matrix = shared.value
-            for batch in batches:
-                if not len(keys) or not len(batch):
-                    continue
-                sims = np.round(matrix @ unit([list(v) for v in batch["vector"]]).T, 6) + 0.0
-                at = batch["key"].to_numpy(np.int64)
-                l, r = np.nonzero((keys[:, None] != at) & (sims >= threshold if threshold is not None else True))
-                yield pd.DataFrame({"l": keys[l], "r": at[r], "sim": sims[l, r]})
-
-        part = rows.filter("vector is not null").select("key", "vector").mapInPandas(run, "l long, r long, sim double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    Blocks of queries meet blocks of rows as matrices of bounded size, each pair of blocks in a task of its own."""
+    alone = F.lit(0).alias("cell")
+    return matched(queries.select(alone, "key", "vector"), rows.select(alone, "key", "vector"), threshold, None, block_rows)
 
 
 def banded_join(pairs: DataFrame, vectors: DataFrame, judge: Callable[[str, str], bool], band: tuple[float, float] = C.BAND, value_aware: bool = False) -> DataFrame:
