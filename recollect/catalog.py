@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recollect.queries import evaluate, fusion, graph, identity, ledger, memory, retrieval, text  # noqa: F401
+from recollect.queries import evaluate, fusion, graph, identity, ledger, memory, retrieval, services, text  # noqa: F401
 from recollect.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -66,6 +66,17 @@ def stub_summary(limit: int = 200) -> Chat:
     return lambda messages: messages[-1]["content"][:limit]
 
 
+def stub_extract(refused: str) -> Callable[[str], str]:
+    """The first line of a text; an error for texts that hold the refused word."""
+
+    def extract(text: str) -> str:
+        if refused in text:
+            raise RuntimeError("no answer")
+        return text.split("\n")[0]
+
+    return extract
+
+
 def stub_reader(answer_key: dict[str, str]) -> Callable[[str, str], bool]:
     """Whether the gold answer of a question stands in the context."""
     return lambda question, context: answer_key.get(question, "\0").lower() in context.lower()
