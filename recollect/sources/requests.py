@@ -47,9 +47,11 @@ class File(InputPartition):
         self.path, self.name = path, name
 
 
-def read(partition: File) -> Iterator[tuple]:
+def read(partition: File | None) -> Iterator[tuple]:
     from pyarrow import fs
 
+    if partition is None:  # a folder without files
+        return
     system = fs.FileSystem.from_uri(partition.path)[0] if ":" in partition.path else fs.LocalFileSystem()
     with system.open_input_stream(partition.name) as stream:
         rest = b""
