@@ -36,7 +36,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """One row per segment: its documents (ids, whether the id is null, word counts), its terms joined by spaces,
+    """One row per segment, with a number of its own: its documents (ids, whether the id is null, word counts), its terms joined by spaces,
     each term's number of postings and the positions, in terms' order."""
 
     def segment(ids, counts, words):
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = pa.schema([("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("base", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("positions", pa.binary())])
     made = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(handing_back(run), "ids array<long>, n_words array<long>, base array<long>, terms binary, df binary, positions binary")
-    return written(made, "index")
+    return written(made.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
 class QueryBlock:
@@ -214,7 +214,7 @@ def query_index(index: DataFrame, items: list[tuple[str, bytes]], window: int =
             yield {"row": [row["segment"], i], "id": key, "n_words": n, "starts": [x for x, _ in own], "ends": [y for _, y in own], "items": sorted(block.items[j] for j in items_of.get(i, ())), "near": sorted(block.items[j] for j in near_of.get(i, ()))}
 
     schema = pa.schema([("row", pa.list_(pa.int64())), ("id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
-    return index.withColumn("segment", F.xxhash64("ids", "terms", "df")).mapInArrow(handing_back(run), "row array<long>, id long, n_words long, starts array<long>, ends array<long>, items array<string>, near array<string>")
+    return index.mapInArrow(handing_back(run), "row array<long>, id long, n_words long, starts array<long>, ends array<long>, items array<string>, near array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
