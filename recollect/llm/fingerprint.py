@@ -7,7 +7,9 @@ with that of the bucket's first row. Texts that differ from it in spite of equal
 exact: the likeness of two fingerprints is 1 if they are equal, else 0.
 
 Only rows whose digest comes more than once are compared; their ids are broadcast if they are few, else joined by a
-shuffle, and a bucket with many rows is a join side that adaptive execution splits.
+shuffle. What is aggregated by digest is written as a table before rows meet it, as adaptive execution splits a bucket with
+many rows only where no aggregate stands before the join. A second digest tells texts apart whose first ones collide, so
+fingerprints go by texts, whatever the ids.
 
 Defined results: a null text counts as empty; a null id is the smallest id; rows with equal ids stand in the order of
 their texts; with one row, the next document is the row itself; an empty table gives no rows; only id and text are read.
@@ -41,6 +43,11 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
+def check(canon: bytes) -> bytes:
+    """16 bytes that tell apart texts with equal digests."""
+    return hashlib.sha256(canon).digest()[:16]
+
+
 def edited(text: str, following: str) -> str:
     """text with its last quarter replaced by as many characters of the following text, or all it has."""
     k = len(text) // 4
@@ -48,14 +55,14 @@ def edited(text: str, following: str) -> str:
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 20_000) -> DataFrame:
-    """Per row, in order of ids: id, n_chars, edited_sha256, digest, edited_digest, and whether the canonical text equals the edited one's and the next row's."""
+    """Per row, in order of ids: id, n_chars, edited_sha256, digest, edited_digest, whether the canonical text equals the edited one's and the next row's, and check."""
 
     def one(key, text, following):
         changed = edited(text, following)
         own, other, after = canonical(text), canonical(changed), canonical(following)
-        return key, len(text), hashlib.sha256(changed.encode()).hexdigest(), digest(own), digest(other), own == other, own == after
+        return key, len(text), hashlib.sha256(changed.encode()).hexdigest(), digest(own), digest(other), own == other, own == after, check(own)
 
-    schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("edited_digest", pa.string()), ("same_edited", pa.bool_()), ("same_next", pa.bool_())])
+    schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("edited_digest", pa.string()), ("same_edited", pa.bool_()), ("same_next", pa.bool_()), ("check", pa.binary())])
 
     def run(batches):
         held = None
@@ -70,25 +77,27 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return dealt(docs, id_col, text_col, rows_each, ahead=True).mapInArrow(run, "id long, n_chars long, edited_sha256 string, digest string, edited_digest string, same_edited boolean, same_next boolean")
+    return dealt(docs, id_col, text_col, rows_each, ahead=True).mapInArrow(run, "id long, n_chars long, edited_sha256 string, digest string, edited_digest string, same_edited boolean, same_next boolean, check binary")
 
 
 def collisions(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, canon, number): canonical texts that differ from their bucket's first one in spite of an equal digest."""
-    buckets = marked.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("first")).filter("n > 1")
-    members = marked.join(buckets, "digest").select(F.coalesce("id", F.lit(-(1 << 63))).alias("member"), F.col("first")).distinct()
+    """(digest, check, number): canonical texts that differ from their bucket's first one in spite of an equal digest, numbered
+    in their order."""
+    lowest = F.lit(-(1 << 63))
+    buckets = written(marked.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.coalesce("id", lowest)).alias("first")).filter("n > 1").select("digest", "first"), "repeated")
+    members = written(marked.join(buckets, "digest").select(F.coalesce("id", lowest).alias("member"), "first").distinct(), "members")
 
     def run(batches):
         for batch in batches:
             canon = [canonical(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(c) for c in canon]), pa.array(canon, pa.binary()), batch.column(1)], ["digest", "canon", "is_first"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(c) for c in canon]), pa.array(canon, pa.binary()), pa.array([check(c) for c in canon], pa.binary()), batch.column(1)], ["digest", "canon", "check", "is_first"])
 
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(text_col).cast("string").alias("text"))
-    compared = texts.join(small_side(members, BROADCAST_IDS), F.col("key") == F.col("member")).select("text", (F.col("key") == F.col("first")).alias("is_first")).mapInArrow(run, "digest string, canon binary, is_first boolean")
-    compared = written(compared, "buckets")
-    heads = compared.filter("is_first").groupBy("digest").agg(F.min("canon").alias("head"))
-    odd = compared.join(heads, "digest").filter("canon <> head").select("digest", "canon").distinct()
-    return odd.groupBy("digest").agg(F.array_sort(F.collect_list("canon")).alias("all")).select("digest", F.posexplode("all").alias("number", "canon"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("key"), F.col(text_col).cast("string").alias("text"))
+    compared = texts.join(small_side(members, BROADCAST_IDS), F.col("key") == F.col("member")).select("text", (F.col("key") == F.col("first")).alias("is_first"))
+    compared = written(compared.mapInArrow(run, "digest string, canon binary, check binary, is_first boolean"), "buckets")
+    heads = written(compared.filter("is_first").groupBy("digest").agg(F.min("canon").alias("head")), "heads")
+    odd = compared.join(heads, "digest").filter("canon <> head").select("digest", "canon", "check").distinct()
+    return odd.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("canon", "check"))).alias("all")).select("digest", F.posexplode("all").alias("number", "text")).select("digest", "text.check", "number")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 20_000) -> DataFrame:
@@ -97,15 +106,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     odd = written(collisions(docs, marked, id_col, text_col), "collisions")
     if not odd.limit(1).count():
         return marked.withColumn("fingerprint", F.col("digest"))
-
-    def run(batches):
-        for batch in batches:
-            canon = [canonical(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(canon, pa.binary())], ["k", "c"])
-
-    texts = docs.join(small_side(odd.select("digest").distinct(), BROADCAST_IDS).join(marked.select("digest", F.col("id").alias("odd_id")), "digest"), docs[id_col].eqNullSafe(F.col("odd_id"))).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "k long, c binary")
-    numbered = texts.join(odd, texts.c == odd.canon).groupBy("k").agg(F.min("number").alias("number"))
-    return marked.join(numbered, marked.id.eqNullSafe(numbered.k), "left").withColumn("fingerprint", F.when(F.col("number").isNull(), F.col("digest")).otherwise(F.concat("digest", F.lit("-"), F.col("number").cast("string")))).drop("k", "number")
+    own = F.when(F.col("number").isNull(), F.col("digest")).otherwise(F.concat("digest", F.lit("-"), F.col("number").cast("string")))
+    return marked.join(small_side(odd, BROADCAST_IDS), ["digest", "check"], "left").withColumn("fingerprint", own).drop("number")
 
 
 def likeness(same):
