@@ -8,7 +8,8 @@ back parses the header bytes and joins them with the payloads on the digest, aft
 length have been computed again from its bytes; a payload that fails this check raises an error.
 
 Bytes move once: digests are made where the rows are read, decisions are made on digests alone, and only payloads of
-responses are shuffled to be written. A digest shared by a large part of all rows is aggregated before it is joined.
+responses are shuffled to be written. Holders are aggregated by digest and written as a table before records meet them, so
+that adaptive execution can split a digest that a large part of all rows shares.
 
 Defined results: a null payload counts as empty; a null id or address is written as an empty string and reads back as
 null; equal rows are records of their own (of several rows with the largest id, each is a response); an empty
@@ -56,11 +57,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col:
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     seen = written(rows.select("key", "uri", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1")), "digests")
-    first = seen.groupBy("sha256").agg(F.max("key").alias("holder")).withColumnRenamed("sha256", "of")
+    keeper = written(seen.groupBy("sha256").agg(F.max("key").alias("holder")), "holders")
+    first = keeper.withColumnRenamed("sha256", "of")
     shared = (F.col("n") >= least_bytes) & F.col("holder").isNotNull() & ((F.col("key") != F.col("holder")) | F.col("key").isNull())
     judged = seen.join(first, seen.sha256 == first.of).withColumn("kind", F.when(shared, "revisit").otherwise("response"))
     head = _headers(F.col("kind"), F.col("key"), F.col("uri"), F.col("n"), base32(F.col("sha1")), F.col("holder"), date)
-    keeper = seen.groupBy("sha256").agg(F.count("*").alias("rows"), F.max("key").alias("holder"))
     with shuffles_dropped(pages.sparkSession):
         judged.select("key", head.alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
         # One row stands for each digest: its holder, or, where all ids are null, any row of that digest.
