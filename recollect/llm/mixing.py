@@ -119,10 +119,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 42, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """docs as the mix has them: a document's whole rounds with the text as it is, and the words of the run inside it,
-    joined by spaces, where the run covers a part. Documents that the mix takes nothing of are not in it. Of rows with
-    equal id, text and source, the columns of one stand for all."""
-    (name,) = fresh(docs, "text_key")
-    hashed, text = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")), F.col(f"row.`{text_col}`")
+    joined by spaces, where the run covers a part. Documents that the mix takes nothing of are not in it. Rows that differ in
+    any column are documents of their own; only of rows equal in all columns one stands for all."""
+    (name,) = fresh(docs, "row_key")
+    whole_row = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]))
+    hashed, text = F.md5(whole_row.cast("binary")), F.col(f"row.`{text_col}`")
     keys = [F.col(id_col), hashed]
     sized = written(sizes(docs, keys, text_col, source_col), "sizes")
     quota = written(quotas(sized, weights, share, limit, block_words), "quotas")
