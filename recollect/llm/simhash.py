@@ -79,7 +79,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = 64) -> DataFrame
         raise ValueError(f"four blocks find pairs at up to {RADIUS} bits, not {radius}")
     fp = F.col("fp")
     filed = nodes.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in masks()])).alias("file", "key"))
-    sizes = filed.groupBy("file", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # A table, as adaptive execution splits a large file's rows only where no aggregate stands before the join.
+    sizes = written(filed.groupBy("file", "key").agg(F.count("*").alias("n")).filter("n > 1"), "files")
     shared = filed.join(sizes, ["file", "key"])
     small = shared.filter(F.col("n") <= bucket)
     left, right = small.select("file", "key", F.col("fp").alias("a")), small.select("file", "key", F.col("fp").alias("b"))
@@ -116,11 +117,11 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = written(small, "edges")
-        for read in (now, least):
+        for read in (now, least, large, low):
             dropped(now.sparkSession, read)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -179,10 +180,8 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group (groups are runs) whose prints (rows of 64-bit words) differ in at most most bits.
-
-    Groups of up to FULL rows are compared pair by pair. In larger ones, mostly many copies of one text, a row is
-    compared with leaders, rows that are close to no leader before them, and linked to each close one."""
+    """Pairs of rows of one group (groups are runs) whose prints (rows of 64-bit words) differ in at most most bits: all of
+    them in groups of up to FULL rows, in larger ones as many as hold the same rows together (``held_together``)."""
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(start, len(group)))
     end = np.repeat(start + size, size)
@@ -196,16 +195,63 @@ def close_pairs(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.nd
         left.append(met)
         right.append(met + d)
     for k in np.flatnonzero(size > FULL).tolist():
-        own, alone = np.arange(start[k], start[k] + size[k]), np.ones(size[k], bool)
-        while alone.any():
-            leader = own[alone][0]
-            near = _close(prints[own], prints[leader]) <= most
-            left.append(np.full(int(near.sum()) - 1, leader))
-            right.append(own[near & (own != leader)])
-            alone &= ~near
+        a, b = held_together(prints[start[k] : start[k] + size[k]], most)
+        left.append(a + start[k])
+        right.append(b + start[k])
     return np.concatenate(left), np.concatenate(right)
 
 
+def held_together(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows at no more than most bits that connect all rows which such pairs connect.
+
+    The first row that is in no core yet leads one: the rows within half the bits of it, which are all close to each other.
+    A leader is compared with all rows, so what is left is members of two cores. The distance is a metric: two cores whose
+    leaders are farther apart than most and both radii have no close members; of the others, those that nothing connects
+    yet have their members compared, block by block, up to the first pair that is close."""
+    n = len(prints)
+    core, left, right, leaders, radius = np.full(n, -1, np.int64), [], [], [], []
+    up = np.arange(n)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def link(a: int, b: int) -> None:
+        left.append(a)
+        right.append(b)
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+
+    for lead in range(n):
+        if core[lead] >= 0:
+            continue
+        far = _close(prints, prints[lead])
+        own = (far <= most // 2) & (core < 0)
+        core[own] = len(leaders)
+        radius.append(int(far[own].max()))
+        leaders.append(lead)
+        for x in np.flatnonzero(far <= most).tolist():
+            if top(x) != top(lead):
+                link(lead, x)
+    by_core = np.argsort(core, kind="stable")
+    ends = np.searchsorted(core[by_core], np.arange(len(leaders) + 1))
+    reach, leaders = np.array(radius), np.array(leaders)
+    wide = np.flatnonzero(reach > 0)  # a core without radius is its leader, which has been compared with all
+    for at, j in enumerate(wide.tolist()):
+        before = wide[:at]
+        for i in before[_close(prints[leaders[before]], prints[leaders[j]]) <= most + reach[before] + reach[j]].tolist():
+            if top(int(leaders[i])) == top(int(leaders[j])):
+                continue
+            a, b = by_core[ends[i] : ends[i + 1]], by_core[ends[j] : ends[j + 1]]
+            for x in a.tolist():
+                met = np.flatnonzero(_close(prints[b], prints[x]) <= most)
+                if len(met):
+                    link(x, int(b[met[0]]))
+                    break
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Of pairs of n rows, the numbers of as many as hold the same rows together."""
     up, kept = list(range(n)), []
