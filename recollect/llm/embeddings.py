@@ -90,15 +90,18 @@ class Codes:
                 continue
             apart = (a[:, :64] != b[:, :64]).sum(axis=1)
             self.most = int(np.quantile(apart, 0.999))
+            passing = apart <= self.most
             before = found.mean()
             for k in range(self.tables, a.shape[1] // self.width):
                 found |= (a[:, k * self.width : (k + 1) * self.width] == b[:, k * self.width : (k + 1) * self.width]).all(axis=1)
                 self.tables = k + 1
-                if (found & (apart <= self.most)).mean() >= recall:
+                if found[passing].mean() >= recall:
                     return
             stale = 0 if found.mean() > before else stale + 1
+            if stale > 8 and self.width == 1:
+                return
             if stale > 8:  # few dimensions: further rotations say nothing new, shorter keys do
-                self.width, self.tables, stale = max(1, self.width // 2), 0, 0
+                self.width, self.tables, stale = self.width // 2, 0, 0
 
     def _turn(self, flat: np.ndarray, rnd: np.random.Generator) -> None:
         turn = np.linalg.qr(rnd.standard_normal((flat.shape[1], flat.shape[1])))[0]
