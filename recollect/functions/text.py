@@ -233,6 +233,12 @@ def slot_value(key: Column, text: Column) -> Column:
     return out
 
 
+def stated_values(text: Column) -> Column:
+    """Known slots that a text gives a value for, as (slot_key, slot_value)."""
+    pairs = F.array(*[F.struct(F.lit(slot).alias("slot_key"), slot_value(F.lit(slot), text).alias("slot_value")) for slot in C.SLOT_VALUES])
+    return F.filter(pairs, lambda p: p["slot_value"].isNotNull())
+
+
 def slot_kind(key: Column) -> Column:
     return F.coalesce(F.element_at(mapping(C.SLOT_KINDS), key), F.lit("entity"))
 

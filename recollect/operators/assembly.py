@@ -6,6 +6,8 @@ meet only the slots of their own namespace.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from recollect.functions import constants as C
 from recollect.functions import text as X
 from recollect.operators import ledger
+from recollect.sources.scratch import written
 
 NS = "namespace"
 
@@ -35,9 +38,10 @@ def quarantined(facts: DataFrame, summaries: DataFrame, turns: DataFrame) -> Dat
     """(namespace, slot_key, slot_value): values that a newer observation of their slot contradicts, in facts and in sentences of older summaries."""
     newest = newest_values(facts, turns)
     of_facts = facts.filter(ledger.has_slot()).join(newest, [NS, "slot_key"]).filter((F.col("newest_turn") > F.col("source_turn_id")) & (F.col("slot_value") != F.col("newest_value"))).select(NS, "slot_key", "slot_value")
+    # A sentence is read once for all slots it gives values for, so it meets only those of its namespace, on their keys.
     told = summaries.filter(F.size("covers_turn_ids") > 0).select(NS, F.array_max("covers_turn_ids").alias("last_turn"), F.explode(X.sentences(F.col("text"))).alias("sentence"))
-    older = told.join(newest, NS).filter(F.col("last_turn") < F.col("newest_turn")).withColumn("slot_value", X.slot_value(F.col("slot_key"), F.col("sentence")))
-    of_summaries = older.filter(F.col("slot_value").isNotNull() & (F.col("slot_value") != F.col("newest_value"))).select(NS, "slot_key", "slot_value")
+    stated = told.select(NS, "last_turn", F.explode(X.stated_values(F.col("sentence"))).alias("said")).groupBy(NS, "said").agg(F.min("last_turn").alias("last_turn"))
+    of_summaries = stated.select(NS, "said.slot_key", "said.slot_value", "last_turn").join(newest, [NS, "slot_key"]).filter((F.col("last_turn") < F.col("newest_turn")) & (F.col("slot_value") != F.col("newest_value"))).select(NS, "slot_key", "slot_value")
     return of_facts.unionByName(of_summaries).distinct()
 
 
@@ -96,18 +100,24 @@ def section_tokens(prompts: DataFrame) -> DataFrame:
     return titled.select(NS, "place", "section", X.token_count(F.col("slice")).alias("tokens"))
 
 
-def fit_to_budget(select, render, queries: DataFrame, budget: int, rounds: int = 12, margin: int = 64) -> DataFrame:
-    """select(queries with budget_tokens) rendered by render(selection) -> (query_id, tokens), with budgets that shrink by overshoot and a margin until what is rendered fits.
+def fit_to_budget(select: Callable[[DataFrame], DataFrame], render: Callable[[DataFrame], DataFrame], queries: DataFrame, budget: int, rounds: int = 12, margin: int = 64) -> DataFrame:
+    """What select gives for queries (query_id, ..), each with a budget_tokens so small that what render makes of it, as
+    (query_id, tokens), fits the budget; fitted_budget is that number.
 
-    A round handles all requests at once; only the largest overshoot comes to the driver."""
-    asked = queries.withColumn("budget_tokens", F.lit(budget).cast("long"))
-    for _ in range(rounds):
-        chosen = select(asked)
+    Budgets shrink by the overshoot and a margin. A round is a written table of the requests that do not fit yet, so requests
+    that fit early cost nothing later and no plan grows; what does not fit after all rounds keeps its last selection."""
+    left, fitted = written(queries.withColumn("budget_tokens", F.lit(budget).cast("long")), "asked"), None
+    for last in [False] * (rounds - 1) + [True]:
+        chosen = written(select(left), "chosen")
         over = render(chosen).select("query_id", (F.col("tokens") - budget).alias("over")).filter("over > 0")
-        if not over.limit(1).count():
-            break
-        asked = asked.join(over, "query_id", "left").withColumn("budget_tokens", F.col("budget_tokens") - F.coalesce(F.col("over") + margin, F.lit(0))).drop("over")
-    return select(asked)
+        over = written(over, "over")
+        done = left.select("query_id", F.col("budget_tokens").alias("fitted_budget"))
+        rows = chosen.join(done if last else done.join(over, "query_id", "left_anti"), "query_id")
+        fitted = rows if fitted is None else fitted.unionByName(rows)
+        if last or not over.limit(1).count():
+            return fitted
+        left = written(left.join(over, "query_id").withColumn("budget_tokens", F.col("budget_tokens") - F.col("over") - margin).drop("over"), "asked")
+    return fitted
 
 
 def trimmed(items: DataFrame, budget: int) -> DataFrame:

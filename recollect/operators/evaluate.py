@@ -6,12 +6,15 @@ stated places; ratios with an empty denominator have the stated default.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
 from recollect.functions import text as X
+from recollect.sources.scratch import small_side, written
 
 NS = "namespace"
 
@@ -104,13 +107,14 @@ def loss_against_baseline(rows: DataFrame, by: list[str], condition: str, baseli
 
 def throughput(samples: DataFrame, rates: dict[str, float]) -> DataFrame:
     """samples (absorbed_tokens, wall_s, summary_tokens, compacted) against arrival rates: drain, wall times, compression, headroom; one row per rate."""
+    middle = order_statistics(samples, "wall_s", [], MIDDLE).agg(F.round(F.avg("value"), 3).alias("wall_median"))
     ok = lambda c: F.sum(F.when(F.col("compacted"), F.col(c)).otherwise(0))
     agg = samples.agg(
         F.count("*").alias("n_calls"), F.sum(F.col("compacted").cast("int")).alias("n_compacted"), F.try_divide(F.sum("absorbed_tokens"), F.sum("wall_s")).alias("drain"), F.round(F.avg("wall_s"), 3).alias("wall_mean"),
-        F.round(F.median("wall_s"), 3).alias("wall_median"), F.round(F.max("wall_s"), 3).alias("wall_max"), ok("absorbed_tokens").alias("absorbed"), ok("summary_tokens").alias("produced"),
+        F.round(F.max("wall_s"), 3).alias("wall_max"), ok("absorbed_tokens").alias("absorbed"), ok("summary_tokens").alias("produced"),
     )
     table = samples.sparkSession.createDataFrame(list(rates.items()), "rate_name string, rate double")
-    out = agg.crossJoin(F.broadcast(table))
+    out = agg.crossJoin(middle).crossJoin(F.broadcast(table))
     return out.withColumns({"n_fallback": F.col("n_calls") - F.col("n_compacted"), "compression": F.round(F.coalesce(F.try_divide("absorbed", "produced"), F.lit(0.0)), 2), "keeps_up": F.col("drain") >= F.col("rate"), "headroom": F.round(F.try_divide("drain", "rate"), 2)}).withColumn("drain", F.round("drain", 2))
 
 
@@ -119,6 +123,37 @@ def p95(value: str) -> Column:
     return F.expr(f"percentile_disc(0.95) within group (order by {value})")
 
 
+def order_statistics(rows: DataFrame, value: str, by: list[str], ranks: dict[str, Callable[[Column], Column]], most: int = 100_000, bins: int = 1024) -> DataFrame:
+    """(by, name, value): for each group and name the value at the rank, from 1, that the name's function makes of the
+    group's number of values. Exact; nulls do not count, and values that are no numbers are not allowed.
+
+    Counts by bin narrow each rank's range, a thousandfold a round, until a bin holds no more than most rows or one value;
+    inside it different values are counted and summed up. All are partial counts, so no group meets in a task."""
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0))
+    own = written(rows.select(group.alias("of"), F.col(value).cast("double").alias("v")).filter("v is not null"), "values")
+    sizes = own.groupBy("of").agg(F.count("*").alias("inside"), F.min("v").alias("low"), F.max("v").alias("high"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("inside")).cast("long").alias("rank")) for name, rank in ranks.items()]))
+    targets = written(sizes.withColumn("t", asked).select(F.col("of").alias("group"), "t.name", "t.rank", "low", "high", "inside"), "targets")
+    inside = lambda which: own.join(small_side(which, 50_000), F.col("of").eqNullSafe(F.col("group"))).filter(F.col("v").between(F.col("low"), F.col("high")))
+
+    def at_rank(counts: DataFrame, place: str) -> DataFrame:
+        up_to = F.sum("n").over(W.partitionBy("group", "name").orderBy(place))
+        return counts.withColumn("up_to", up_to).filter((F.col("up_to") >= F.col("rank")) & (F.col("up_to") - F.col("n") < F.col("rank")))
+
+    while (wide := targets.filter((F.col("inside") > most) & (F.col("low") < F.col("high")))).limit(1).count():
+        place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins))
+        counts = inside(wide).groupBy("group", "name", "rank", place.alias("place")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        narrower = at_rank(counts, "place").select("group", "name", (F.col("rank") - (F.col("up_to") - F.col("n"))).alias("rank"), F.col("lo").alias("low"), F.col("hi").alias("high"), F.col("n").alias("inside"))
+        targets = written(targets.filter((F.col("inside") <= most) | (F.col("low") == F.col("high"))).unionByName(narrower), "targets")
+    counts = inside(targets).groupBy("group", "name", "rank", "v").agg(F.count("*").alias("n"))
+    return at_rank(counts, "v").select(*[F.col("group")[c].alias(c) for c in by], "name", F.col("v").alias("value"))
+
+
+#: Ranks among n values: the nearest rank from above at 95 per cent, and the two whose mean is the median.
+P95 = {"p95": lambda n: F.ceil(n * 95 / 100)}
+MIDDLE = {"below": lambda n: F.floor((n + 1) / 2), "above": lambda n: F.floor(n / 2) + 1}
+
+
 def category_accuracy(runs: DataFrame) -> DataFrame:
     """By arm and category, over judged rows, four places."""
     return runs.filter("judged_correct is not null").groupBy("arm", "category").agg(F.round(F.avg(F.col("judged_correct").cast("double")), 4).alias("accuracy"), F.count("*").alias("n"))
@@ -209,7 +244,7 @@ def confirmation(runs: DataFrame, items: DataFrame, safe: str, candidate: str, b
         F.every(~F.col("provenance_lost") & (F.col("candidate_count") == F.size("source_references"))).alias("no_provenance_loss"),
         (F.coalesce(F.every(whole | ~temporal), F.lit(False)) & (F.coalesce(F.sum(F.when(temporal, F.size("source_references"))), F.lit(0)) > 0)).alias("temporal_provenance_complete"),
     )
-    slow = own.filter(F.col("arm") == candidate).groupBy("budget_tokens").agg(p95("read_latency_ms").alias("p95")).agg((F.coalesce(F.every(F.col("p95") <= limit_ms), F.lit(False)) & (F.count("*") == len(budgets))).alias("candidate_latency_within_limit"))
+    slow = order_statistics(own.filter(F.col("arm") == candidate), "read_latency_ms", ["budget_tokens"], P95).withColumnRenamed("value", "p95").agg((F.coalesce(F.every(F.col("p95") <= limit_ms), F.lit(False)) & (F.count("*") == len(budgets))).alias("candidate_latency_within_limit"))
     pairs = paired(own.filter(F.col("arm") == safe).drop("arm"), own.filter(F.col("arm") == candidate).drop("arm"), ["question_id", "budget_tokens"])
     main = F.col("budget_tokens") == scored_budget
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

@@ -214,12 +214,14 @@ def prefer_newest(scored: DataFrame, scope: str = "role") -> DataFrame:
 
 
 def sequence_texts(scored: DataFrame) -> DataFrame:
-    """scored candidates with, for each family of a request, the latest fact's text told as a sequence: from the first value for a change, from the one before for a previous value."""
+    """scored candidates with, for each family of a request, the latest fact's text told as a sequence: from the first value for a change, from the one before for a previous value. Requests of other modes
+    are left alone."""
     scored = written(scored, "scored")
     member = _families(scored.filter("kind = 'entry'"), scored, "cross_key")
     told = member.groupBy("query_id", "family").agg(F.array_sort(F.collect_list(F.struct("turn_id", "item_seq", "slot_value"))).alias("all"), F.first("query").alias("query"))
-    previous = ~F.col("query").rlike(f"(?i){C.QUESTION_MODES[1][1]}")
-    ends = told.select("query_id", F.element_at("all", F.when(previous, F.lit(-2)).otherwise(F.lit(1))).alias("from"), F.element_at("all", -1).alias("to"), previous.alias("previous"))
+    mode = X.question_mode(F.col("query"))
+    previous = mode == "previous"
+    ends = told.filter(mode.isin("previous", "change")).select("query_id", F.element_at("all", F.when(previous, F.lit(-2)).otherwise(F.lit(1))).alias("from"), F.element_at("all", -1).alias("to"), previous.alias("previous"))
     name = F.when(F.col("previous"), "Before and now").otherwise("From first to latest")
     note = F.concat(name, F.lit(": "), "from.slot_value", F.lit(" at turn "), F.col("from.turn_id").cast("string"), F.lit(", then "), "to.slot_value", F.lit(" at turn "), F.col("to.turn_id").cast("string"), F.lit(". "))
     notes = ends.filter("from.slot_value <> to.slot_value").select("query_id", F.lit("entry").alias("kind"), F.col("to.item_seq").alias("item_seq"), note.alias("note"))

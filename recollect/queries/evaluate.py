@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
 from recollect.operators import evaluate
+from recollect.plans import operations
 from recollect.queries.text import QUOTED
 from recollect.registry import query
 from recollect.schemas import table, turns_of_conversations
@@ -128,7 +129,8 @@ def evaluate_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_shipmode, quantile_disc(l_extendedprice, 0.95) as p95 from (select *, l_returnflag || l_linestatus as l_shipmode from lineitem) group by all")
 def evaluate_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentile."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("l_shipmode")).agg(evaluate.p95("l_extendedprice").alias("p95"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_shipmode", F.concat("l_returnflag", "l_linestatus"))
+    return evaluate.order_statistics(rows, "l_extendedprice", ["l_shipmode"], evaluate.P95).select("l_shipmode", F.col("value").alias("p95"))
 
 
 @query(f"with {_RUNS} select arm, category, round(avg(judged_correct::int::double), 4) as accuracy, count(*) as n from runs where judged_correct is not null group by all")
@@ -228,11 +230,21 @@ def evaluate_abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SAID).select("n", evaluate.abstains(F.array("answer")).alias("abstains"), evaluate.stale_failure(F.lit(False), F.array("reason")).alias("stale"))
 
 
-@query("select 'fits' as n, 'pass' as mode union all select 'big', 'size' union all select 'lost', 'retrieval-recall' union all select 'open', 'needs-answer' union all select 'wrong', 'temporal-structure'")
+_JUDGED = """judged as (select d.doc_id, d.source, n_chars <= 1500 as fits, contains(text, 'the') as hits, l.doc_id is not null as answered, coalesce(l.quality = 1, false) as ok, coalesce(l.toxic = 0, false) as clean from documents d left join labels l using (doc_id))"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: whether they fit, hold a needle, have an answer (a label), and a right one (its quality)."""
+    d, own = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    met = d.join(own, "doc_id", "left")
+    flags = {"fits": F.col("n_chars") <= 1500, "hits": F.contains("text", F.lit("the")), "answered": F.col("quality").isNotNull(), "ok": F.coalesce(F.col("quality") == 1, F.lit(False)), "clean": F.coalesce(F.col("toxic") == 0, F.lit(False))}
+    return met.select("doc_id", "source", *[c.alias(name) for name, c in flags.items()])
+
+
+@query(f"with {_JUDGED} select doc_id, case when not fits then 'size' when not hits then 'retrieval-recall' when not answered then 'needs-answer' when ok then 'pass' else 'temporal-structure' end as mode from judged")
 def evaluate_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A32, PF11: the failure mode of each item."""
-    rows = [("fits", True, True, True, True), ("big", False, True, True, True), ("lost", True, False, True, True), ("open", True, True, False, False), ("wrong", True, True, True, False)]
-    return spark.createDataFrame(rows, "n string, fits boolean, hits boolean, answered boolean, ok boolean").select("n", evaluate.failure_mode(F.col("fits"), F.col("hits"), F.col("answered"), F.col("ok")).alias("mode"))
+    return _judged(spark, sf_dir).select("doc_id", evaluate.failure_mode(F.col("fits"), F.col("hits"), F.col("answered"), F.col("ok")).alias("mode"))
 
 
 @query("select (select count(*) from (select doc_id, quality from labels except all select doc_id, quality from labels where toxic = 0)) = 0 as equal")
@@ -256,19 +268,40 @@ def evaluate_results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.results_table(stats, "l_returnflag")
 
 
-@query("select true as evaluated, false as ship, 4::bigint as candidate_pass, ['b', 'e'] as regressions")
+_REGISTERED = [f"src{i}" for i in range(20)]
+
+
+@query(
+    f"""with {_JUDGED}, m as (select source as qid, 2 * sum(ok::int) > count(*) as a, 2 * sum(clean::int) > count(*) as b from judged where answered group by source),
+wanted as (select 'src' || unnest(range(20)) as qid) select (select list(qid order by qid) from m) = (select list(qid order by qid) from wanted) as evaluated,
+(select list(qid order by qid) from m) = (select list(qid order by qid) from wanted) and sum(b::int) >= 5 and count(*) filter (where a and not b) = 0 as ship, sum(b::int)::bigint as candidate_pass, coalesce(list(qid order by qid) filter (where a and not b), []) as regressions from m"""
+)
 def evaluate_dev_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate against the registered items."""
-    names = list("abcdef")
-    sparse = spark.createDataFrame([(x, x in "abe") for x in names], "qid string, majority_correct boolean")
-    candidate = spark.createDataFrame([(x, x in "acdf") for x in names], "qid string, majority_correct boolean")
-    return evaluate.dev_promotion(sparse, candidate, names, 5)
+    """A candidate against the registered items: sources by the majority of their labels, quality against absence of toxicity."""
+    answers = _judged(spark, sf_dir).filter("answered").withColumnRenamed("source", "qid")
+    sparse, candidate = (evaluate.majority(answers.withColumn("correct", F.col(c)), ["qid"]) for c in ("ok", "clean"))
+    return evaluate.dev_promotion(sparse, candidate, _REGISTERED, 5)
+
+
+def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_of_conversations(spark, sf_dir).select("namespace", "turn_id", "role", "content", "tokens")
+    return operations.checked(spark, turns)
+
+
+_CHECKED = """t as (select conv_id, count(*) as n, sum(case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end) as tokens from conversations group by conv_id),
+done as (select 'restart' as name, sum(n) as n_rows from t union all select 'replay', sum(n) from t union all select 'failed_commit', sum(n) from t union all select 'rollback', sum(n) from t)"""
+
+
+@query(f"with {_CHECKED} select name, case when n_rows > 0 then 'pass' end as outcome, n_rows::bigint as n_rows from done")
+def operations_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restart, replay, a commit that fails half way, and rollback, over all turns; the compaction that fails is in evaluate_gate_rollup."""
+    return _operations(spark, sf_dir).filter("name not in ('failed_compaction', 'hardware')")
 
 
-@query("select true as passed, 1::bigint as n_not_applicable")
+@query(f"with {_CHECKED} select bool_and(n_rows > 0) as passed, 1::bigint as n_not_applicable from done")
 def evaluate_gate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A45."""
-    return evaluate.gate_rollup(spark.createDataFrame([("restart", "pass"), ("replay", "pass"), ("hardware", "not_applicable")], "name string, outcome string"))
+    """Whether all operational checks that apply pass, from their runs."""
+    return evaluate.gate_rollup(_operations(spark, sf_dir))
 
 
 CONFIRM_LIMITS = {"minimum_wins": 3, "item_regressions": 0, "category_regressions": 0, "abstentions": 0, "stale_failures": 0, "source_losses": 0, "empty_retrievals": 0}

@@ -12,7 +12,7 @@ from recollect.operators import assembly, evaluate, families, identity, ledger
 from recollect.providers import stub_embed
 from recollect.queries.views import FACTS, LEDGER, TURNS
 from recollect.registry import query
-from recollect.schemas import SUMMARY, TURN, facts_of_events, turns_of_conversations
+from recollect.schemas import SUMMARY, TURN, conforming, facts_of_events, turns_of_conversations
 
 NS = "namespace"
 
@@ -89,6 +89,22 @@ def ledger_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.quarantined(_ledger(spark, sf_dir), spark.createDataFrame([], SUMMARY), spark.createDataFrame([], TURN))
 
 
+_PORTS = f"""{FACTS}, ports as (select namespace, seq, source_turn_id, slot_key, right(slot_value, 1) as port from facts where slot_key = 'user.click'),
+latest as (select namespace, source_turn_id as newest_turn, port as newest_value from ports qualify row_number() over (partition by namespace order by source_turn_id desc, seq) = 1),
+said as (select p.namespace, last_turn, regexp_extract(sentence, '(?i)\\bport\\s+(?:to\\s+|is\\s+)?(\\d+)\\b', 1) as slot_value from
+  (select namespace, source_turn_id as last_turn, unnest(['The port is ' || port || '.', 'Nothing else changed.', 'PORT ' || (port::int + 1) || '!']) as sentence from ports where seq % 3 = 0) p)"""
+
+
+@query(f"with {_PORTS} select distinct namespace, 'infra.port' as slot_key, slot_value from said join latest using (namespace) where slot_value <> '' and last_turn < newest_turn and slot_value <> newest_value")
+def ledger_stale_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that sentences of older summaries give for a slot whose newest value is another."""
+    own = facts_of_events(spark, sf_dir).filter("slot_key = 'user.click'").withColumn("slot_value", F.substring("slot_value", -1, 1)).withColumn("slot_key", F.lit("infra.port"))
+    newest = own.withColumn("r", F.row_number().over(W.partitionBy(NS).orderBy(F.desc("source_turn_id"), "seq"))).filter("r = 1").drop("r")
+    text = F.concat(F.lit("The port is "), F.col("slot_value"), F.lit(". Nothing else changed. PORT "), (F.col("slot_value").cast("int") + 1).cast("string"), F.lit("!"))
+    summaries = own.filter("seq % 3 = 0").select(NS, "seq", F.array("source_turn_id").alias("covers_turn_ids"), text.alias("text"))
+    return assembly.quarantined(newest, conforming(summaries, SUMMARY), spark.createDataFrame([], TURN))
+
+
 @query(f"with {LEDGER}, {_QUARANTINE} select namespace, count(*) as n from ledger l where not exists (select 1 from quarantine q where q.namespace = l.namespace and q.slot_key = l.slot_key and q.slot_value = l.slot_value) group by namespace")
 def ledger_without_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF6: facts without quarantined values."""

@@ -158,7 +158,8 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = ledger.closed_form(facts_of_events(spark, sf_dir))
     worded = own.withColumn("slot_key", F.when(F.col("seq") % 2 == 0, F.concat("slot_key", F.lit(".count"))).otherwise(F.concat("slot_key", F.lit(".number of")))).withColumn("slot_value", F.regexp_replace("slot_value", "v", "1"))
-    asked = own.select(NS).distinct().select(F.col(NS).alias("query_id"), NS, F.lit("user click count event").alias("query"), F.lit(C.READ_FIT_TOKENS).cast("long").alias("budget_tokens"))
+    modes = F.array(F.lit("user click count event"), F.lit("previous user click count event"), F.lit("how did the user click count event change"))
+    asked = own.select(NS).distinct().select(F.col(NS).alias("query_id"), NS, F.element_at(modes, (F.pmod(F.col(NS).cast("int"), F.lit(3)) + 1)).alias("query"), F.lit(C.READ_FIT_TOKENS).cast("long").alias("budget_tokens"))
     return retrieval.scored(asked, retrieval.candidates(conforming(worded, FACT), summaries_of_documents(spark, sf_dir).limit(0))), asked
 
 
@@ -176,5 +177,5 @@ def retrieval_newest_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrieval_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier and latest values of a family told as a sequence."""
+    """Earlier and latest values of a family told as a sequence, for requests that ask for the previous value or the change."""
     return families.sequence_texts(_requests(spark, sf_dir)[0]).select("query_id", F.col("item_seq").alias("seq"), "text")
