@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from recollect.functions import constants as C
 from recollect.functions import text as X
 from recollect.operators import ledger
+from recollect.sources.scratch import small_side, written
 
 NS = "namespace"
+BROADCAST_TOKENS = 500_000
 
 
 def entry_cost() -> Column:
@@ -63,8 +65,11 @@ def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching
     kept = cands.drop("tokens")
     sizes = cands.groupBy(NS, "history").agg(F.count("*").alias("n"), F.max("turn_id").alias("last_turn"))
     tokens = asked.select("query_id", NS, "history", F.explode(X.retrieval_tokens(F.col("query"))).alias("token"))
-    weighted = tokens.join(document_frequency(cands), [NS, "history", "token"]).join(sizes, [NS, "history"]).withColumn("weight", F.log(1.0 + (F.col("n") + 1) / (F.col("df") + 1)))
-    having = cands.select(NS, "history", "kind", "item_seq", F.explode("tokens").alias("token"))
+    # Texts are cut into tokens once, for candidates that some request sees, and only tokens that a request has go further.
+    wanted = small_side(tokens.select(NS, "history", "token").distinct(), BROADCAST_TOKENS)
+    having = written(cands.select(NS, "history", "kind", "item_seq", F.explode("tokens").alias("token")).join(wanted, [NS, "history", "token"], "left_semi"), "postings")
+    df = having.groupBy(NS, "history", "token").agg(F.count("*").alias("df"))
+    weighted = tokens.join(df, [NS, "history", "token"]).join(sizes, [NS, "history"]).withColumn("weight", F.log(1.0 + (F.col("n") + 1) / (F.col("df") + 1)))
     lexical = weighted.join(having, [NS, "history", "token"]).groupBy("query_id", NS, "history", "kind", "item_seq").agg(F.sum("weight").alias("lexical"), F.count("*").alias("n_shared"))
     keys = ["query_id", NS, "history", "kind", "item_seq"]
     if matching_only:
