@@ -96,7 +96,8 @@ def collisions(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_
     compared = texts.join(small_side(members, BROADCAST_IDS), F.col("key") == F.col("member")).select("text", (F.col("key") == F.col("first")).alias("is_first"))
     compared = written(compared.mapInArrow(run, "digest string, canon binary, check binary, is_first boolean"), "buckets")
     heads = written(compared.filter("is_first").groupBy("digest").agg(F.min("canon").alias("head")), "heads")
-    odd = compared.join(heads, "digest").filter("canon <> head").select("digest", "canon", "check").distinct()
+    # A table once more: what is counted by digest afterwards would else keep the join's partitions as they are.
+    odd = written(compared.join(heads, "digest").filter("canon <> head").select("digest", "canon", "check"), "odd").distinct()
     return odd.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("canon", "check"))).alias("all")).select("digest", F.posexplode("all").alias("number", "text")).select("digest", "text.check", "number")
 
 
