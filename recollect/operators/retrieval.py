@@ -2,7 +2,8 @@
 
 All functions work on many requests at once: ``queries`` is (query_id, namespace, query, budget_tokens), and a request
 sees the candidates of its namespace. Scores join on tokens, so a request meets only candidates that share a word;
-selection is one ordered array per request, folded once. Nothing is collected by namespace before it is cut.
+selection is one ordered array per request, folded once, of rows that the budget could hold. Texts stay out of the rows
+that are scored and ordered: a number stands for their order, and chosen rows get them back by a join.
 """
 
 from __future__ import annotations
@@ -56,12 +57,16 @@ def document_frequency(cands: DataFrame) -> DataFrame:
     return cands.select(NS, "history", F.explode("tokens").alias("token")).groupBy(NS, "history", "token").agg(F.count("*").alias("df"))
 
 
+def asking(queries: DataFrame, history: str = "auto") -> DataFrame:
+    """queries with history: auto (by the question), always or never."""
+    return queries.withColumn("history", {"auto": X.wants_history(F.col("query")), "always": F.lit(True), "never": F.lit(False)}[history])
+
+
 def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching_only: bool = False) -> DataFrame:
     """Candidates with the score they have for each request: the sum of ln(1 + (N + 1) / (df + 1)) over shared tokens, plus a thousandth of the turn's share of the last turn.
 
     history: auto (by the question), always or never. matching_only leaves out candidates that share no token."""
-    wants = {"auto": X.wants_history(F.col("query")), "always": F.lit(True), "never": F.lit(False)}[history]
-    asked = queries.withColumn("history", wants)
+    asked = asking(queries, history)
     kept = cands.drop("tokens")
     sizes = cands.groupBy(NS, "history").agg(F.count("*").alias("n"), F.max("turn_id").alias("last_turn"))
     tokens = asked.select("query_id", NS, "history", F.explode(X.retrieval_tokens(F.col("query"))).alias("token"))
@@ -88,8 +93,14 @@ def available_budget(queries: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def skip_fit(rows: DataFrame, order: list[Column], budget: str = "available", by: str = "query_id") -> DataFrame:
-    """rows that are taken when each, in the given order, is taken if its cost still fits; place is its number in that order."""
-    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    """rows that are taken when each, in the given order, is taken if its cost still fits; place is its number in that order
+    among those that could be taken.
+
+    Of rows with one cost those taken come first, and no more of them than the budget holds: once one does not fit, no later
+    one of that cost does. So the array that is folded has a length given by the budget, however many rows there are."""
+    alike = F.row_number().over(W.partitionBy(by, "cost").orderBy(*order))
+    could = rows.withColumn("place", alike).filter((F.col("cost") * F.col("place") <= F.col(budget)) & (F.col("cost") <= F.col(budget))).drop("place")
+    ranked = could.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)))
     ordered = F.array_sort(F.collect_list(F.struct("place", "cost")))
 
     def step(s, x):
@@ -116,17 +127,33 @@ def _by_score() -> list[Column]:
     return [F.col("score").desc(), F.col("turn_id").desc(), F.col("kind"), F.col("text"), F.col("item_seq")]
 
 
+_TEXTS = ["text", "status", "slot_key", "slot_value"]
+
+
+def _fitted(queries: DataFrame, cands: DataFrame, turns: DataFrame, history: str, order: list[Column]) -> DataFrame:
+    """All candidates scored and skip-fit in the given order, then by _by_score(). What is scored has numbers only: tie is
+    the order of texts within a turn and kind, and with these it names a candidate."""
+    asked = asking(queries, history)
+    seen = cands.join(small_side(asked.select(NS, "history").distinct(), BROADCAST_TOKENS), [NS, "history"], "left_semi")
+    tie = F.row_number().over(W.partitionBy(NS, "history", "turn_id", "kind").orderBy("text", "item_seq"))
+    own = written(seen.withColumn("tie", tie), "candidates")
+    rows = scored(queries.select("query_id", NS, "query"), own.drop(*_TEXTS), history).drop("query")
+    taken = skip_fit(_with_budget(rows, queries, turns), [*order, F.col("score").desc(), F.col("turn_id").desc(), F.col("kind"), F.col("tie")])
+    name = [NS, "history", "kind", "turn_id", "tie"]
+    texts = own.select(*[F.col(c).alias(f"own_{c}") for c in name], *_TEXTS)
+    found = taken.join(texts, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in name]).drop("tie", *[f"own_{c}" for c in name])
+    return found.join(queries.select("query_id", "query", "budget_tokens"), "query_id")
+
+
 def lexical_selection(queries: DataFrame, facts: DataFrame, summaries: DataFrame, turns: DataFrame, history: str = "never") -> DataFrame:
     """All candidates by score, skip-fit."""
-    rows = scored(queries, candidates(facts, summaries, deduplicate=False), history)
-    return skip_fit(_with_budget(rows, queries, turns), _by_score())
+    return _fitted(queries, candidates(facts, summaries, deduplicate=False), turns, history, [])
 
 
 def packed_selection(queries: DataFrame, facts: DataFrame, summaries: DataFrame, turns: DataFrame, history: str = "auto") -> DataFrame:
     """Deduplicated candidates by score per token, skip-fit."""
-    rows = scored(queries, candidates(facts, summaries), history)
     density = F.col("score") / F.greatest(F.lit(1), F.col("cost"))
-    return skip_fit(_with_budget(rows, queries, turns), [F.round(density, 9).desc(), *_by_score()])
+    return _fitted(queries, candidates(facts, summaries), turns, history, [F.round(density, 9).desc()])
 
 
 def sparse_selection(queries: DataFrame, facts: DataFrame, summaries: DataFrame, turns: DataFrame, top_k: int = C.TOP_K, floor: float = C.RELEVANCE_FLOOR, history: str = "auto") -> DataFrame:
