@@ -6,18 +6,20 @@ numbers of one request's or namespace's pairs; all else are joins and windows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions import constants as C
 from recollect.functions import text as X
-from recollect.sources.scratch import written
+from recollect.sources.scratch import small_side, written
 
 NS = "namespace"
+BROADCAST_KINDS = 200_000
 
 
 # --- Column predicates -------------------------------------------------------------------------------------------
@@ -41,13 +43,17 @@ def near_duplicate_keys(a: Column, b: Column) -> Column:
     return F.when(X.blank(a) | X.blank(b), False).when(a == b, True).otherwise(near)
 
 
-def near_duplicate_entries(a: Column, va: Column, b: Column, vb: Column) -> Column:
-    """Near-duplicate keys with common roles (or none), a common subject word, and values of one shape, numeric or scalar."""
+def common_role(a: Column, b: Column) -> Column:
+    """Common roles (or none) and a common subject word."""
     ra, rb = X.slot_roles(X.slot_tokens(a)), X.slot_roles(X.slot_tokens(b))
     roles = ((F.size(ra) == 0) & (F.size(rb) == 0)) | F.arrays_overlap(ra, rb)
-    anchors = F.arrays_overlap(X.subject_anchors(a), X.subject_anchors(b))
+    return F.coalesce(roles & F.arrays_overlap(X.subject_anchors(a), X.subject_anchors(b)), F.lit(False))
+
+
+def near_duplicate_entries(a: Column, va: Column, b: Column, vb: Column) -> Column:
+    """Near-duplicate keys with common roles (or none), a common subject word, and values of one shape, numeric or scalar."""
     shape = X.value_shape(va)
-    return F.coalesce(near_duplicate_keys(a, b) & ((a == b) | (roles & anchors & (shape == X.value_shape(vb)) & shape.isin("numeric", "scalar"))), F.lit(False))
+    return F.coalesce(near_duplicate_keys(a, b) & ((a == b) | (common_role(a, b) & (shape == X.value_shape(vb)) & shape.isin("numeric", "scalar"))), F.lit(False))
 
 
 def opposite_roles(a: Column, b: Column) -> Column:
@@ -135,20 +141,27 @@ def by_first_welcome(pairs: list[tuple[int, int, str]], friends: dict[int, set[i
 def grouped(pairs: DataFrame, by: str, rule: Callable[[list[tuple[int, int, str]], dict[int, set[int]]], dict[int, int]]) -> DataFrame:
     """(by, place, family): places of pairs in groups of two or more by the rule; family is the group's first place.
 
-    Only the pairs of one request or namespace meet, as numbers; what is near was decided by expressions before."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = list(zip(rows["early"].tolist(), rows["late"].tolist(), rows["word"].tolist(), strict=True))
-        friends: dict[int, set[int]] = {}
-        for early, late, _ in own:
-            for p in (early, late):
-                friends.setdefault(p, {p}).update((early, late))
-        found = rule(own, friends)
-        return pd.DataFrame({by: rows[by].iloc[0], "place": list(found), "family": list(found.values())})
-
-    dealt = pairs.groupBy(by).applyInPandas(run, f"{by} {dict(pairs.dtypes)[by]}, place long, family long")
-    size = F.count("*").over(W.partitionBy(by, "family"))
-    return dealt.withColumn("n", size).filter("n > 1").drop("n")
+    Only the pairs of one request or namespace meet, as one row of numbers; what is near was decided by expressions before.
+    Rows come in batches, so that many small groups cost no table each."""
+
+    def run(batches):
+        for batch in batches:
+            names, places, families = [], [], []
+            for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                friends: dict[int, set[int]] = {}
+                for p in own:
+                    for x in (p["early"], p["late"]):
+                        friends.setdefault(x, {x}).update((p["early"], p["late"]))
+                found = rule([(p["early"], p["late"], p["word"]) for p in own], friends)
+                size = Counter(found.values())
+                kept = [(x, f) for x, f in found.items() if size[f] > 1]
+                names += [name] * len(kept)
+                places += [x for x, _ in kept]
+                families += [f for _, f in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(places, pa.int64()), pa.array(families, pa.int64())], [by, "place", "family"])
+
+    rows = pairs.groupBy(by).agg(F.collect_list(F.struct(F.col("early").cast("long").alias("early"), F.col("late").cast("long").alias("late"), "word")).alias("pairs"))
+    return rows.mapInArrow(run, f"{by} {dict(pairs.dtypes)[by]}, place long, family long")
 
 
 def role_groups(items: DataFrame, by: str) -> DataFrame:
@@ -156,15 +169,36 @@ def role_groups(items: DataFrame, by: str) -> DataFrame:
     return grouped(near_items(items, by, X.identity_tokens(X.subject_part(F.col("slot_key"))), lambda a, _va, b, _vb: same_role(a, b)), by, by_guarded_union)
 
 
+def near_kinds(kinds: DataFrame) -> DataFrame:
+    """(early_key, early_shape, late_key, late_shape): kinds of items (slot_key, shape of the value) that are near, both ways."""
+    keys = kinds.select("slot_key").distinct()
+    one = keys.select("slot_key", F.explode(F.array_union(X.slot_tokens(F.col("slot_key")), F.array("slot_key"))).alias("token"))
+    met = one.select("token", F.col("slot_key").alias("early_key")).join(one.select("token", F.col("slot_key").alias("late_key")), "token").groupBy("early_key", "late_key").agg(F.count("*").alias("shared"))
+    a, b = F.col("early_key"), F.col("late_key")
+    near = written(met.filter((a == b) | (F.col("shared") >= 2)).filter(near_duplicate_keys(a, b)).select("early_key", "late_key", common_role(a, b).alias("common")), "near-keys")
+    shapes = lambda p: kinds.select(F.col("slot_key").alias(f"{p}_key"), F.col("shape").alias(f"{p}_shape"))
+    alike = (a == b) | (F.col("common") & (F.col("early_shape") == F.col("late_shape")) & F.col("early_shape").isin("numeric", "scalar"))
+    return written(near.join(shapes("early"), "early_key").join(shapes("late"), "late_key").filter(alike).select("early_key", "early_shape", "late_key", "late_shape"), "near-kinds")
+
+
 def slot_families(items: DataFrame, by: str, asked: DataFrame) -> DataFrame:
     """(by, place, family, anchors) of items in order of place: near-duplicate entries whose common subject words (anchors)
     have one in the by's question; asked is (by, query)."""
-    own = items.withColumn("slot_value", F.coalesce("slot_value", F.lit(""))).filter(~X.blank(F.col("slot_key")))
-    found = grouped(near_items(own, by, F.array_union(X.slot_tokens(F.col("slot_key")), F.array("slot_key")), near_duplicate_entries), by, by_first_welcome)
-    words = found.join(own.select(by, "place", X.subject_anchors(F.col("slot_key")).alias("own")), [by, "place"]).groupBy(by, "family").agg(F.collect_list("own").alias("all"))
+    own = items.withColumn("shape", X.value_shape(F.coalesce("slot_value", F.lit("")))).filter(~X.blank(F.col("slot_key"))).select(by, "place", "slot_key", "shape")
+    # Whether two items are near is decided by their keys and the shapes of their values, so items with the same of both, which
+    # are near to each other and to the same others, go as one, by the first of them; pairs of keys are judged once for all.
+    kinds = own.groupBy(by, "slot_key", "shape").agg(F.min("place").alias("place"))
+    near = near_kinds(own.select("slot_key", "shape").distinct())
+    side = lambda p: kinds.select(by, F.col("place").alias(p), F.col("slot_key").alias(f"{p}_key"), F.col("shape").alias(f"{p}_shape"))
+    first, second = side("early"), side("late")
+    met = first.join(small_side(near, BROADCAST_KINDS), ["early_key", "early_shape"]).join(second, [by, "late_key", "late_shape"]).filter("early < late")
+    dealt = grouped(met.select(by, "early", "late", F.lit("").alias("word")), by, by_first_welcome)
+    homes = kinds.join(dealt, [by, "place"], "left").select(by, "slot_key", "shape", F.coalesce("family", "place").alias("family"))
+    found = own.join(homes, [by, "slot_key", "shape"]).withColumn("n", F.count("*").over(W.partitionBy(by, "family"))).filter("n > 1").select(by, "place", "family", "slot_key")
+    words = found.select(by, "family", "slot_key").distinct().select(by, "family", X.subject_anchors(F.col("slot_key")).alias("own")).groupBy(by, "family").agg(F.collect_list("own").alias("all"))
     anchored = words.select(by, "family", F.aggregate("all", F.element_at("all", 1), lambda kept, x: F.array_intersect(kept, x)).alias("anchors"))
     wanted = anchored.join(asked.select(by, X.slot_tokens(F.col("query")).alias("asked")), by).filter(F.arrays_overlap("anchors", "asked")).drop("asked")
-    return found.join(wanted, [by, "family"])
+    return found.drop("slot_key").join(wanted, [by, "family"])
 
 
 # --- Read-time preference ----------------------------------------------------------------------------------------
