@@ -9,9 +9,8 @@ by aggregates and go through the fold, one namespace a group.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,23 +61,35 @@ def irregular_namespaces(facts: DataFrame, max_stale: int = C.MAX_STALE) -> Data
     return step.union(twice).union(old).union(many).distinct()
 
 
+_NAMES = [f.name for f in FACT]
+_ARROW = {f.name: {"bigint": pa.int64(), "boolean": pa.bool_()}.get(f.dataType.simpleString(), pa.string()) for f in FACT}
+
+
+def _facts(group: pa.Table, order: list[str]) -> list[Fact]:
+    """A group's rows as facts in the given order, column by column."""
+    names = [c for c in _NAMES if c != NS]
+    rows = group.select(names).sort_by([(c, "ascending") for c in order])
+    return [Fact(**dict(zip(names, values, strict=True))) for values in zip(*(rows.column(c).to_pylist() for c in names), strict=True)]
+
+
+def _table(namespace: str, facts: list[Fact]) -> pa.Table:
+    columns = {c: [namespace] * len(facts) if c == NS else [getattr(f, c) for f in facts] for c in _NAMES}
+    return pa.table({c: pa.array(columns[c], _ARROW[c]) for c in _NAMES})
+
+
 def folded(facts: DataFrame, max_stale: int = C.MAX_STALE, same_slot: Callable[[Fact, Fact], bool] | None = None, reset: bool = False) -> DataFrame:
     """The fold, by namespace in the order of seq. reset: all facts start active in the order of turns (a replay)."""
-    names = [f.name for f in FACT]
     order = ["source_turn_id", "seq"] if reset else ["seq"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         ledger = Ledger(max_stale, same_slot)
-        for row in group.sort_values(order, kind="stable").to_dict("records"):
-            own = {k: (None if not isinstance(v, (list, tuple)) and pd.isna(v) else v) for k, v in row.items() if k != NS}
-            for k in ("seq", "source_turn_id", "superseded_by_turn_id"):
-                own[k] = None if own[k] is None else int(own[k])
+        for fact in _facts(group, order):
             if reset:
-                own |= {"status": "active", "superseded_by_turn_id": None}
-            ledger.add(Fact(**own))
-        return pd.DataFrame([{NS: group[NS].iloc[0], **asdict(f)} for f in ledger.rows()], columns=names)
+                fact.status, fact.superseded_by_turn_id = "active", None
+            ledger.add(fact)
+        return _table(group.column(NS)[0].as_py(), ledger.rows())
 
-    return facts.select(*names).groupBy(NS).applyInPandas(run, FACT)
+    return facts.select(*_NAMES).groupBy(NS).applyInArrow(run, FACT)
 
 
 def supersede(facts: DataFrame, max_stale: int = C.MAX_STALE, force_fold: bool = False) -> DataFrame:
@@ -92,19 +103,9 @@ def supersede(facts: DataFrame, max_stale: int = C.MAX_STALE, force_fold: bool =
 
 def merge(left: DataFrame, right: DataFrame, max_stale: int = C.MAX_STALE) -> DataFrame:
     """right's facts merged into the ledger left, by namespace, in the order of seq."""
-    names = [f.name for f in FACT]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
         ledger = Ledger(max_stale)
-
-        def made(group):
-            for row in group.sort_values("seq", kind="stable").to_dict("records"):
-                own = {k: (None if pd.isna(v) else v) for k, v in row.items() if k != NS}
-                for k in ("seq", "source_turn_id", "superseded_by_turn_id"):
-                    own[k] = None if own[k] is None else int(own[k])
-                yield Fact(**own)
-
-        for fact in made(a):
+        for fact in _facts(a, ["seq"]):
             number = ledger.arrivals
             ledger.arrivals += 1
             ledger.facts[number], ledger.by_text[fact.norm] = fact, number
@@ -112,11 +113,13 @@ def merge(left: DataFrame, right: DataFrame, max_stale: int = C.MAX_STALE) -> Da
             if fact.status == "stale":
                 ledger.stale.add(number)
         top = max((f.seq for f in ledger.facts.values()), default=0)
-        ledger.merge(made(b.assign(seq=b["seq"] + top) if len(b) else b))
-        name = (a if len(a) else b)[NS].iloc[0]
-        return pd.DataFrame([{NS: name, **asdict(f)} for f in ledger.rows()], columns=names)
+        more = _facts(b, ["seq"])
+        for fact in more:
+            fact.seq += top
+        ledger.merge(more)
+        return _table((a if len(a) else b).column(NS)[0].as_py(), ledger.rows())
 
-    return left.select(*names).groupBy(NS).cogroup(right.select(*names).toDF(*names).groupBy(NS)).applyInPandas(run, FACT)
+    return left.select(*_NAMES).groupBy(NS).cogroup(right.select(*_NAMES).toDF(*_NAMES).groupBy(NS)).applyInArrow(run, FACT)
 
 
 def evicted(facts: DataFrame, max_stale: int = C.MAX_STALE) -> DataFrame:
