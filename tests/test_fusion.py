@@ -149,3 +149,11 @@ def test_bm25_by_blocks_equals_joined_postings(spark, monkeypatch):
     assert by_blocks == sorted(map(tuple, fusion.bm25(asked, docs, 20).collect()))
     assert {r[0] for r in by_blocks} == {f"q{j}" for j in range(9)} and len(by_blocks) == 180
     assert fusion.bm25(asked.limit(0), docs).count() == 0 and fusion.bm25(asked, docs.limit(0)).count() == 0
+
+
+def test_blocks_are_compared_in_strips(spark, rows):
+    df, x = rows
+    got = identity.searched(df, df, 0.8, block_rows=5000).collect()
+    assert vectors.STRIP < len(x)  # so a block of all rows takes several
+    sims = cosines(x, x)
+    assert {(r.l, r.r) for r in got} == {(i, j) for i, j in zip(*np.nonzero(sims >= 0.8), strict=True) if i != j}
