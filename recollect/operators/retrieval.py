@@ -62,10 +62,11 @@ def asking(queries: DataFrame, history: str = "auto") -> DataFrame:
     return queries.withColumn("history", {"auto": X.wants_history(F.col("query")), "always": F.lit(True), "never": F.lit(False)}[history])
 
 
-def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching_only: bool = False) -> DataFrame:
+def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching_only: bool = False, within: str | None = None) -> DataFrame:
     """Candidates with the score they have for each request: the sum of ln(1 + (N + 1) / (df + 1)) over shared tokens, plus a thousandth of the turn's share of the last turn.
 
-    history: auto (by the question), always or never. matching_only leaves out candidates that share no token."""
+    history: auto (by the question), always or never. matching_only leaves out candidates that share no token. within names a
+    column of queries; candidates that cost more count in N and df, but have no row for that request."""
     asked = asking(queries, history)
     kept = cands.drop("tokens")
     sizes = cands.groupBy(NS, "history").agg(F.count("*").alias("n"), F.max("turn_id").alias("last_turn"))
@@ -80,7 +81,8 @@ def scored(queries: DataFrame, cands: DataFrame, history: str = "auto", matching
     if matching_only:
         rows = lexical.join(kept, [NS, "history", "kind", "item_seq"]).join(asked.select("query_id", "query", "budget_tokens"), "query_id")
     else:
-        rows = asked.join(kept, [NS, "history"]).join(lexical, keys, "left")
+        met = asked.join(kept, [NS, "history"])
+        rows = (met.filter(F.col("cost") <= F.col(within)) if within else met).join(lexical, keys, "left")
     recency = F.coalesce(F.col("turn_id") / F.nullif("last_turn", F.lit(0)), F.lit(0.0)) * C.RECENCY_WEIGHT
     return rows.join(sizes, [NS, "history"]).withColumn("score", F.round(F.coalesce("lexical", F.lit(0.0)) + recency, 9)).withColumn("n_shared", F.coalesce("n_shared", F.lit(0))).drop("lexical", "n", "last_turn")
 
@@ -128,21 +130,42 @@ def _by_score() -> list[Column]:
 
 
 _TEXTS = ["text", "status", "slot_key", "slot_value"]
+_PLACE = [NS, "history", "kind", "turn_id"]
+
+
+def _at(right: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
+    """right with its names put apart, and the condition that they equal those of a left side, nulls too."""
+    met = F.lit(True)
+    for c in names:
+        met = met & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    return right.withColumnsRenamed({c: f"own_{c}" for c in names}), met
+
+
+def _named(seen: DataFrame) -> DataFrame:
+    """Candidates as a written table without texts: tie, with turn and kind, names a candidate of a namespace and is the order
+    of texts there. Where a turn has one candidate of a kind it is 0; only the others keep their texts (told) and are ordered
+    by them, so that no sort moves all texts."""
+    several = written(seen.groupBy(*_PLACE).agg(F.count("*").alias("n")).filter("n > 1").select(*_PLACE, F.lit(True).alias("crowded")), "crowded")
+    right, met = _at(small_side(several, BROADCAST_TOKENS), _PLACE)
+    marked = seen.join(right, met, "left").withColumn("told", F.when(F.col("crowded"), F.struct(*_TEXTS)))
+    rows = written(marked.select(*_PLACE, "item_seq", "cost", "tokens", "told"), "candidates")
+    order = F.row_number().over(W.partitionBy(*_PLACE).orderBy("told.text", "item_seq", "told"))
+    return rows.filter("told is null").withColumn("tie", F.lit(0)).unionByName(rows.filter("told is not null").withColumn("tie", order))
 
 
 def _fitted(queries: DataFrame, cands: DataFrame, turns: DataFrame, history: str, order: list[Column]) -> DataFrame:
-    """All candidates scored and skip-fit in the given order, then by _by_score(). What is scored has numbers only: tie is
-    the order of texts within a turn and kind, and with these it names a candidate."""
+    """All candidates scored and skip-fit in the given order, then by _by_score(). What is scored has numbers only, and of it
+    only what a request's budget could hold is ordered; texts are joined to the rows that are taken."""
     asked = asking(queries, history)
     seen = cands.join(small_side(asked.select(NS, "history").distinct(), BROADCAST_TOKENS), [NS, "history"], "left_semi")
-    tie = F.row_number().over(W.partitionBy(NS, "history", "turn_id", "kind").orderBy("text", "item_seq"))
-    own = written(seen.withColumn("tie", tie), "candidates")
-    rows = scored(queries.select("query_id", NS, "query"), own.drop(*_TEXTS), history).drop("query")
-    taken = skip_fit(_with_budget(rows, queries, turns), [*order, F.col("score").desc(), F.col("turn_id").desc(), F.col("kind"), F.col("tie")])
-    name = [NS, "history", "kind", "turn_id", "tie"]
-    texts = own.select(*[F.col(c).alias(f"own_{c}") for c in name], *_TEXTS)
-    found = taken.join(texts, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in name]).drop("tie", *[f"own_{c}" for c in name])
-    return found.join(queries.select("query_id", "query", "budget_tokens"), "query_id")
+    own = _named(seen)
+    budgets = written(available_budget(queries, turns).select("query_id", NS, "query", "available"), "budgets")
+    rows = scored(budgets, own.drop("told"), history, within="available").drop("query")
+    taken = skip_fit(rows, [*order, F.col("score").desc(), F.col("turn_id").desc(), F.col("kind"), F.col("tie")])
+    texts, here = _at(seen.select(*_PLACE, *_TEXTS), _PLACE)
+    told, there = _at(own.filter("tie > 0").select(*_PLACE, "tie", "told.*"), [*_PLACE, "tie"])
+    found = taken.filter("tie = 0").join(texts, here).drop("own_tie").unionByName(taken.filter("tie > 0").join(told, there).drop("own_tie"))
+    return found.drop("tie", *[f"own_{c}" for c in _PLACE]).join(queries.select("query_id", "query", "budget_tokens"), "query_id")
 
 
 def lexical_selection(queries: DataFrame, facts: DataFrame, summaries: DataFrame, turns: DataFrame, history: str = "never") -> DataFrame:

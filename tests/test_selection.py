@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators import retrieval
 from recollect.schemas import FACT, SUMMARY, TURN
+from recollect.sources.scratch import written
 
 
 def test_few_rows_are_folded_whatever_their_number(spark):
@@ -36,3 +37,21 @@ def test_texts_order_equal_scores_and_come_back(spark):
         got = select(asked, facts, spark.createDataFrame([], SUMMARY), spark.createDataFrame([], TURN))
         assert {"text", "status", "slot_key", "slot_value", "query", "budget_tokens", "score", "n_shared", "available", "place"} <= set(got.columns)
         assert sorted((r.text, r.place) for r in got.collect()) == [("apple stripes here", 1), ("mango stripes here", 2)]
+
+
+def test_only_texts_that_order_candidates_are_written(spark, monkeypatch):
+    kept = {}
+
+    def spy(df, name):
+        kept[name] = written(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(retrieval, "written", spy)
+    said = [("n", s, "entity", t, turn, "active", None, None) for s, t, turn in [(1, "zebra stripes here", 4), (2, "apple stripes here", 4), (3, "mango stripes here", 5), (4, "other words there", None)]]
+    facts = spark.createDataFrame(said, "namespace string, seq long, kind string, text string, source_turn_id long, status string, slot_key string, slot_value string")
+    facts = facts.select(*[(F.col(f.name) if f.name in facts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FACT])
+    asked = spark.createDataFrame([("q", "n", "stripes", 2000)], "query_id string, namespace string, query string, budget_tokens long")
+    got = retrieval.lexical_selection(asked, facts, spark.createDataFrame([], SUMMARY), spark.createDataFrame([], TURN)).collect()
+    assert sorted((r.place, r.text, r.item_seq) for r in got) == [(1, "mango stripes here", 3), (2, "apple stripes here", 2), (3, "zebra stripes here", 1), (4, "other words there", 4)]
+    assert "text" not in kept["candidates"].columns
+    assert sorted(r.told.text for r in kept["candidates"].collect() if r.told) == ["apple stripes here", "zebra stripes here"]
