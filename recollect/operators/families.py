@@ -96,14 +96,15 @@ def near_duplicate_pairs(keys: DataFrame) -> DataFrame:
 # --- Groups ------------------------------------------------------------------------------------------------------
 
 
-def near_items(items: DataFrame, by: str, tokens: Column, near: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
-    """(by, early, late, word): pairs of items (by, place, slot_key, slot_value) of one by, early < late, that share one of
-    the tokens (word, the first of them) and are near by their keys and values."""
-    one = items.select(by, "place", F.explode(tokens).alias("token"))
-    met = one.select(by, "token", F.col("place").alias("early")).join(one.select(by, "token", F.col("place").alias("late")), [by, "token"]).filter("early < late")
-    side = lambda p: items.select(by, F.col("place").alias(p), F.col("slot_key").alias(f"{p}_key"), F.col("slot_value").alias(f"{p}_value"))
-    named = met.groupBy(by, "early", "late").agg(F.min("token").alias("word")).join(side("early"), [by, "early"]).join(side("late"), [by, "late"])
-    return named.filter(near(F.col("early_key"), F.col("early_value"), F.col("late_key"), F.col("late_value"))).select(by, "early", "late", "word")
+def near_items(items: DataFrame, by: str, tokens: Column, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(by, early, late, word): pairs of items (by, place, slot_key) of one by, early < late, that share one of the tokens
+    (word, the first of them) and are near by their keys. Each pair of keys that meets is judged once, for all that have it."""
+    one = items.select(by, "place", "slot_key", F.explode(tokens).alias("token"))
+    side = lambda p: one.select(by, "token", F.col("place").alias(p), F.col("slot_key").alias(f"{p}_key"))
+    met = side("early").join(side("late"), [by, "token"]).filter("early < late")
+    named = written(met.groupBy(by, "early", "late", "early_key", "late_key").agg(F.min("token").alias("word")), "met")
+    judged = written(named.select("early_key", "late_key").distinct().filter(near(F.col("early_key"), F.col("late_key"))), "judged")
+    return named.join(small_side(judged, BROADCAST_KINDS), ["early_key", "late_key"]).select(by, "early", "late", "word")
 
 
 class Crowd:
@@ -166,7 +167,7 @@ def grouped(pairs: DataFrame, by: str, rule: Callable[[list[tuple[int, int, str]
 
 def role_groups(items: DataFrame, by: str) -> DataFrame:
     """(by, place, family) of items (by, place, slot_key, slot_value): groups of the same role, by guarded union."""
-    return grouped(near_items(items, by, X.identity_tokens(X.subject_part(F.col("slot_key"))), lambda a, _va, b, _vb: same_role(a, b)), by, by_guarded_union)
+    return grouped(near_items(items, by, X.identity_tokens(X.subject_part(F.col("slot_key"))), same_role), by, by_guarded_union)
 
 
 def near_kinds(kinds: DataFrame) -> DataFrame:

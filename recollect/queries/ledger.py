@@ -13,6 +13,7 @@ from recollect.providers import stub_embed
 from recollect.queries.views import FACTS, LEDGER, TURNS
 from recollect.registry import query
 from recollect.schemas import SUMMARY, TURN, conforming, facts_of_events, turns_of_conversations
+from recollect.sources.scratch import written
 
 NS = "namespace"
 
@@ -283,11 +284,14 @@ def audit_role_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a rekey by roles, here of keys that come in two wordings, is worth it and safe."""
     event = F.regexp_extract("slot_key", r"\.(.*)$", 1)
     two = facts_of_events(spark, sf_dir).withColumn("slot_key", F.concat(event, F.when(F.col("seq") % 2 == 0, ".daily count").otherwise(".count daily")))
-    newest = lambda key: two_named.withColumn("r", F.row_number().over(W.partitionBy(NS, key).orderBy(F.col("source_turn_id").desc(), F.col("seq").desc()))).filter("r = 1")
-    groups = families.grouped_by_role(two.select(NS, "seq", "slot_key"))
-    two_named = two.join(groups, [NS, "slot_key"])
-    before, after = newest("slot_key"), newest("role_group").withColumn("slot_key", F.col("role_group"))
-    needles = two.groupBy(NS).agg(F.max_by("slot_value", "source_turn_id").alias("needle"))
+    # All that is asked for are the newest facts of keys, of groups of keys and of users, so keys stand for facts from here on.
+    at = F.struct("source_turn_id", "seq", "slot_value")
+    keys = written(two.groupBy(NS, "slot_key").agg(F.min("seq").alias("first"), F.max(at).alias("at")), "keys")
+    groups = families.grouped_by_role(keys.select(NS, F.col("first").alias("seq"), "slot_key"))
+    named = written(keys.join(groups, [NS, "slot_key"]), "named")
+    before = named.select(NS, "slot_key", "at.slot_value")
+    after = named.groupBy(NS, F.col("role_group").alias("slot_key")).agg(F.max("at").alias("at")).select(NS, "slot_key", "at.slot_value")
+    needles = keys.groupBy(NS).agg(F.max("at").alias("at")).select(NS, F.col("at.slot_value").alias("needle"))
     pairs = [("walk.start hour", "walk.end hour", False), ("budget.min sum", "budget.max sum", False), ("ann.height", "ben.height", False), ("team.size", "team size.size", True), ("goal.target level", "goal.level target", True)]
     sentinels = spark.createDataFrame(pairs, "a string, b string, expected boolean").select("expected", families.same_role(F.col("a"), F.col("b")).alias("found"))
     return evaluate.role_decision(before, after, needles, sentinels, 0.3)

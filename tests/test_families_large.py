@@ -3,6 +3,7 @@
 import time
 
 from recollect.operators import families
+from recollect.sources.scratch import written
 
 
 def test_many_items_of_few_keys(spark):
@@ -16,3 +17,18 @@ def test_many_items_of_few_keys(spark):
     want = {("q", i): 0 for i in range(12_000) if i % 4 < 2} | {("q", i): 2 for i in range(12_000) if i % 4 == 2} | {("q", i): 3 for i in range(12_000) if i % 4 == 3}
     assert {(r.query_id, r.place): r.family for r in got} == want
     assert all(r.anchors for r in got)
+
+
+def test_a_pair_of_keys_is_judged_once_for_all_namespaces(spark, monkeypatch):
+    kept = {}
+
+    def spy(df, name):
+        kept[name] = written(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(families, "written", spy)
+    keys = ["click.daily count", "click.count daily", "view.daily count", "view.count daily"]
+    rows = [(f"n{n}", i, key) for n in range(40) for i, key in enumerate(keys if n % 2 else reversed(keys))]
+    got = {(r.namespace, r.slot_key): r.role_group for r in families.grouped_by_role(spark.createDataFrame(rows, "namespace string, seq long, slot_key string")).collect()}
+    assert got == {(f"n{n}", k): f"{k.split('.')[0]}.count daily" for n in range(40) for k in keys}
+    assert kept["judged"].count() == 4  # two pairs, in either order
