@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from recollect.functions import constants as C
 from recollect.functions import text as X
 from recollect.operators import ledger
-from recollect.sources.scratch import written
+from recollect.sources.scratch import small_side, written
 
 NS = "namespace"
+BROADCAST_NAMES = 500_000
 
 
 def recent_slot_values(turns: DataFrame) -> DataFrame:
@@ -26,17 +27,17 @@ def recent_slot_values(turns: DataFrame) -> DataFrame:
     return seen.filter(ledger.has_slot()).select(NS, "slot_key", "turn_id", "slot_value")
 
 
-def newest_values(facts: DataFrame, turns: DataFrame) -> DataFrame:
-    """(namespace, slot_key, newest_turn, newest_value): of active facts and recent turns; on a tie facts come first, in their order."""
+def newest_values(facts: DataFrame, turns: DataFrame, recent: DataFrame | None = None) -> DataFrame:
+    """(namespace, slot_key, newest_turn, newest_value): of active facts and recent turns; on a tie facts come first, in their order. recent: recent_slot_values(turns), where it is at hand."""
     a = ledger.active_entries(facts).filter(ledger.has_slot()).select(NS, "slot_key", F.col("source_turn_id").alias("turn_id"), "slot_value", F.lit(0).alias("tier"), F.col("seq").alias("tie"))
-    b = recent_slot_values(turns).select(NS, "slot_key", "turn_id", "slot_value", F.lit(1).alias("tier"), F.col("turn_id").alias("tie"))
+    b = (recent_slot_values(turns) if recent is None else recent).select(NS, "slot_key", "turn_id", "slot_value", F.lit(1).alias("tier"), F.col("turn_id").alias("tie"))
     rank = F.row_number().over(W.partitionBy(NS, "slot_key").orderBy(F.col("turn_id").desc(), "tier", "tie"))
     return a.unionByName(b).withColumn("rank", rank).filter("rank = 1").select(NS, "slot_key", F.col("turn_id").alias("newest_turn"), F.col("slot_value").alias("newest_value"))
 
 
-def quarantined(facts: DataFrame, summaries: DataFrame, turns: DataFrame) -> DataFrame:
+def quarantined(facts: DataFrame, summaries: DataFrame, turns: DataFrame, recent: DataFrame | None = None) -> DataFrame:
     """(namespace, slot_key, slot_value): values that a newer observation of their slot contradicts, in facts and in sentences of older summaries."""
-    newest = newest_values(facts, turns)
+    newest = newest_values(facts, turns, recent)
     of_facts = facts.filter(ledger.has_slot()).join(newest, [NS, "slot_key"]).filter((F.col("newest_turn") > F.col("source_turn_id")) & (F.col("slot_value") != F.col("newest_value"))).select(NS, "slot_key", "slot_value")
     # A sentence is read once for all slots it gives values for, so it meets only those of its namespace, on their keys.
     told = summaries.filter(F.size("covers_turn_ids") > 0).select(NS, F.array_max("covers_turn_ids").alias("last_turn"), F.explode(X.sentences(F.col("text"))).alias("sentence"))
@@ -51,11 +52,14 @@ def filtered_summaries(summaries: DataFrame, quarantine: DataFrame) -> DataFrame
     return summaries.join(values, NS, "left").withColumn("shown", X.without_values(F.col("text"), F.coalesce("bad", F.array().cast("array<string>")))).drop("bad")
 
 
-def shown_facts(facts: DataFrame, summaries: DataFrame, turns: DataFrame, history: bool = False) -> DataFrame:
-    """The facts a prompt shows: the current ones, or all with history, not outdated by a recent turn, and not quarantined unless history is asked for."""
+def shown_facts(facts: DataFrame, summaries: DataFrame, turns: DataFrame, history: bool = False, recent: DataFrame | None = None, quarantine: DataFrame | None = None) -> DataFrame:
+    """The facts a prompt shows: the current ones, or all with history, not outdated by a recent turn, and not quarantined unless history is asked for.
+
+    recent and quarantine: what recent_slot_values and quarantined give for the rest, where they are at hand."""
     own = facts if history else ledger.active_entries(facts)
-    own = ledger.without_outdated(own, recent_slot_values(turns))
-    return own if history else ledger.without_quarantined(own, quarantined(facts, summaries, turns))
+    recent = recent_slot_values(turns) if recent is None else recent
+    own = ledger.without_outdated(own, recent)
+    return own if history else ledger.without_quarantined(own, quarantined(facts, summaries, turns, recent) if quarantine is None else quarantine)
 
 
 def _section(lines: DataFrame, order: list[str], title: str, name: str) -> DataFrame:
@@ -68,10 +72,14 @@ def assembled(namespaces: DataFrame, facts: DataFrame, summaries: DataFrame, tur
     """namespaces (namespace, system, task) with prompt, tokens and overflow. Sections without content are left out.
 
     Order: system, task, summaries (by first covered turn), facts, recall (namespace, recall), verbatim turns."""
-    quarantine = quarantined(facts, summaries, turns)
-    told = filtered_summaries(summaries, quarantine.limit(0) if history else quarantine).filter(F.trim("shown") != "")
+    # Memories of namespaces without a prompt are not looked at; what several sections need is worked out once.
+    named = small_side(written(namespaces.select(NS).distinct(), "names"), BROADCAST_NAMES)
+    facts, summaries, turns = (x.join(named, NS, "left_semi") for x in (facts, summaries, turns))
+    facts, recent = written(facts, "facts"), written(recent_slot_values(turns), "recent")
+    quarantine = None if history else written(quarantined(facts, summaries, turns, recent), "quarantine")
+    told = (summaries.withColumn("shown", F.col("text")) if history else filtered_summaries(summaries, quarantine)).filter(F.trim("shown") != "")
     told = told.withColumn("first_turn", F.coalesce(F.array_min("covers_turn_ids"), F.lit(0))).withColumn("line", X.summary_line(F.col("shown"), F.col("session_ids"), F.col("start_ts"), F.col("end_ts")))
-    known = shown_facts(facts, summaries, turns, history).withColumn("line", ledger.line())
+    known = shown_facts(facts, summaries, turns, history, recent, quarantine).withColumn("line", ledger.line())
     said = turns.withColumn("line", X.turn_line(F.col("role"), F.col("content")))
     out = namespaces.withColumn("p0", F.concat(F.lit("=== SYSTEM ===\n"), "system")).withColumn("p1", F.concat(F.lit("=== TASK ===\n"), "task"))
     out = out.join(_section(told, ["first_turn", "seq"], "EPISODIC SUMMARIES", "p2"), NS, "left")

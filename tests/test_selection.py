@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recollect.operators import retrieval
+from recollect.operators import assembly, retrieval
 from recollect.schemas import FACT, SUMMARY, TURN
 from recollect.sources.scratch import written
 
@@ -55,3 +55,16 @@ def test_only_texts_that_order_candidates_are_written(spark, monkeypatch):
     assert sorted((r.place, r.text, r.item_seq) for r in got) == [(1, "mango stripes here", 3), (2, "apple stripes here", 2), (3, "zebra stripes here", 1), (4, "other words there", 4)]
     assert "text" not in kept["candidates"].columns
     assert sorted(r.told.text for r in kept["candidates"].collect() if r.told) == ["apple stripes here", "zebra stripes here"]
+
+
+def test_prompts_look_once_and_only_at_their_namespaces(spark, monkeypatch):
+    seen = []
+    own = assembly.quarantined
+    monkeypatch.setattr(assembly, "quarantined", lambda facts, *rest: seen.append({r.namespace for r in facts.select("namespace").distinct().collect()}) or own(facts, *rest))
+    said = [(n, s, "entity", f"size {v}", s, "active", "team.size", v) for n in ("a", "b") for s, v in [(1, "5"), (2, "7")]]
+    facts = spark.createDataFrame(said, "namespace string, seq long, kind string, text string, source_turn_id long, status string, slot_key string, slot_value string")
+    facts = facts.select(*[(F.col(f.name) if f.name in facts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FACT])
+    names = spark.createDataFrame([("a", "S", "T"), ("c", "S", "T")], "namespace string, system string, task string")
+    got = {r.namespace: r.prompt for r in assembly.assembled(names, facts, spark.createDataFrame([], SUMMARY), spark.createDataFrame([], TURN)).collect()}
+    assert set(got) == {"a", "c"} and "size 7" in got["a"] and "size 5" not in got["a"] and "FACTS" not in got["c"]
+    assert seen == [{"a"}]
