@@ -23,6 +23,7 @@ import gc
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -35,7 +36,7 @@ from recollect.llm.common import scratch_path, shuffles_dropped, small_batches,
 from recollect.llm.ordered import dealt
 
 SHARD_IDS, LEAST_PAIRS, MARK = 1 << 20, 8, 1024
-MEMO_PIECES, SEEN, TOGETHER, BROADCAST_SHARDS = 300_000, 1 << 22, 32, 1_000_000
+MEMO_PIECES, SEEN, TOGETHER, BROADCAST_SHARDS = 400_000, 1 << 22, 1 << 20, 1_000_000
 
 
 #: Signs that stand for , . and newline where a text is cut, so that a word and the stop after it are two pieces.
@@ -45,8 +46,8 @@ _SIGNS = {v: k for k, v in _MARKS.items()}
 _LEADS = ("\0", *_SIGNS)
 #: Signs after a word that are one token class, whatever follows.
 _CLOSING = "!?;:)]}%&$#*"
-#: What a piece is like at its borders: ends in a sign or a space, begins with a stop, begins with a newline, never cut here.
-_ENDS_SIGN, _ENDS_SPACE, _BEGINS_STOP, _BEGINS_LINE, _NEVER = 1, 2, 4, 8, 16
+#: What a piece is like at its borders: ends in a sign or a space, begins with a stop, a newline or the text, never cut here.
+_ENDS_SIGN, _ENDS_SPACE, _BEGINS_STOP, _BEGINS_LINE, _NEVER, _BEGINS_TEXT = 1, 2, 4, 8, 16, 32
 
 
 class Encoder:
@@ -54,7 +55,8 @@ class Encoder:
 
     Such tokenizers cut a text at spaces before other characters, between letters and signs, and at newlines. Texts are
     cut there first: at single spaces, and before each comma, stop and newline. The ids of the pieces in a row are the
-    text's, unless signs or spaces would meet across a cut; texts where they do are encoded whole. A piece of letters is
+    text's, unless signs or spaces would meet across a cut; texts where they do are encoded whole. The texts given at a
+    time are cut as one column of pieces, of which each different one is looked up or learned once. A piece of letters is
     one word for the tokenizer's model, which is called directly. Tokenizers of other kinds, or that fail a comparison on
     a sample, are used on whole texts only."""
 
@@ -83,8 +85,8 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.length, self.border = array("I"), array("i"), array("i"), bytearray()
+        self.number: dict[bytes, int] = {}
+        self.flat, self.start, self.length, self.border = array("I"), array("q"), array("i"), bytearray()
         self.seen = bytearray(SEEN)
 
     def _border(self, piece: str, text: str) -> int:
@@ -93,53 +95,63 @@ class Encoder:
         out |= _BEGINS_STOP if piece[:1] in "\x01\x02" else _BEGINS_LINE if piece[:1] == "\x03" else 0
         return out | (_NEVER if not text or text[0].isspace() and piece[0] not in "\x03\0" else 0)
 
-    def _learn(self, pieces: list[str], number: dict[str, int]) -> None:
-        letters, tokenize, space = self.letters, self.model.tokenize, self.letters[32]
-        start, length, flat, border = self.start, self.length, self.flat, self.border
-        for piece in pieces:
-            if piece.isalpha():
-                ids = [t.id for t in tokenize(space + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)))]
-                border.append(0)
-            else:
-                first, rest = piece[:1], piece[1:]
-                core = piece.rstrip(_CLOSING)
-                if first in _LEADS and rest.isalpha():
-                    ids = self.leads[first] + [t.id for t in tokenize(rest if rest.isascii() else rest.encode().decode("latin-1").translate(letters))]
-                    border.append(self._border(piece, rest))
-                elif core.isalpha():
-                    signs = piece[len(core) :]
-                    if signs not in self.signs:
-                        self.signs[signs] = self._ids(signs)
-                    ids = [t.id for t in tokenize(space + (core if core.isascii() else core.encode().decode("latin-1").translate(letters)))] + self.signs[signs]
-                    border.append(_ENDS_SIGN)
-                else:
-                    text = _SIGNS[first] + rest if first in _SIGNS else rest if first == "\0" else piece
-                    ids = [t.id for word, _ in self.split(text if first in _LEADS else " " + text) for t in tokenize(word)]
-                    border.append(self._border(piece or " ", text))
-            number[piece] = len(start)
-            start.append(len(flat))
-            length.append(len(ids))
-            flat.extend(ids)
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of pieces. The memo takes a piece when it is met again and there is room; others are learned for this text only."""
+    def _word(self, word: str, space: str = "") -> list[int]:
+        return [t.id for t in self.model.tokenize(space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))]
+
+    def _other(self, piece: str) -> tuple[list[int], int]:
+        """Ids and border of a piece that is not of letters only."""
+        if piece == "\0":
+            return [], 0
+        first, rest = piece[:1], piece[1:]
+        core = piece.rstrip(_CLOSING)
+        if first in _LEADS and rest.isalpha():
+            return self.leads[first] + self._word(rest), self._border(piece, rest)
+        if core.isalpha():
+            signs = piece[len(core) :]
+            if signs not in self.signs:
+                self.signs[signs] = self._ids(signs)
+            return self._word(core, self.letters[32]) + self.signs[signs], _ENDS_SIGN
+        text = _SIGNS[first] + rest if first in _SIGNS else rest if first == "\0" else piece
+        return [t.id for word, _ in self.split(text if first in _LEADS else " " + text) for t in self.model.tokenize(word)], self._border(piece or " ", text)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Adds pieces, each with the space after it."""
+        cores, space = [piece[:-1].decode() for piece in pieces], self.letters[32]
+        found = [self._word(core, space) if core.isalpha() else None for core in cores]
+        border = bytearray(len(cores))
+        for i, ids in enumerate(found):
+            if ids is None:
+                core = cores[i]
+                found[i], border[i] = self._other(core)
+                border[i] |= _BEGINS_TEXT if core[:1] == "\0" else 0
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        self.start.frombytes((len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths).tobytes())
+        self.length.frombytes(lengths.tobytes())
+        self.border.extend(border)
+        self.flat.extend(chain.from_iterable(found))
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces, all different. The memo takes a piece at first sight until it is half full, then when it is
+        met again and there is room; others are learned for these texts only."""
         at = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
-        lacking = np.flatnonzero(at < 0).tolist()
-        if lacking:
-            seen, again, once, room = self.seen, [], [], MEMO_PIECES - len(self.number)
-            missing = [pieces[i] for i in lacking]
-            for piece in dict.fromkeys(missing):
-                k = hash(piece) % SEEN
-                if seen[k] and room > len(again):
-                    again.append(piece)
+        lacking = np.flatnonzero(at < 0)
+        self.kept = (len(self.start), len(self.flat))
+        if len(lacking):
+            seen, keep, once, room = self.seen, [], [], MEMO_PIECES - len(self.number)
+            for i in lacking.tolist():
+                k = hash(pieces[i]) % SEEN
+                if room > len(keep) and (seen[k] or room - len(keep) > MEMO_PIECES // 2):
+                    keep.append(i)
                 else:
                     seen[k] = 1
-                    once.append(piece)
-            self._learn(again, self.number)
-            self.kept = (len(self.start), len(self.flat))
-            own = {piece: self.number[piece] for piece in again}
-            self._learn(once, own)
-            at[lacking] = list(map(own.__getitem__, missing))
+                    once.append(i)
+            base = len(self.start)
+            at[keep + once] = np.arange(base, base + len(lacking))
+            if keep:
+                self._learn([pieces[i] for i in keep])
+                self.number.update(zip([pieces[i] for i in keep], range(base, base + len(keep)), strict=True))
+                self.kept = (len(self.start), len(self.flat))
+            self._learn([pieces[i] for i in once])
         return at
 
     def _forget(self) -> None:
@@ -154,27 +166,24 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts; the pieces of all of them are looked up at once."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        lists, owner = [], []
+        owner = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            pieces = self._pieces(text)
-            if pieces is None:
-                out[i] = np.array(self._ids(text), np.uint32)
-            else:
-                lists.append(pieces)
+            if text and self.by_piece and not any(m in text for m in self.odd):
                 owner.append(i)
-        if not lists:
+            elif text:
+                out[i] = np.array(self._ids(text), np.uint32)
+        if not owner:
             return out
-        at = self._numbers(lists[0] if len(lists) == 1 else list(chain.from_iterable(lists)))
-        last = np.cumsum([len(pieces) for pieces in lists]) - 1
-        border = np.frombuffer(self.border, np.uint8)[at]
+        pieces, which = self._pieces([texts[i] for i in owner])
+        number = self._numbers(pieces)
+        border = np.frombuffer(self.border, np.uint8)[number][which]
+        last = np.append(np.flatnonzero(border & _BEGINS_TEXT)[1:], len(which)) - 1
         # A sign meets a stop, or a space a newline: the bits of what begins, shifted, are those of what ends.
         bad = np.concatenate((border[:-1] & (border[1:] >> 2) & 3, [0])) | (border & _NEVER)
         bad[last] = border[last] & _NEVER
-        n = np.frombuffer(self.length, np.int32)[at]
+        n = np.frombuffer(self.length, np.int32)[number][which]
         ends = np.cumsum(n, dtype=np.int64)
-        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int32)[at] - (ends - n), n) + np.arange(ends[-1])]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[number][which] - (ends - n), n) + np.arange(ends[-1])]
         for i, own in zip(owner, np.split(ids, ends[last[:-1]]), strict=True):
             out[i] = own
         if bad.any():
@@ -183,20 +192,18 @@ class Encoder:
         self._forget()
         return out
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """text cut into pieces; None where it must be encoded whole."""
-        if not self.by_piece or any(m in text for m in self.odd):
-            return None
+    def _pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The different pieces of texts in UTF-8, each with the space after it, and which of them stand one after the other. The
+        first piece of a text begins with a NUL."""
+        whole = "\0" + " \0".join(texts) + " "
         for sign, mark in _MARKS.items():
-            text = text.replace(sign, " " + mark)
-        pieces = text.split(" ")
-        if pieces[0]:
-            pieces[0] = "\0" + pieces[0]
-        elif text[1:2] in _SIGNS:
-            del pieces[0]
-        else:
-            return None
-        return pieces
+            whole = whole.replace(sign, " " + mark)
+        data = whole.encode()
+        bounds = np.concatenate(([0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        _, ends, own = coded.dictionary.buffers()
+        ends, own = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist(), own.to_pybytes()
+        return [own[a:z] for a, z in zip(ends, ends[1:], strict=False)], np.frombuffer(coded.indices.buffers()[1], np.int32, len(coded))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -241,15 +248,28 @@ class Grammar:
         return flat[np.repeat(start[symbols] - (ends - n), n) + np.arange(int(ends[-1]))] if len(n) else symbols
 
 
-def _sorted_pairs(seq: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of symbols that begin at the places at, sorted, as one number each, and their places."""
-    room = np.uint64(max(1, len(seq).bit_length()))
-    key = (seq[at] << np.uint64(bits)) | seq[at + 1]
-    if 2 * bits + int(room) <= 64:
-        packed = np.sort((key << room) | at.astype(np.uint64))
-        return packed >> room, (packed & np.uint64((1 << int(room)) - 1)).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    return key[order], at[order]
+def _frequent_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of symbols, left and right at the places at, that come at least least times: sorted, as one number each; how
+    often they come; and their places, pair by pair. Symbols have so many bits, places fit in room bits."""
+    key = left.astype(np.uint64)
+    key <<= np.uint64(bits)
+    key |= right
+    packed = 2 * bits + room <= 64
+    if packed:
+        key <<= np.uint64(room)
+        key |= at.view(np.uint64)
+        key.sort()
+        place, key = key, key >> np.uint64(room)
+    else:
+        order = np.argsort(key, kind="stable")
+        place, key = at[order], key[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    count = np.diff(np.append(start, len(key)))
+    often = count >= least
+    place = place[np.flatnonzero(np.repeat(often, count))]
+    if packed:
+        place &= np.uint64((1 << room) - 1)
+    return key[start[often]], count[often], place.view(np.int64)
 
 
 def repair(ids: np.ndarray, first: int, least: int = LEAST_PAIRS) -> Grammar:
@@ -260,43 +280,41 @@ def repair(ids: np.ndarray, first: int, least: int = LEAST_PAIRS) -> Grammar:
     neighbouring places, so the top pair is replaced wherever it stands, like in one step of Re-Pair, and with it all
     pairs that it does not touch. A pair that keeps fewer than least places waits for a later round. From the second
     round on only pairs that came least times before, or hold a new symbol, are counted: no other can have gained."""
-    seq, made, lengths = ids.astype(np.uint64), [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
+    seq, made, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
     live = np.ones(max(0, len(seq) - 1), bool)
     while len(seq) >= 2 * least:
-        at, base = np.flatnonzero(live), first + len(lengths)
-        same = at[seq[at] == seq[at + 1]]
+        base = first + len(lengths)
+        same = np.flatnonzero((seq[:-1] == seq[1:]) & live)
         new_run = np.concatenate(([True], np.diff(same) != 1))
         overlap = same[(same - same[new_run][np.cumsum(new_run) - 1]) % 2 == 1] if len(same) else same
-        if len(overlap):
-            live[overlap] = False
-            at = np.flatnonzero(live)
-        bits = base.bit_length()
-        key, place = _sorted_pairs(seq, at, bits)
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(key)))
-        often = count >= least
-        if not often.any():
+        live[overlap] = False
+        at, bits = np.flatnonzero(live), base.bit_length()
+        pairs, n, place = _frequent_pairs(seq[at], seq[at + 1], at, bits, len(seq).bit_length(), least)
+        if not len(pairs):
             break
-        pairs, place, n = key[start[often]], place[np.repeat(often, count)], count[often]
+        order = np.lexsort((pairs, -n))[::-1]
         rank = np.empty(len(n), np.int32)
-        rank[np.lexsort((pairs, -n))] = np.arange(len(n), 0, -1)
-        which, ranks = np.repeat(np.arange(len(n)), n), np.zeros(len(seq) + 1, np.int32)
-        mine = rank[which]
-        ranks[place + 1] = mine
-        wins = (mine > ranks[place]) & (mine > ranks[place + 2])
-        used = np.bincount(which[wins], minlength=len(n)) >= least
-        chosen = wins & used[which]
-        put = place[chosen]
-        candidate, fresh, keep = np.zeros(len(seq), bool), np.zeros(len(seq), bool), np.ones(len(seq), bool)
-        candidate[place], candidate[overlap], fresh[put], keep[put + 1] = True, True, True, False
-        seq[put] = (base + np.cumsum(used) - 1)[which[chosen]].astype(np.uint64)
-        seq, candidate, fresh = seq[keep], candidate[keep], fresh[keep]
-        live = (candidate | fresh)[:-1] | fresh[1:]
+        rank[order] = np.arange(1, len(n) + 1)
+        ranks = np.zeros(len(seq) + 1, np.int32)
+        ranks[place + 1] = np.repeat(rank, n)
+        mine = ranks[1:-1]
+        put = np.flatnonzero((mine > ranks[:-2]) & (mine > ranks[2:]))
+        which = order[mine[put] - 1]
+        used = np.bincount(which, minlength=len(n)) >= least
+        chosen = np.flatnonzero(used[which])
+        put = put[chosen]
+        seq[put] = (base + np.cumsum(used) - 1)[which[chosen]]
+        # 1: a place whose pair was often, or within a run; 2: a new symbol. The places after new symbols go.
+        state, keep = np.append(mine > 0, False).view(np.uint8), np.ones(len(seq), bool)
+        state[overlap], state[put], keep[put + 1] = 1, 2, False
+        kept = np.flatnonzero(keep)
+        seq, state = seq[kept], state[kept]
+        live = (state[:-1] > 0) | (state[1:] == 2)
         rules = np.stack([pairs[used] >> np.uint64(bits), pairs[used] & np.uint64((1 << bits) - 1)], axis=1).astype(np.uint32)
         inner = rules.astype(np.int64) - first
         lengths = np.concatenate((lengths, np.where(inner < 0, 1, lengths[np.maximum(inner, 0)] if len(lengths) else 1).sum(axis=1)))
         made.append(rules)
-    return Grammar(first, np.concatenate(made), lengths, seq.astype(np.uint32))
+    return Grammar(first, np.concatenate(made), lengths, seq)
 
 
 def packed_bits(symbols: np.ndarray, width: int) -> bytes:
@@ -359,6 +377,19 @@ class Shard:
         return self.grammar.expand(part[i:j])[skip : skip + end - start]
 
 
+def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of column in runs of some ``TOGETHER`` characters, each with the place where it begins."""
+    start, texts, size = 0, [], 0
+    for i in range(len(column)):
+        texts.append(column[i].as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield start, texts
+            start, texts, size = i + 1, [], 0
+    if texts:
+        yield start, texts
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS, rows_each: int = 20_000) -> None:
     """Tokenises docs and writes the file at path. tokenizer: the place of a tokenizers JSON that every executor has."""
 
@@ -368,9 +399,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         first = max(code.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         place, shard, keys, lens, parts, n = None, 0, [], [], [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(start, TOGETHER)
-                coded = code.encode_all([t or "" for t in some.column(3).to_pylist()])
+            for start, texts in _together(batch.column(3)):
+                some = batch.slice(start, len(texts))
+                coded = code.encode_all(texts)
                 for at, key, own in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), coded, strict=True):
                     if at != place or n >= shard_ids:
                         if keys:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -298,6 +299,33 @@ def test_encoder_equals_the_library():
         assert e.encode(text).tolist() == e._ids(text), repr(text)
 
 
+def test_encoder_learns_each_piece_once(monkeypatch):
+    e, looked, learned = tokens.Encoder(TOKENIZER), [], []
+    for name, into in (("_numbers", looked), ("_learn", learned)):
+        monkeypatch.setattr(e, name, lambda pieces, *more, f=getattr(e, name), into=into: (into.extend(pieces), f(pieces, *more))[1])
+    texts = [f"Wordy {k} and, naïve!! wordy and word.\nAnd wordy é" for k in range(50)] * 4
+    for _ in range(2):
+        assert [own.tolist() for own in e.encode_all(texts)] == [e._ids(t) for t in texts]
+    assert len(looked) == 2 * len(set(looked)) < 200 and len(learned) == len(set(learned)) == len(set(looked))
+
+
+@pytest.mark.parametrize("room", [0, 3, 40])
+def test_encoder_with_a_full_memo(monkeypatch, room):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", room)
+    e, rnd = tokens.Encoder(TOKENIZER), random.Random(room)
+    for _ in range(40):
+        texts = ["", " and", ",x", *(" ".join(rnd.choice(["a", "the", "É", "x,", "b.", "c\n", "", "7!!", "naïve"]) + rnd.choice("efg") for _ in range(9)) for _ in range(5)), "\n\n", " ", "a\x00b"]
+        assert [own.tolist() for own in e.encode_all(texts)] == [e._ids(t) for t in texts]
+        assert len(e.number) <= room and len(e.start) == len(e.length) == len(e.border) == len(e.number)
+
+
+def test_texts_are_encoded_in_runs(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 5)
+    texts = ["ab", None, "cde", "", "fghijklm", "n", None]
+    assert list(tokens._together(pa.array(texts))) == [(0, ["ab", "", "cde"]), (3, ["", "fghijklm"]), (5, ["n", ""])]
+    assert list(tokens._together(pa.array([], pa.string()))) == []
+
+
 def test_tokens_without_rows(empty):
     assert tokens.tokenised(empty, TOKENIZER).count() == 0
 
